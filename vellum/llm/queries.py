@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import minhash, mixing
+from vellum.llm import minhash, mixing, packing
 from vellum.llm.tables import table
 
 
@@ -18,10 +18,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_source_mixing": op4_source_mixing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op8_packing": op8_packing,
     }
 
 
