@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import minhash, mixing, packing
+from vellum.llm import minhash, mixing, packing, topk, vectors
 from vellum.llm.tables import table
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -22,11 +28,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_top_k": op1_exact_top_k,
         "op4_source_mixing": op4_source_mixing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op8_packing": op8_packing,
+        "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
 
@@ -51,5 +63,38 @@ FROM sets s JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id) r USING
 """
 
 
+OP1_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM vectors q JOIN vectors v ON q.vec_id <> v.vec_id AND len(q.x) = len(v.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
+OP10_SQL = """
+WITH RECURSIVE
+vectors AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_inner_product(a.x, b.x) >= 0.9 * sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))),
+reach AS (
+  SELECT vec_id, vec_id AS c FROM embeddings
+  UNION
+  SELECT l.a AS vec_id, r.c FROM reach r JOIN links l ON l.b = r.vec_id)
+SELECT r.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, r.c AS component_id, r.vec_id = r.c AS kept
+FROM (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id) r LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = r.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": OP5_SQL}
+    return {
+        "op1_exact_top_k": OP1_SQL,
+        "op5_minhash_near_dedup": OP5_SQL,
+        "op10_embedding_near_dedup": OP10_SQL,
+    }
