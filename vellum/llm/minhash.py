@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.components import connected_components
-from vellum.llm.tables import written
+from vellum.llm.tables import likely_ids, written
 
 BANDS, ROWS = 25, 5
 #: Shingles of one side of a tile; a longer single document is a side of its own.
@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(star, "star")
 
     candidates = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    texts = source.join(candidates, "id")
+    candidates = written(candidates, "candidates")
+    texts = likely_ids(source, candidates).join(candidates, "id")
     sets = written(texts.mapInArrow(_sets(width), "id long, shingles binary, sig binary").where("length(shingles) > 0").dropDuplicates(["id"]), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"), F.col("sig").alias("sig_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"), F.col("sig").alias("sig_b"))

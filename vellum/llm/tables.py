@@ -45,3 +45,21 @@ def word_count(text):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text column; null counts as 0."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
     return F.size(words).cast("long")
+
+
+def likely_ids(rows: DataFrame, ids: DataFrame, name: str = "id", most_bits: int = 1 << 26) -> DataFrame:
+    """Rows whose id may be among ``ids``, decided before any shuffle; a join must follow.
+
+    ``ids`` sets one bit by its hash in a map of at most ``most_bits`` bits, held as rows of 64.
+    The map is broadcast: it has at most ``most_bits / 64`` rows however many ids there are. Where
+    ids outnumber its bits it keeps more rows than it needs, never fewer.
+    """
+    bits = 1 << 12
+    while bits < min(most_bits, 16 * ids.count()):
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64(name), F.lit(bits))
+    word, bit = (lambda: F.shiftright(place(), 6)), (lambda: F.pmod(place(), F.lit(64)).cast("int"))
+    words = ids.select(word().alias("word"), F.expr("1L").alias("one"), bit().alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", "one", "bit")).alias("bits"))
+    found = rows.withColumn("word", word()).join(F.broadcast(words), "word")
+    return found.where(F.call_function("getbit", "bits", bit()) == 1).drop("word", "bits")
