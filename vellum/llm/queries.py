@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import minhash, mixing, packing, topk, vectors
+from vellum.llm import lines, minhash, mixing, packing, topk, vectors
 from vellum.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.marked_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -35,6 +39,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
+        "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
         "op4_source_mixing": op4_source_mixing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op8_packing": op8_packing,
