@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,64 +85,76 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
+        """Entry 0 is the id that ends a document."""
         self.at: dict[bytes, int] = {}
-        self.flat, self.starts, self.ends = array("I"), array("q", [0]), array("b")
+        self.flat = np.array([END_ID], np.uint32)
+        self.starts = np.array([0, 1], np.int64)
+        self.ends = np.array([True])
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Letters alone are one pre-token each and can share a call: its ids close with </w>."""
-        stems, plain, odd = {}, {}, []
+        stems: dict[str, int] = {}
+        known, stem_of, mark_of, odd = [], [], [], []
         for w in words:
-            stem = w[:-1] if w[-1:] in self.marks else w
-            text = stem.decode("utf-8", "replace")
+            mark = self.marks.get(w[-1:], 0)
+            text = (w[:-1] if mark else w).decode("utf-8", "replace")
             if text.isalpha():
-                stems[w] = text
-                plain[text] = None
+                known.append(w)
+                stem_of.append(stems.setdefault(text, len(stems)))
+                mark_of.append(mark)
             else:
                 odd.append(w)
-        listed = list(plain)
+        listed, ids, sizes = list(stems), [], []
         for i in range(0, len(listed), 2000):
             part = listed[i : i + 2000]
-            ids = np.array(self._encode([" ".join(part)])[0], np.uint32)
-            pieces = np.split(ids, np.flatnonzero(self.closes[ids])[:-1] + 1)
-            if len(pieces) != len(part):  # normalization made other words of one
-                pieces = self._encode(part)
-            plain.update(zip(part, pieces, strict=True))
-        for w, text in stems.items():
-            self._add(w, plain[text], self.marks.get(w[-1:]))
-        for w, ids in zip(odd, self._encode([w.decode("utf-8", "replace") for w in odd]), strict=True):
-            self._add(w, ids, None)
-
-    def _add(self, word: bytes, ids: Iterable[int], mark: int | None) -> None:
-        self.at[word] = len(self.ends)
-        self.flat.extend(map(int, ids))
-        if mark is not None:
-            self.flat.append(mark)
-        self.starts.append(len(self.flat))
-        self.ends.append(word.endswith(_ENDS))
-
-    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids, and the places after the ids of words that end sentences."""
+            own = np.array(self._encode([" ".join(part)])[0], np.uint32)
+            size = np.diff(np.flatnonzero(self.closes[own]) + 1, prepend=0)
+            if len(size) != len(part):  # normalization made other words of one
+                each = self._encode(part)
+                own, size = np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each])
+            ids.append(own)
+            sizes.append(size)
+        if known:
+            flat, size = np.concatenate(ids), np.concatenate(sizes)
+            stem, mark = np.array(stem_of), np.array(mark_of, np.uint32)
+            many = size[stem] + (mark > 0)
+            upto = np.cumsum(many)
+            source = np.repeat((np.cumsum(size) - size)[stem] - upto + many, many) + np.arange(upto[-1])
+            out = flat[np.minimum(source, len(flat) - 1)]
+            out[upto[mark > 0] - 1] = mark[mark > 0]
+            self._add(known, out, many)
+        if odd:
+            each = self._encode([w.decode("utf-8", "replace") for w in odd])
+            self._add(odd, np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each]))
+
+    def _add(self, words: list[bytes], flat: np.ndarray, many: np.ndarray) -> None:
+        self.at.update(zip(words, range(len(self.ends), len(self.ends) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(many)])
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, [w.endswith(_ENDS) for w in words]])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by the ending id; where each text's ids end; and the
+        places behind the ids of words that end sentences."""
         if len(self.at) > CACHE_WORDS:
             self.clear()
         # A-Z can be lowered ahead of the tokenizer, except in what may be a special token
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split) - self.at.keys()
+        counts = np.array([len(w) for w in split])
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
         if new:
-            self.learn(new)
-        starts, ends = np.array(self.starts), np.array(self.ends, bool)
-        flat = np.array(self.flat, np.uint32)
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            many = starts[at + 1] - starts[at]
-            upto = np.cumsum(many)
-            total = int(upto[-1]) if len(upto) else 0
-            ids = flat[np.repeat(starts[at] - upto + many, many) + np.arange(total)]
-            out.append((ids, upto[ends[at]]))
-        return out
+            self.learn(list(dict.fromkeys(map(words.__getitem__, new))))
+            at[new] = [self.at[words[i]] for i in new]
+        at = np.insert(at, np.cumsum(counts), 0)
+        many = (self.starts[1:] - self.starts[:-1])[at]
+        upto = np.cumsum(many)
+        ids = self.flat[np.repeat(self.starts[at] - upto + many, many) + np.arange(upto[-1])]
+        return ids, upto[np.cumsum(counts + 1) - 1], upto[self.ends[at]]
 
 
 class Packer:
@@ -226,8 +238,14 @@ def _run(path: str, limit: int):
         packer = Packer(limit, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
         for ids, texts in _slices(batches):
-            for doc_id, (tokens, stops) in zip(ids, words.encode(texts), strict=True):
-                rows += packer.add(doc_id, np.append(tokens, np.uint32(END_ID)), stops)
+            if not ids:
+                continue
+            tokens, stops_at, sentences = words.encode(texts)
+            begin = 0
+            cut = np.searchsorted(sentences, stops_at, "right").tolist()
+            for doc_id, end, lo, hi in zip(ids, stops_at.tolist(), [0, *cut], cut, strict=False):
+                rows += packer.add(doc_id, tokens[begin:end], sentences[lo:hi] - begin)
+                begin = end
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_SCHEMA)
                 rows = []
