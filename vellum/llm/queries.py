@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import lines, minhash, mixing, packing, topk, vectors
+from vellum.llm import lines, minhash, mixing, packing, tokens, topk, toxicity, vectors
 from vellum.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.marked_lines(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,9 +47,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
+        "op2_token_counts": op2_token_counts,
         "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
         "op4_source_mixing": op4_source_mixing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
