@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.tables import written
 
-SIZES, BITS = (3, 4, 5), 20
-FEATURES, TRAIN_ROWS = 16_384, 16_000
+SIZES, BITS = (4, 6, 8), 20
+FEATURES, TRAIN_ROWS = 4_096, 16_000
 #: Added to counts; least documents of a feature; strength of the penalty; steps of the fit.
 ALPHA, LEAST_DOCS, PENALTY, STEPS = 1.0, 3, 2e-4, 200
 
