@@ -1,7 +1,69 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: documents through language ID, deduplication, mixing and packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet and
+read again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.llm import language, lines, minhash, mixing, packing
+from vellum.llm.tables import table, written
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is accepted, with the identified language in lang."""
+    rows = language.document_rows(docs, ["source", "n_chars"])
+    found = language.identify(rows.withColumn("full_text", F.col("text")), language.train(rows), ["full_text", "source", "n_chars"])
+    return found.where("accepted").select(F.col("id").alias("doc_id"), F.col("full_text").alias("text"), F.col("language").alias("lang"), "source", "n_chars")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat, or nearly repeat, an earlier line of the corpus."""
+    return lines.drop_repeated_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    groups = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang"))
+    return docs.join(groups, "doc_id", "left_semi").withColumn("one", one).where("one = 1").drop("one").unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs)
+    order = Window.partitionBy("doc_id").orderBy("size", "source")
+    taken = taken.select("doc_id", "size", "source", "copies").withColumn("nth", F.row_number().over(order)).where("doc_id is not null and copies > 0")
+    taken = taken.select("doc_id", "nth", "copies")
+    sized = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("nth", F.row_number().over(order))
+    rows = sized.join(taken, ["doc_id", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("line_dedup", drop_lines),
+    ("minhash_near_dedup", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: MinHash components, random rounding and tokenization are beyond SQL; tests hold the stages
+#: against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import lines, minhash, mixing, packing, tokens, topk, toxicity, vectors
+from vellum.llm import fixity, language, lines, minhash, mixing, packing, tokens, topk, toxicity, vectors
 from vellum.llm.tables import table
 
 
@@ -32,6 +32,16 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages together, with models fitted on the documents' languages."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    rows = language.document_rows(docs)
+    model = language.train(rows)
+    null = F.lit(None).cast("long")
+    both = rows.withColumn("page_id", null).unionByName(language.page_rows(pages).withColumn("page_id", F.col("id")).withColumn("id", null))
+    return language.identify(both, model, ["page_id"]).withColumnRenamed("id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +50,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return fixity.audit(fixity.archive_records(pages), fixity.archive_records(fixity.damaged_replica(pages)))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -51,8 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
         "op4_source_mixing": op4_source_mixing,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op6_language_id": op6_language_id,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
+        "op9_merkle_fixity": op9_merkle_fixity,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
     }
 
@@ -107,9 +124,35 @@ FROM (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id) r LEFT JOIN (SELECT
 """
 
 
+OP9_SQL = """
+WITH RECURSIVE
+replicas AS (
+  SELECT 'a' AS side, page_id, coalesce(url, '') || chr(10) || coalesce(html, '') AS payload FROM pages WHERE page_id IS NOT NULL
+  UNION ALL
+  SELECT 'b', page_id, coalesce(url, '') || chr(10) || coalesce(
+    CASE page_id % 97 WHEN 13 THEN html || chr(0) WHEN 41 THEN translate(html, 'e', '3') ELSE html END, '')
+  FROM pages WHERE page_id IS NOT NULL AND page_id % 97 <> 67),
+records AS (
+  SELECT side, page_id // 4096 AS archive, page_id % 4096 AS node, sha256(payload) AS digest, strlen(payload) AS n FROM replicas),
+placed AS (
+  SELECT side, archive, node, digest, sum(n) OVER w - n AS "offset", sum(n) OVER w AS "end" FROM records
+  WINDOW w AS (PARTITION BY side, archive ORDER BY node)),
+l1 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, min("offset") AS "offset", max("end") AS "end" FROM placed GROUP BY ALL),
+l2 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, min("offset") AS "offset", max("end") AS "end" FROM l1 GROUP BY ALL),
+l3 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, min("offset") AS "offset", max("end") AS "end" FROM l2 GROUP BY ALL),
+nodes AS (SELECT 0 AS level, * FROM placed UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3),
+a AS (SELECT * FROM nodes WHERE side = 'a'), b AS (SELECT * FROM nodes WHERE side = 'b')
+SELECT archive, level, node::INTEGER AS node,
+  CASE WHEN a.digest IS NULL THEN 'missing_a' WHEN b.digest IS NULL THEN 'missing_b' ELSE 'changed' END AS status,
+  a."offset"::BIGINT AS offset_a, a."end"::BIGINT AS end_a, b."offset"::BIGINT AS offset_b, b."end"::BIGINT AS end_b
+FROM a FULL JOIN b USING (archive, level, node) WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": OP1_SQL,
         "op5_minhash_near_dedup": OP5_SQL,
+        "op9_merkle_fixity": OP9_SQL,
         "op10_embedding_near_dedup": OP10_SQL,
     }
