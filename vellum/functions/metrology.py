@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
@@ -73,38 +73,41 @@ def _length(a):
     return F.sqrt(_dot(a, a))
 
 
-def real_dimensions(q: Column, width: Column, height: Column, focal_px: Column | None = None, distance: Column | None = None) -> Column:
-    """Width and height of a page seen in perspective.
+def with_real_dimensions(rows: DataFrame, q: str, width: float, height: float, focal_px: Column | None = None, distance: Column | None = None) -> DataFrame:
+    """``rows`` with ``dims``: width and height of a page seen in perspective, from its quad ``q``.
 
     The vanishing points of both pairs of sides give the directions of the sides, and without
     optics the focal length too; corners are then projected back onto the page's plane. Average side
     lengths stand in where a pair of sides is parallel, the focal length isn't real, or it exceeds
     1.2 times the longer image side. With a subject distance the result is physical, else a ratio.
+    The steps are columns of their own, so that shared terms are computed once.
     """
-    line = lambda a, b: _cross((a["x"], a["y"], F.lit(1.0)), (b["x"], b["y"], F.lit(1.0)))
-    tl, tr, br, bl = G.corners(q)
-    h1, h2 = _cross(line(tl, tr), line(bl, br)), _cross(line(tl, bl), line(tr, br))
-    far = (F.abs(h1[2]) < 1e-6) | (F.abs(h2[2]) < 1e-6)
+    c = F.col
+    null = F.lit(None).cast("double")
+    line = lambda a, b: F.array(*_cross((a["x"], a["y"], F.lit(1.0)), (b["x"], b["y"], F.lit(1.0))))
+    xyz = lambda name: tuple(c(name)[i] for i in range(3))
     cx, cy = width / 2.0, height / 2.0
-    z1, z2 = F.when(~far, h1[2]), F.when(~far, h2[2])
-    v1, v2 = (h1[0] / z1 - cx, h1[1] / z1 - cy), (h2[0] / z2 - cx, h2[1] / z2 - cy)
-    f2 = -(v1[0] * v2[0] + v1[1] * v2[1])
-    own = F.sqrt(F.when(f2 > 0, f2))
-    f = own if focal_px is None else F.coalesce(focal_px, own)
-    usable = ~far & f.isNotNull() & (f <= F.greatest(width, height) * 1.2)
-    n = _cross((*v1, f), (*v2, f))
-    ray = lambda x, y: ((x - cx) / f, (y - cy) / f, F.lit(1.0))
-    known = F.lit(None).cast("double")
-    if focal_px is not None and distance is not None:
-        middle = ray(*(sum(p[c] for p in (tl, tr, bl, br)) / 4.0 for c in ("x", "y")))
-        cosine = F.abs(_dot(middle, n) / _length(middle))
-        known = F.when(focal_px.isNotNull() & (cosine >= 0.1), distance * cosine)
-    scale = F.coalesce(known, F.lit(1.0))
-    place = lambda p: tuple(c * scale / _dot(n, ray(p["x"], p["y"])) for c in ray(p["x"], p["y"]))
-    apart = lambda a, b: _length(tuple(x - y for x, y in zip(place(a), place(b), strict=True)))
-    w, h = average_sides(q)
-    kind = F.when(usable & known.isNotNull(), "Physical").otherwise("Ratio")
-    return dimensions(kind, F.when(usable, (apart(tr, tl) + apart(br, bl)) / 2).otherwise(w), F.when(usable, (apart(bl, tl) + apart(br, tr)) / 2).otherwise(h))
+    ray = lambda x, y: ((x - cx) / c("_f"), (y - cy) / c("_f"), F.lit(1.0))
+    tl, tr, br, bl = G.corners(c(q))
+    out = rows.withColumns({"_t": line(tl, tr), "_o": line(bl, br), "_l": line(tl, bl), "_r": line(tr, br), "_given": null if focal_px is None else focal_px, "_dist": null if distance is None else distance})
+    out = out.withColumns({"_h": F.array(*_cross(xyz("_t"), xyz("_o"))), "_k": F.array(*_cross(xyz("_l"), xyz("_r")))})
+    z1, z2 = (F.when(F.abs(c(n)[2]) >= 1e-6, c(n)[2]) for n in ("_h", "_k"))
+    out = out.withColumns({"_ux": c("_h")[0] / z1 - cx, "_uy": c("_h")[1] / z1 - cy, "_vx": c("_k")[0] / z2 - cx, "_vy": c("_k")[1] / z2 - cy})
+    f2 = -(c("_ux") * c("_vx") + c("_uy") * c("_vy"))
+    out = out.withColumn("_f", F.coalesce("_given", F.sqrt(F.when(f2 > 0, f2))))
+    out = out.withColumn("_f", F.when(f2.isNotNull() & (c("_f") <= max(width, height) * 1.2), c("_f")))
+    out = out.withColumn("_n", F.array(*_cross((c("_ux"), c("_uy"), c("_f")), (c("_vx"), c("_vy"), c("_f")))))
+    out = out.withColumn("_m", F.array(*ray(*(sum(p[x] for p in (tl, tr, bl, br)) / 4.0 for x in ("x", "y")))))
+    cosine = F.abs(_dot(xyz("_m"), xyz("_n")) / _length(xyz("_m")))
+    out = out.withColumn("_known", F.when(c("_given").isNotNull() & (cosine >= 0.1), c("_dist") * cosine))
+    for name, p in zip(("_a", "_b", "_c", "_d"), (tl, tr, br, bl), strict=True):
+        r = ray(p["x"], p["y"])
+        out = out.withColumn(name, F.array(*(x * F.coalesce("_known", F.lit(1.0)) / _dot(xyz("_n"), r) for x in r)))
+    apart = lambda a, b: _length(tuple(x - y for x, y in zip(xyz(a), xyz(b), strict=True)))
+    w, h = average_sides(c(q))
+    kind = F.when(c("_known").isNotNull(), "Physical").otherwise("Ratio")
+    dims = dimensions(kind, F.coalesce((apart("_b", "_a") + apart("_c", "_d")) / 2, w), F.coalesce((apart("_d", "_a") + apart("_c", "_b")) / 2, h))
+    return out.select(*rows.columns, dims.alias("dims"), c("_f").isNotNull().alias("perspective"))
 
 
 def focal_in_pixels(focal: Column, sensor: Column, image_width: Column) -> Column:

@@ -1 +1,6 @@
-"""vellum.plans"""
+"""Queries over the page-image views, and their SQL."""
+
+from vellum.plans import evaluation, geometry, pixel_queries, store, streams  # noqa: F401
+from vellum.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
