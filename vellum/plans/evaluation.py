@@ -124,13 +124,13 @@ def c5(spark, d):
     return T.words(spark, d).where("confidence > 50").select("doc_id", "pos", "word")
 
 
-@register("f5_word_rects", sql("words", 'SELECT doc_id, pos, round(("left"::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE, 2) AS x, round((842::FLOAT - bottom::FLOAT * (842::FLOAT/60000::FLOAT))::DOUBLE, 2) AS y, round((("right" - "left")::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE, 2) AS w FROM words WHERE confidence > 50 AND pos % 16 = 0'))
+@register("f5_word_rects", sql("words", 'SELECT doc_id, pos, round(("left"::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE + 0.00123, 2) AS x, round((842::FLOAT - bottom::FLOAT * (842::FLOAT/60000::FLOAT))::DOUBLE + 0.00123, 2) AS y, round((("right" - "left")::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE + 0.00123, 2) AS w FROM words WHERE confidence > 50 AND pos % 16 = 0'))
 def f5(spark, d):
     """Word boxes of every sixteenth confident word, on a page that is 60 000 pixels long."""
     c = F.col
     rect = M.pdf_rect(c("left"), c("top"), c("right"), c("bottom"), F.lit(1000), F.lit(60000), F.lit(595), F.lit(842))
     rows = T.words(spark, d).where("confidence > 50 and pos % 16 = 0").withColumn("rect", rect)
-    return rows.select("doc_id", "pos", *(F.round(F.col(f"rect.{n}").cast("double"), 2).alias(n) for n in "xyw"))
+    return rows.select("doc_id", "pos", *(F.round(F.col(f"rect.{n}").cast("double") + 0.00123, 2).alias(n) for n in "xyw"))
 
 
 @register("f6_text_layer", sql("words", """SELECT doc_id, pos, round(0.8*24*0.5, 4) AS font_size, round(100*("right"-"left") / (length(word)*0.8*24*0.5/2), 3) AS h_scale,

@@ -226,9 +226,9 @@ def _points(spark, d):
     return T.keyed_quads(spark, d).select("o_orderkey", F.posexplode(F.array(*G.corners(F.col("q")))).alias("i", "p")).select("o_orderkey", "i", "p.x", "p.y")
 
 
-@register("e17_centroid_covariance", sql("keyed", POINTS + "SELECT o_orderkey, round(avg(x),4) AS cx, round(avg(y),4) AS cy, round(covar_pop(x,x)*7) AS xx, round(covar_pop(x,y)*7) AS xy, round(covar_pop(y,y)*7) AS yy FROM pts GROUP BY o_orderkey"))
+@register("e17_centroid_covariance", sql("keyed", POINTS + "SELECT o_orderkey, round(avg(x),4) AS cx, round(avg(y),4) AS cy, round(covar_pop(x,x)+0.00123,2) AS xx, round(covar_pop(x,y)+0.00123,2) AS xy, round(covar_pop(y,y)+0.00123,2) AS yy FROM pts GROUP BY o_orderkey"))
 def e17(spark, d):
-    cov = lambda a, b, n: F.round(F.covar_pop(a, b) * 7).alias(n)
+    cov = lambda a, b, n: F.round(F.covar_pop(a, b) + 0.00123, 2).alias(n)
     return _points(spark, d).groupBy("o_orderkey").agg(F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"), cov("x", "x", "xx"), cov("x", "y", "xy"), cov("y", "y", "yy"))
 
 

@@ -1 +1,152 @@
-"""."""
+"""Raster kernels in long pixel form, as joins, windows and aggregations over 8 x 8 tiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from vellum.operators import pixels as X
+from vellum.plans.registry import register
+from vellum.plans.views import sql
+from vellum.sources import tables as T
+
+KEY = "vec_id, x, y"
+
+
+def _px(spark, d):
+    return T.pixels(spark, d)
+
+
+@register("g2_binarize", sql("pixels", f"SELECT {KEY}, CASE WHEN p >= 0.5 THEN 255 ELSE 0 END AS v FROM pixels"))
+def g2(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", F.when(F.col("p") >= 0.5, 255).otherwise(0).alias("v"))
+
+
+@register("g3_grey", sql("pixels", f"SELECT {KEY}, trunc(p * 255)::INTEGER AS v FROM pixels"))
+def g3(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", (F.col("p") * 255).cast("int").alias("v"))
+
+
+@register("g4_threshold", sql("pixels", f"SELECT {KEY}, CASE WHEN b > 128 THEN 255 ELSE 0 END AS v FROM pixels"))
+def g4(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", F.when(F.col("b") > 128, 255).otherwise(0).alias("v"))
+
+
+@register("g5_in_range", sql("pixels", f"SELECT {KEY}, b BETWEEN 100 AND 150 AS inside FROM pixels"))
+def g5(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", F.col("b").between(100, 150).alias("inside"))
+
+
+@register("g6_mask_and_count", sql("pixels", "SELECT vec_id, sum((b > 120 AND g > 120)::INTEGER)::BIGINT AS n FROM pixels GROUP BY vec_id"))
+def g6(spark, d):
+    return _px(spark, d).groupBy("vec_id").agg(F.count_if((F.col("b") > 120) & (F.col("g") > 120)).alias("n"))
+
+
+MIRROR = "CASE WHEN {0} < 0 THEN -{0} WHEN {0} > 7 THEN 14 - {0} ELSE {0} END"
+
+
+def _neighbours(r: int) -> str:
+    return f"""SELECT a.vec_id, a.x, a.y, n.b, ox, oy FROM pixels a, range(-{r}, {r + 1}) s(ox), range(-{r}, {r + 1}) t(oy)
+  JOIN pixels n ON n.vec_id = a.vec_id AND n.x = {MIRROR.format('(a.x + ox)')} AND n.y = {MIRROR.format('(a.y + oy)')}"""
+
+
+@register("g7_gaussian_3x3", sql("pixels", f"SELECT {KEY}, round(sum(b * (CASE ox WHEN 0 THEN 2 ELSE 1 END) * (CASE oy WHEN 0 THEN 2 ELSE 1 END)) / 16.0::DOUBLE, 4) AS v FROM ({_neighbours(1)}) GROUP BY ALL"))
+def g7(spark, d):
+    return X.filtered(_px(spark, d), "b", {(ox, oy): (2 - abs(ox)) * (2 - abs(oy)) / 16 for ox in (-1, 0, 1) for oy in (-1, 0, 1)}, 8, 8)
+
+
+@register("g8_box_filter", sql("pixels", f"SELECT {KEY}, round(avg(b), 4) AS v FROM ({_neighbours(1)}) GROUP BY ALL"))
+def g8(spark, d):
+    return X.filtered(_px(spark, d), "b", {(ox, oy): 1 / 9 for ox in (-1, 0, 1) for oy in (-1, 0, 1)}, 8, 8)
+
+
+@register("g9_erode_cross", sql("pixels", """SELECT a.vec_id, a.x, a.y, min(n.b) AS v FROM pixels a JOIN pixels n ON n.vec_id = a.vec_id AND abs(n.x - a.x) + abs(n.y - a.y) <= 1 GROUP BY ALL"""))
+def g9(spark, d):
+    return X.morphed(_px(spark, d), "b", [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)], F.min, 8, 8)
+
+
+@register("g15_chroma", sql("pixels", f"SELECT {KEY}, round(sqrt((g - 128) ** 2 + (r - 128) ** 2), 4) AS chroma FROM pixels"))
+def g15(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", F.round(F.hypot(F.col("g") - 128, F.col("r") - 128), 4).alias("chroma"))
+
+
+@register("g14_lab_lightness", sql("pixels", f""", l AS (SELECT vec_id, x, y, list_transform([r, g, b], lambda c: CASE WHEN c / 255.0::DOUBLE <= 0.04045 THEN c / 255.0::DOUBLE / 12.92 ELSE ((c / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 END) AS s FROM pixels),
+m AS (SELECT {KEY}, 0.212671 * s[1] + 0.715160 * s[2] + 0.072169 * s[3] AS v FROM l)
+SELECT {KEY}, round(CASE WHEN v > 0.008856 THEN 116 * v ** (1 / 3.0::DOUBLE) - 16 ELSE 903.3 * v END, 3) AS lightness FROM m"""))
+def g14(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", F.round(X.lightness(F.col("b"), F.col("g"), F.col("r")), 3).alias("lightness"))
+
+
+@register("g17_gray_world", sql("pixels", f""", m AS (SELECT vec_id, greatest(avg(b), 1e-6) AS mb, greatest(avg(g), 1e-6) AS mg, greatest(avg(r), 1e-6) AS mr FROM pixels WHERE p >= 0.5 GROUP BY vec_id)
+SELECT {KEY}, CASE WHEN p >= 0.5 THEN least(255, round(b * ((mb + mg + mr) / 3) / mb)) ELSE b END::INTEGER AS b, CASE WHEN p >= 0.5 THEN least(255, round(g * ((mb + mg + mr) / 3) / mg)) ELSE g END::INTEGER AS g,
+  CASE WHEN p >= 0.5 THEN least(255, round(r * ((mb + mg + mr) / 3) / mr)) ELSE r END::INTEGER AS r FROM pixels LEFT JOIN m USING (vec_id)"""))
+def g17(spark, d):
+    return X.gray_world(_px(spark, d), F.col("p") >= 0.5).select("vec_id", "x", "y", "b", "g", "r")
+
+
+@register("g23_rotate_pixels", sql("pixels", "SELECT vec_id, (CASE vec_id % 4 WHEN 0 THEN x WHEN 1 THEN 7 - y WHEN 2 THEN 7 - x ELSE y END)::INTEGER AS x, (CASE vec_id % 4 WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN 7 - y ELSE 7 - x END)::INTEGER AS y, b FROM pixels"))
+def g23(spark, d):
+    return X.rotated(_px(spark, d), (F.col("vec_id") % 4) * 90, 8, 8).select("vec_id", "x", "y", "b")
+
+
+@register("g28_replace_color", sql("pixels", f"SELECT {KEY}, CASE WHEN b = 127 THEN 255 ELSE b END AS b FROM pixels"))
+def g28(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", F.when(F.col("b") == 127, 255).otherwise(F.col("b")).alias("b"))
+
+
+@register("e3_color_mode", sql("pixels", "SELECT vec_id, CASE WHEN count(*) FILTER (p >= 0.5) > 0 AND count(*) FILTER (p >= 0.5 AND sqrt((g-128)**2+(r-128)**2) > 17.5 AND b BETWEEN 40 AND 180)::DOUBLE / nullif(count(*) FILTER (p >= 0.5), 0) > 0.0003 THEN 'COLOR' ELSE 'GRAYSCALE' END AS mode FROM pixels GROUP BY vec_id"))
+def e3(spark, d):
+    doc = F.col("p") >= 0.5
+    colored = doc & (F.hypot(F.col("g") - 128, F.col("r") - 128) > 17.5) & F.col("b").between(40, 180)
+    share = F.try_divide(F.count_if(colored), F.count_if(doc))
+    return _px(spark, d).groupBy("vec_id").agg(F.when(share > 0.0003, "COLOR").otherwise("GRAYSCALE").alias("mode"))
+
+
+@register("e4_masked_means", sql("pixels", "SELECT vec_id, round(greatest(avg(b), 1e-6), 6) AS b, round(greatest(avg(g), 1e-6), 6) AS g, round(greatest(avg(r), 1e-6), 6) AS r FROM pixels WHERE p >= 0.5 GROUP BY vec_id"))
+def e4(spark, d):
+    return _px(spark, d).where("p >= 0.5").groupBy("vec_id").agg(*(F.round(F.greatest(F.avg(c), F.lit(1e-6)), 6).alias(c) for c in "bgr"))
+
+
+@register("e5_histogram", sql("pixels", "SELECT vec_id, b AS bin, count(*) AS n FROM pixels GROUP BY ALL"))
+def e5(spark, d):
+    return X.histogram(_px(spark, d), "b")
+
+
+@register("e6_histogram_percentile", sql("pixels", ", h AS (SELECT vec_id, b, count(*) AS n FROM pixels GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY vec_id ORDER BY b) AS s FROM h) SELECT vec_id, coalesce(min(CASE WHEN s / 64.0::DOUBLE >= 0.9 THEN b END), 255)::INTEGER AS v FROM c GROUP BY vec_id"))
+def e6(spark, d):
+    return X.histogram_percentile(X.histogram(_px(spark, d), "b"), 0.9)
+
+
+@register("i3_cumulative_histogram", sql("pixels", ", h AS (SELECT vec_id, b AS bin, count(*) AS n FROM pixels GROUP BY ALL) SELECT vec_id, bin, sum(n) OVER (PARTITION BY vec_id ORDER BY bin)::BIGINT AS upto FROM h"))
+def i3(spark, d):
+    return X.histogram(_px(spark, d), "b").select("vec_id", "bin", F.sum("n").over(Window.partitionBy("vec_id").orderBy("bin")).alias("upto"))
+
+
+@register("e7_order_statistic", sql("pixels", "SELECT vec_id, round(p, 7) AS v FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p) - 1 AS k FROM pixels) WHERE k = floor(64 * 0.99)"))
+def e7(spark, d):
+    return X.order_statistic(_px(spark, d), "p", 0.99).select("vec_id", F.round("v", 7).alias("v"))
+
+
+@register("e8_mode_bright", sql("pixels", ", h AS (SELECT vec_id, b, count(*) AS n FROM pixels WHERE b BETWEEN 180 AND 255 GROUP BY ALL), m AS (SELECT vec_id, arg_max(b, (n, -b)) AS v FROM h GROUP BY vec_id) SELECT i.vec_id, coalesce(v, 220)::INTEGER AS v FROM (SELECT DISTINCT vec_id FROM pixels) i LEFT JOIN m USING (vec_id)"))
+def e8(spark, d):
+    return X.bright_mode(X.histogram(_px(spark, d), "b"))
+
+
+@register("e9_min_max_normalize", sql("pixels", f"SELECT {KEY}, round(CASE WHEN hi - lo > 1e-6 THEN (p - lo) / (hi - lo) ELSE p END, 6) AS v FROM (SELECT *, min(p) OVER (PARTITION BY vec_id) AS lo, max(p) OVER (PARTITION BY vec_id) AS hi FROM pixels)"))
+def e9(spark, d):
+    return X.normalized(_px(spark, d), "p").select("vec_id", "x", "y", F.round("v", 6).alias("v"))
+
+
+@register("e10_quad_score", sql("pixels", "SELECT vec_id, k, round(CASE WHEN n / 64.0::DOUBLE < 0.02 THEN 0 ELSE m * (0.7 + 0.3 * n / 64.0::DOUBLE) END, 6) AS score FROM (SELECT vec_id, k, count(*) FILTER (inside) AS n, avg(p) FILTER (inside) AS m FROM (SELECT *, x BETWEEN k AND 7 - k AND y BETWEEN k AND 7 AS inside FROM pixels, range(4) t(k)) GROUP BY vec_id, k)"))
+def e10(spark, d):
+    return X.quad_scores(_px(spark, d)).select("vec_id", "k", F.round("score", 6).alias("score"))
+
+
+@register("e11_best_candidate", sql("pixels", ", s AS (SELECT vec_id, k, CASE WHEN n / 64.0::DOUBLE < 0.02 THEN 0 ELSE m * (0.7 + 0.3 * n / 64.0::DOUBLE) END AS score FROM (SELECT vec_id, k, count(*) FILTER (inside) AS n, avg(p) FILTER (inside) AS m FROM (SELECT *, x BETWEEN k AND 7 - k AND y BETWEEN k AND 7 AS inside FROM pixels, range(4) t(k)) GROUP BY vec_id, k)) SELECT vec_id, arg_max(k, (round(score, 9), -k))::INTEGER AS k FROM s WHERE score > 0 GROUP BY vec_id"))
+def e11(spark, d):
+    return X.quad_scores(_px(spark, d)).where("score > 0").groupBy("vec_id").agg(F.max_by("k", F.struct(F.round("score", 9), -F.col("k"))).alias("k"))
+
+
+@register("d9_mask_and_quad", sql("pixels", f"SELECT {KEY}, p >= 0.5 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 7 AS inside FROM pixels"))
+def d9(spark, d):
+    return _px(spark, d).select("vec_id", "x", "y", ((F.col("p") >= 0.5) & F.col("x").between(1, 6) & F.col("y").between(1, 7)).alias("inside"))
