@@ -47,14 +47,14 @@ def f16(spark, d):
 
 
 @register("f26_wiggle_rollback", sql("frames", """, p AS (SELECT session, seq, dx, lag(dx) OVER w AS before, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS ms FROM frames WINDOW w AS (PARTITION BY session ORDER BY ts, seq))
-SELECT session, seq, round(CASE WHEN ms <= 70000000 AND abs(dx - before) <= 5 THEN before ELSE dx END, 4) AS dx FROM p"""))
+SELECT session, seq, round(CASE WHEN ms <= 70000000 AND round(abs(dx - before), 6) <= 5 THEN before ELSE dx END, 4) AS dx FROM p"""))
 def f26(spark, d):
     """A last small, quick step of a drag is taken back (time scaled to these sparse frames)."""
     w = Window.partitionBy("session").orderBy("ts", "seq")
     dx = F.col("q.topLeft.x") - 10.0
     ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.lag(F.unix_millis(F.col("ts").cast("timestamp"))).over(w)
     rows = T.frames(spark, d).select("session", "seq", dx.alias("dx"), F.lag(dx).over(w).alias("before"), ms.alias("ms"))
-    undo = (F.col("ms") <= 70_000_000) & (F.round(F.abs(F.col("dx") - F.col("before")), 9) <= 5)
+    undo = (F.col("ms") <= 70_000_000) & (F.round(F.abs(F.col("dx") - F.col("before")), 6) <= 5)
     return rows.select("session", "seq", F.round(F.when(undo, F.col("before")).otherwise(F.col("dx")), 4).alias("dx"))
 
 
