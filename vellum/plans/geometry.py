@@ -12,7 +12,6 @@ from vellum.plans.registry import register
 from vellum.plans.views import sql
 from vellum.sources import tables as T
 
-W, H = F.lit(T.WIDTH), F.lit(T.HEIGHT)
 KEY = ["l_orderkey", "l_linenumber"]
 
 
@@ -23,7 +22,6 @@ def _flat(q, digits=4):
     return out
 
 
-NORM = "sqrt(({0}x-{1}x)*({0}x-{1}x)+({0}y{2}-{1}y{3})*({0}y{2}-{1}y{3}))"
 TOP, BOTTOM = "sqrt((tlx-trx)**2+(tly-try_)**2)", "sqrt((blx-brx)**2+(bly-bry)**2)"
 LEFT, RIGHT = "sqrt((tlx-blx)**2+(tly-bly)**2)", "sqrt((trx-brx)**2+(try_-bry)**2)"
 FLAT = "round(tlx,4) tl_x, round(tly,4) tl_y, round(trx,4) tr_x, round(try_,4) tr_y, round(brx,4) br_x, round(bry,4) br_y, round(blx,4) bl_x, round(bly,4) bl_y"
@@ -58,13 +56,13 @@ def _turned(n, x, y):
     + " FROM quads)" + ORDERED.format(keys="l_orderkey, l_linenumber"),
 )
 def f3(spark, d):
-    q = T.quads(spark, d).withColumn("r", G.rotate90(F.col("q"), F.col("l_linenumber") % 6, W, H))
+    q = T.quads(spark, d).withColumn("r", G.rotate90(F.col("q"), F.col("l_linenumber") % 6, F.lit(T.WIDTH), F.lit(T.HEIGHT)))
     return q.select(*KEY, *_flat(F.col("r")))
 
 
 @register("f4_scaled_to", sql("quads", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({c}{a}{'_' if c + a == 'try' else ''} * {1000 / 640 if a == 'x' else 800 / 480!r}, 4) AS {c}_{a}" for c in ("tl", "tr", "br", "bl") for a in "xy") + " FROM quads"))
 def f4(spark, d):
-    return T.quads(spark, d).select(*KEY, G.scaled_to(F.col("q"), W, H, F.lit(1000.0), F.lit(800.0)).alias("s")).select(*KEY, *_flat(F.col("s")))
+    return T.quads(spark, d).select(*KEY, G.scaled_to(F.col("q"), F.lit(T.WIDTH), F.lit(T.HEIGHT), F.lit(1000.0), F.lit(800.0)).alias("s")).select(*KEY, *_flat(F.col("s")))
 
 
 @register("c3_valid_quad", sql("quads", "SELECT l_orderkey, l_linenumber, (tlx BETWEEN 0 AND 605 AND tly BETWEEN 0 AND 455 AND trx BETWEEN 0 AND 605 AND try_ BETWEEN 0 AND 455 AND brx BETWEEN 0 AND 605 AND bry BETWEEN 0 AND 455 AND blx BETWEEN 0 AND 605 AND bly BETWEEN 0 AND 455) AS valid FROM quads"))
@@ -100,10 +98,6 @@ def f10(spark, d):
     return T.quads(spark, d).select(*KEY, M.pixel_dimensions(dims, F.col("q")).alias("s")).select(*KEY, F.round("s.width", 4).alias("width"), F.round("s.height", 4).alias("height"))
 
 
-def _v(a, b, s=""):
-    return f"({a}y{'_' if a == 'tr' else ''}-{b}y{'_' if b == 'tr' else ''}) {s}a1, ({b}x-{a}x) {s}b1"
-
-
 def _perspective(focal: str, distance: str) -> str:
     y = lambda c: c + ("y_" if c == "tr" else "y")
     line = lambda n, a, b: f"{y(a)}-{y(b)} AS {n}a, {b}x-{a}x AS {n}b, {a}x*{y(b)}-{y(a)}*{b}x AS {n}c"
@@ -195,7 +189,7 @@ def f13(spark, d):
 
 @register("f15_lerp_quad", sql("keyed", "SELECT o_orderkey, " + ", ".join(f"round({c}{a}{'_' if c + a == 'try' else ''} + 0.15 * ({0 if c in ('tl', 'bl') and a == 'x' or c in ('tl', 'tr') and a == 'y' else (640 if a == 'x' else 480)} - {c}{a}{'_' if c + a == 'try' else ''}), 4) AS {c}_{a}" for c in ("tl", "tr", "br", "bl") for a in "xy") + " FROM keyed"))
 def f15(spark, d):
-    z = F.lit(0.0)
+    z, W, H = F.lit(0.0), F.lit(T.WIDTH), F.lit(T.HEIGHT)  # noqa: N806
     frame = G.quad(G.point(z, z), G.point(W, z), G.point(W, H), G.point(z, H))
     return T.keyed_quads(spark, d).select("o_orderkey", G.lerp_quad(F.col("q"), frame, F.lit(0.15)).alias("s")).select("o_orderkey", *_flat(F.col("s")))
 
