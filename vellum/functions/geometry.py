@@ -35,27 +35,35 @@ def centroid(points: list[Column]) -> Column:
     return point(sum(p["x"] for p in points) / n, sum(p["y"] for p in points) / n)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def create_quad(points: Column) -> Column:
     """Quad of an array of four points, ordered by their angle about the centroid.
 
     Null for any other number of points. Equal angles keep the array's order.
     """
-    n = F.size(points)
-    total = F.aggregate(points, point(F.lit(0.0), F.lit(0.0)), lambda a, p: point(a["x"] + p["x"], a["y"] + p["y"]))
-    keyed = F.transform(points, lambda p, i: F.struct(F.atan2(p["y"] - total["y"] / n, p["x"] - total["x"] / n).alias("angle"), i.alias("i"), p.alias("p")))
-    ordered = F.array_sort(keyed)
-    return F.when(n == 4, quad(*(F.element_at(ordered, k)["p"] for k in range(1, 5))))
+
+    def ordered(ps: Column, total: Column) -> Column:
+        n = F.size(ps)
+        return F.array_sort(F.transform(ps, lambda p, i: F.struct(F.atan2(p["y"] - total["y"] / n, p["x"] - total["x"] / n).alias("angle"), i.alias("i"), p.alias("p"))))
+
+    total = lambda ps: F.aggregate(ps, point(F.lit(0.0), F.lit(0.0)), lambda a, p: point(a["x"] + p["x"], a["y"] + p["y"]))
+    pick = lambda o: F.when(F.size(o) == 4, quad(*(F.get(o, F.lit(k))["p"] for k in range(4))))
+    return let(points, lambda ps: let(total(ps), lambda t: let(ordered(ps, t), pick)))
 
 
 def rotate90(q: Column, turns: Column, width: Column, height: Column) -> Column:
     """Corners after quarter turns clockwise of a width x height image; other turns than 1 to 3
     modulo 4 change nothing."""
     k = turns % 4
-    turned = [
-        F.when(k == 1, point(height - p["y"], p["x"])).when(k == 2, point(width - p["x"], height - p["y"])).when(k == 3, point(p["y"], width - p["x"])).otherwise(point(p["x"], p["y"]))
-        for p in corners(q)
-    ]
-    return create_quad(F.array(*turned))
+
+    def turned(p: Column) -> Column:
+        return F.when(k == 1, point(height - p["y"], p["x"])).when(k == 2, point(width - p["x"], height - p["y"])).when(k == 3, point(p["y"], width - p["x"])).otherwise(p)
+
+    return create_quad(F.transform(F.array(*corners(q)), turned))
 
 
 def scaled(q: Column, sx: Column, sy: Column) -> Column:
