@@ -128,7 +128,11 @@ def identify(rows: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     every = scored.agg(*(F.count_if(F.col("vote") == i).alias(f"n{i}") for i in range(size))).first()
     total = sum(every) + size
     wide = F.array(*(F.lit((n + 1) / total) for n in every))
-    joined = scored.join(_votes(scored, "suffix", size), "suffix", "left").join(_votes(scored, "host", size), "host", "left")
+    joined = scored
+    for key in ("suffix", "host"):  # rows without a key are spread, and match nothing
+        votes = _votes(scored, key, size).withColumnRenamed(key, "at")
+        place = F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("id", "n", "sums"), F.lit(1 << 20)).cast("string")))
+        joined = joined.withColumn("place", place).join(votes, F.col("place") == F.col("at"), "left").drop("place", "at")
     prior = _smoothed("host_votes", _smoothed("suffix_votes", wide))
     scale = F.when(F.col("n") > 0, F.least(F.lit(1.0), F.lit(MOST_EVIDENCE) / F.col("n"))).otherwise(0.0)
     other = (1 - RELIABILITY) / max(size - 1, 1)
