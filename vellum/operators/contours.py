@@ -1,0 +1,149 @@
+"""Quads from mask contours, and convex hulls: Arrow-batched kernels on rows that hold points.
+
+Directions are complex unit numbers, so that smoothing is a circular sum and the angle between two
+is the argument of their quotient.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+POINTS = "array<struct<x:double,y:double>>"
+#: Smoothing window, angles (degrees) within a segment, between segments that merge
+#: and between dominant ones, least part of the perimeter, least points of a contour.
+WINDOW, WITHIN, MERGE, APART, LEAST_PART, LEAST_POINTS = 5, 5.0, 7.0, 25.0, 0.02, 20
+
+
+def directions(z: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Smoothed unit directions along a closed contour of complex points."""
+    step = np.roll(z, -1) - np.roll(z, 1)
+    unit = np.exp(1j * np.angle(step))
+    padded = np.concatenate([unit[-window:], unit, unit[:window]])
+    total = np.convolve(padded, np.ones(2 * window + 1), "valid")
+    return np.exp(1j * np.angle(total))
+
+
+def _between(a: complex, b: complex) -> float:
+    return abs(np.degrees(np.angle(a / b)))
+
+
+def _middle(a: complex, b: complex) -> complex:
+    return np.exp(1j * np.angle(a + b))
+
+
+def straight_runs(z: np.ndarray, way: np.ndarray, least: float) -> list[tuple[int, int, complex, float]]:
+    """Runs (start, end, direction, length) that keep within an angle of their running direction.
+
+    They begin behind the sharpest turn. A run once around has no length and is dropped.
+    """
+    n = len(z)
+    turn = np.abs(np.angle(np.roll(way, -1) / way))
+    start = (int(np.argmax(turn)) + 1) % n if turn.max() > 0 else 0
+    order = (start + np.arange(n)) % n
+    upto = np.concatenate([[0.0], np.cumsum(np.abs(np.diff(z[np.append(order, start)])))])
+    runs, begin, mean = [], 0, way[start]
+    for i in range(1, n + 1):
+        if i < n and _between(way[order[i]], mean) < WITHIN:
+            mean = _middle(mean, way[order[i]])
+            continue
+        length = 0.0 if i - begin == n else upto[i] - upto[begin]
+        if length >= least and length > 0:
+            runs.append((int(order[begin]), int(order[i % n]), mean, length))
+        if i < n:
+            begin, mean = i, way[order[i]]
+    return runs
+
+
+def merged(runs: list[tuple]) -> list[tuple]:
+    """Neighbours of nearly one direction as one run, where there are more than four."""
+    if len(runs) <= 4:
+        return runs
+    out = runs[:1]
+    for run in runs[1:]:
+        last = out[-1]
+        if _between(run[2], last[2]) < MERGE:
+            out[-1] = (last[0], run[1], _middle(last[2], run[2]), last[3] + run[3])
+        else:
+            out.append(run)
+    return out
+
+
+def dominant(runs: list[tuple], most: int = 4) -> list[tuple]:
+    """The longest runs whose directions lie apart, in contour order."""
+    chosen: list[tuple] = []
+    for run in sorted(runs, key=lambda r: -r[3]):
+        if len(chosen) < most and all(_between(run[2], c[2]) >= APART for c in chosen):
+            chosen.append(run)
+    return sorted(chosen)
+
+
+def quad_of_contour(points: np.ndarray) -> np.ndarray | None:
+    """Corners where lines fitted to the four dominant sides meet; none for other shapes."""
+    if len(points) < LEAST_POINTS:
+        return None
+    z = points[:, 0] + 1j * points[:, 1]
+    least = LEAST_PART * np.abs(np.diff(z)).sum()
+    sides = dominant(merged(straight_runs(z, directions(z), least)))
+    if len(sides) != 4:
+        return None
+    lines = []
+    for start, end, *_ in sides:
+        own = points[start:end] if start < end else np.concatenate([points[start:], points[:end]])
+        centre = own.mean(axis=0)
+        _, _, axes = np.linalg.svd(own - centre, full_matrices=False)
+        lines.append((centre, axes[0]))
+    corners = []
+    for (p, d), (q, e) in zip(lines, lines[1:] + lines[:1], strict=True):
+        cross = d[0] * e[1] - d[1] * e[0]
+        if abs(cross) < 1e-6:
+            return None
+        t = ((q[0] - p[0]) * e[1] - (q[1] - p[1]) * e[0]) / cross
+        corners.append(p + t * d)
+    return np.array(corners)
+
+
+def _turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+
+def convex_hull(points: np.ndarray) -> np.ndarray:
+    """Hull of distinct points in order; up to three are returned sorted."""
+    p = np.unique(points, axis=0)
+    if len(p) <= 3:
+        return p
+
+    def chain(ps: np.ndarray) -> list:
+        kept: list = []
+        for q in ps:
+            while len(kept) > 1 and _turn(kept[-2], kept[-1], q) <= 0:
+                kept.pop()
+            kept.append(q)
+        return kept[:-1]
+
+    return np.array(chain(p) + chain(p[::-1]))
+
+
+def _each(kernel, id_col: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for row in pdf["points"]:
+                points = np.array([(p["x"], p["y"]) for p in row], np.float64).reshape(-1, 2) if row is not None else np.empty((0, 2))
+                got = kernel(points) if len(points) else None
+                found.append(None if got is None else [{"x": float(x), "y": float(y)} for x, y in got])
+            yield pd.DataFrame({id_col: pdf[id_col], "points": found})
+
+    return run
+
+
+def quads_from_contours(contours: DataFrame, id_col: str) -> DataFrame:
+    """``id, points`` (ordered contour) to ``id, points`` (four corners, or null)."""
+    return contours.select(id_col, "points").mapInPandas(_each(quad_of_contour, id_col), f"{id_col} long, points {POINTS}")
+
+
+def hulls(points: DataFrame, id_col: str) -> DataFrame:
+    return points.select(id_col, "points").mapInPandas(_each(convex_hull, id_col), f"{id_col} long, points {POINTS}")
