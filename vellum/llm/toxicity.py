@@ -124,8 +124,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)").distinct()
     marked = written(marked, "labels")
-    train = likely_ids(source.where("not held_out"), marked, "doc_id").join(marked, "doc_id").select("doc_id", "text", "label")
-    counts = train.select("text", "label").mapInArrow(_count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    train = lambda ids: likely_ids(source.where("not held_out"), ids, "doc_id").join(marked, "doc_id").select("doc_id", "text", "label")
+    counts = train(marked).select("text", "label").mapInArrow(_count, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     sizes = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0).groupBy("label").count()
     total = {r["label"]: r["count"] for r in sizes.collect()}
     rate = lambda n, label: F.log((F.col(n) + ALPHA) / (total.get(label, 0) + 2 * ALPHA))
@@ -137,7 +137,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
     rows = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
     sample = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS), "sample")
-    chosen_rows = likely_ids(train, sample, "doc_id").join(sample.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen_rows = train(sample).join(sample.select("doc_id").distinct(), "doc_id", "left_semi")
     found = chosen_rows.select("text", "label").mapInArrow(_present(chosen), "label int, found array<int>")
     model = found.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit(scale), "place int, weight double").toPandas().sort_values("place")
     bias, weights = (float(model["weight"].iloc[0]), model["weight"].to_numpy()[1:]) if len(model) else (0.0, np.zeros(len(chosen)))
