@@ -33,14 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs)
-    order = Window.partitionBy("doc_id").orderBy("size", "source")
-    taken = taken.select("doc_id", "size", "source", "copies").withColumn("nth", F.row_number().over(order)).where("doc_id is not null and copies > 0")
-    taken = taken.select("doc_id", "nth", "copies")
-    sized = docs.withColumn("size", mixing.word_count(F.col("text"))).withColumn("nth", F.row_number().over(order))
-    rows = sized.join(taken, ["doc_id", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(docs.columns)
+    """Each document as often as the mix takes it; rows that are equal share their copies out."""
+    taken = mixing.mixed_rows(docs).groupBy("row").agg(F.sum("copies").alias("copies")).where("copies > 0")
+    rows = docs.withColumn("row", mixing.row_hash(docs)).dropDuplicates(["row"]).join(taken, "row")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,25 +56,26 @@ def source_targets(sizes: DataFrame, weights: tuple, share: float, cap: float) -
 
 
 def _settle(docs: Column, seed: int) -> Column:
-    """Pivotal steps along an array of (size, doc_id, x): what is settled, and one residual."""
+    """Pivotal steps along an array of (size, doc_id, key, x): what is settled, and one residual."""
     first = F.element_at(docs, 1)
     start = F.struct(
-        first["size"].alias("size"), first["doc_id"].alias("doc_id"), first["x"].alias("x"),
-        F.array().cast("array<struct<size:bigint,doc_id:bigint,extra:int>>").alias("done"),
+        first["size"].alias("size"), first["doc_id"].alias("doc_id"), first["key"].alias("key"), first["x"].alias("x"),
+        F.array().cast("array<struct<size:bigint,doc_id:bigint,key:struct<row:bigint,nth:bigint>,extra:int>>").alias("done"),
     )
 
     def step(have: Column, come: Column) -> Column:
         room_i, mass_i = have["size"] * (1 - have["x"]), have["size"] * have["x"]
         room_j, mass_j = come["size"] * (1 - come["x"]), come["size"] * come["x"]
         gain, loss = F.least(room_i, mass_j), F.least(room_j, mass_i)
-        up = _uniform(have["doc_id"], have["size"], F.lit(seed)) * (gain + loss) < loss
+        up = _uniform(have["key"], have["size"], F.lit(seed)) * (gain + loss) < loss
         moved = F.when(up, gain).otherwise(-loss)
         settled = F.when(up, room_i <= mass_j).otherwise(mass_i <= room_j)
         within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-        item = lambda d, extra: F.struct(d["size"].alias("size"), d["doc_id"].alias("doc_id"), extra.cast("int").alias("extra"))
+        item = lambda d, extra: F.struct(d["size"].alias("size"), d["doc_id"].alias("doc_id"), d["key"].alias("key"), extra.cast("int").alias("extra"))
         return F.struct(
             F.when(settled, come["size"]).otherwise(have["size"]).alias("size"),
             F.when(settled, come["doc_id"]).otherwise(have["doc_id"]).alias("doc_id"),
+            F.when(settled, come["key"]).otherwise(have["key"]).alias("key"),
             F.when(settled, within((mass_j - moved) / come["size"])).otherwise(within((mass_i + moved) / have["size"])).alias("x"),
             F.concat(have["done"], F.array(F.when(settled, item(have, up)).otherwise(item(come, ~up)))).alias("done"),
         )
@@ -88,13 +89,26 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     Returns one row per row of ``docs``: ``doc_id, source, size, source_size, target, copies,
     taken``. Size counts the words of ``text``; null, empty and blank texts have size 0, take part
     in no trade and are taken a rounded number of times. All sources share ``share`` times the
-    words there are, by weight, up to ``cap`` times their own. Draws hash the ids, so reruns agree.
-    Ids are meant to be unique: rows that repeat an id, or have none, draw alike and share a block.
+    words there are, by weight, up to ``cap`` times their own. Draws hash the rows, so reruns agree;
+    equal rows are numbered, and ids may repeat or be missing.
     """
+    return mixed_rows(docs, weights, share, cap, seed).drop("row")
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls told from missing values of other columns."""
+    return F.xxhash64(*(F.col(c) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """:func:`mix` with the :func:`row_hash` of each row as ``row``."""
     sizes = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("size")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), word_count(F.col("text")).alias("size"), row_hash(docs).alias("row")
     )
-    sizes = written(sizes, "sizes")
+    columns = sizes.columns
+    counted = sizes.groupBy(columns).agg(F.count("*").alias("equal"))
+    sizes = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("equal"))).alias("nth"))
+    sizes = written(sizes.select("doc_id", "no_source", "source", "size", F.struct("row", "nth").alias("key")), "sizes")
     targets = written(source_targets(sizes, weights, share, cap), "targets")
     key = ["no_source", "source"]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -102,34 +116,35 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
     rated = targets.withColumn("whole", whole).withColumn("x", rate - whole)
     rows = sizes.join(rated.drop("rows"), key)
     sure = (F.col("size") == 0) | (F.col("x") <= 0)
-    extra = F.when(F.col("size") > 0, 0).otherwise((_uniform("doc_id", F.lit(seed)) < F.col("x")).cast("int"))
-    parts = [rows.where(sure).select(*key, "doc_id", "size", extra.alias("extra"))]
+    extra = F.when(F.col("size") > 0, 0).otherwise((_uniform("key", F.lit(seed)) < F.col("x")).cast("int"))
+    parts = [rows.where(sure).select(*key, "doc_id", "key", "size", extra.alias("extra"))]
 
     live = sizes.where("size > 0").join(rated.where("x > 0").select(*key, "rows", "x"), key)
     most, depth = rated.where("x > 0").agg(F.max("rows")).first()[0] or 0, 0
     while most > 1:
         blocks = F.ceil(F.col("rows") / BLOCK)
-        block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + depth)), blocks).alias("block")
-        gathered = live.groupBy(*key, "rows", block).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("big"), "doc_id", "size", "x"))).alias("docs"))
+        block = F.pmod(F.xxhash64("key", "size", F.lit(seed + depth)), blocks).alias("block")
+        gathered = live.groupBy(*key, "rows", block).agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("big"), "doc_id", "key", "size", "x"))).alias("docs"))
         # a pass over the array; slice() above never sees an empty one
         solo = F.size("docs") < 2
         lone = F.element_at("docs", 1)
-        empty = F.array().cast("array<struct<size:bigint,doc_id:bigint,extra:int>>")
-        one = F.struct(lone["size"].alias("size"), lone["doc_id"].alias("doc_id"), lone["x"].alias("x"), empty.alias("done"))
+        empty = F.array().cast("array<struct<size:bigint,doc_id:bigint,key:struct<row:bigint,nth:bigint>,extra:int>>")
+        one = F.struct(lone["size"].alias("size"), lone["doc_id"].alias("doc_id"), lone["key"].alias("key"), lone["x"].alias("x"), empty.alias("done"))
         done = written(gathered.select(*key, "rows", F.when(solo, one).otherwise(_settle(F.col("docs"), seed + depth)).alias("s")), "level")
-        parts.append(done.select(*key, F.explode("s.done").alias("d")).select(*key, "d.doc_id", "d.size", "d.extra"))
-        rest = done.select(*key, "s.doc_id", "s.size", "s.x")
+        parts.append(done.select(*key, F.explode("s.done").alias("d")).select(*key, "d.doc_id", "d.key", "d.size", "d.extra"))
+        rest = done.select(*key, "s.doc_id", "s.key", "s.size", "s.x")
         left = rest.groupBy(*key).agg(F.count("*").alias("rows"))
-        live = rest.join(left, key).select(*key, "doc_id", "size", "rows", "x")
+        live = rest.join(left, key).select(*key, "doc_id", "key", "size", "rows", "x")
         most, depth = left.agg(F.max("rows")).first()[0] or 0, depth + 1
-    last = (_uniform("doc_id", "size", F.lit(seed + 1000)) < F.col("x")).cast("int")
-    parts.append(live.select(*key, "doc_id", "size", last.alias("extra")))
+    last = (_uniform("key", "size", F.lit(seed + 1000)) < F.col("x")).cast("int")
+    parts.append(live.select(*key, "doc_id", "key", "size", last.alias("extra")))
 
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     copies = F.col("whole") + F.col("extra")
     return out.join(rated, key).select(
+        F.col("key.row").alias("row"),
         "doc_id",
         F.when(~F.col("no_source"), F.col("source")).alias("source"),
         "size",
