@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of text, declared language, address and host.
 
-The text gives log-likelihoods under byte-trigram models, fitted on a bounded sample of rows whose
-language is known. Every row's most likely language by text alone is then counted by host, by
+The text gives log-likelihoods under byte-trigram models, fitted on a bounded sample of the rows of
+each known language; every language that any row with text declares has a model. Every row's most likely language by text alone is then counted by host, by
 address suffix and over all rows; the counts make a prior for each host, smoothed towards that of
 its suffix, which is smoothed towards that of all rows. A declared language (a markup attribute or
 a column) counts as one more observation of known reliability. Whole texts are read.
@@ -13,14 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import written
+from vellum.llm.tables import likely_ids, written
 
 BITS = 16
-#: Training rows at most (those with the smallest hashes), and languages at most (most frequent).
-TRAIN_ROWS, MAX_LANGUAGES = 4_000, 64
+#: Training rows of a language at most, those with the smallest hashes. Up to 1000, partitions keep no
+#: more of a language before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+TRAIN_ROWS = 1_000
 #: Trigrams overlap: a text counts as if it had at most so many independent ones.
 MOST_EVIDENCE = 40.0
 #: Probability that a declared language is right; weight of the wider prior, in rows.
@@ -64,12 +65,11 @@ class Model:
 
 
 def train(rows: DataFrame) -> Model:
-    """Fit on ``id, text, lang``; the sample holds TRAIN_ROWS rows whatever there are."""
-    known = rows.where("lang is not null and trim(lang) <> ''").select("id", F.lower(F.trim("lang")).alias("lang"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS)
-    common = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    sample = written(chosen.join(common.select("lang"), "lang"), "sample").dropDuplicates(["id"])
-    texts = rows.select("id", "text").join(sample, "id").select("text", "lang").where("text is not null")
+    """Fit on ``id, text, lang``; the sample holds TRAIN_ROWS rows of each language at most."""
+    known = rows.where("trim(lang) <> '' and trim(text) <> ''").select(F.lower(F.trim("lang")).alias("lang"), "text", F.xxhash64("id", "text").alias("at"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    sample = written(known.select("lang", "at").withColumn("nth", nth).where(F.col("nth") <= TRAIN_ROWS).select("lang", "at").distinct(), "sample")
+    texts = likely_ids(known, sample, "at").join(sample, ["lang", "at"]).dropDuplicates(["lang", "at"]).select("text", "lang")
     found = texts.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique()) or ["und"]
     table = np.zeros((len(languages), 1 << BITS))
