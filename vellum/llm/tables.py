@@ -12,8 +12,11 @@ LOCAL_DIR = "/tmp/vellum-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir where the session has it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+    """Folder for intermediate tables: spark.checkpoint.dir, which only a local session may lack."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or LOCAL_DIR
     return f"{base.rstrip('/')}/vellum-{spark.sparkContext.applicationId}"
 
 
@@ -41,6 +44,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text column; null counts as 0."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
