@@ -97,8 +97,11 @@ def test_token_counts(spark, docs):
             cache.setdefault(w, brute("▁" + w))
         assert got[r.doc_id] == (len(words), sum(cache[w] for w in words))
     trie = tokens.UnigramTrie(pieces)
-    trie.counts(["▁abc", "▁abcd", "▁abd"])
-    assert trie.nodes == 6  # of 13 characters
+    words = ["▁abd", "▁abc", "▁abcd", "▁abd"]
+    assert [trie.insert(w) for w in words] == [brute(w) for w in words]
+    assert trie.nodes == 6  # of 17 characters
+    ties = tokens.UnigramTrie({"a": -1.0, "b": -1.0, "ab": -2.0, "▁": -1.0, "abb": -3.0})
+    assert [ties.insert(w) for w in ("▁ab", "▁abb", "▁é")] == [2, 2, 3]  # the longest last piece; two bytes
 
 
 def test_mixing(docs):

@@ -2,14 +2,17 @@
 
 Records are laid out in archives by ascending id, a bounded range of ids for each, with byte
 offsets. Every record is hashed; FAN ordered neighbours make a range whose hash is that of their
-hashes, and so on up to one root for each archive. Two replicas are compared at the roots, then
+hashes and offset ranges, and so on up to one root for each archive. Two replicas are compared at the roots, then
 only below nodes that differ, level by level, down to the records. All steps are DataFrame joins
 and aggregations; a record's bytes are hashed where they are read and never shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.tables import written
@@ -19,20 +22,59 @@ FAN, LEVELS = 16, 3
 PLACES = FAN**LEVELS
 
 
+def warc_record(url: str, html: str) -> Column:
+    """The bytes of a WARC/1.0 response record: header lines, an empty line, the block, two line ends.
+
+    A null url or html is empty. Line ends within a url, which no header can hold, become blanks.
+    """
+    uri, block = F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\r\n]", " "), F.coalesce(F.col(html).cast("string"), F.lit(""))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), uri, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
+    return F.encode(F.concat(head, block, F.lit("\r\n\r\n")), "UTF-8")
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").cast(pa.large_binary()), strict=True):
+            raw, at, rows = content.as_py() or b"", 0, []
+            while at < len(raw):
+                body = raw.find(b"\r\n\r\n", at) + 4
+                fields = dict(line.split(b": ", 1) for line in raw[at : body - 4].split(b"\r\n")[1:] if b": " in line) if body > 3 else {}
+                size = fields.get(b"Content-Length", b"")
+                if not raw.startswith(b"WARC/", at) or not size.isdigit() or body + int(size) + 4 > len(raw):
+                    rows.append((path, at, len(raw) - at, None, None))  # what no record can be read from
+                    break
+                end = body + int(size) + 4
+                rows.append((path, at, end - at, fields.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), raw[body : end - 4]))
+                at = end
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "offset", "length", "url", "block"])
+
+
+def read_records(files: DataFrame) -> DataFrame:
+    """``path, offset, length, url, block`` of the records in files of ``path, content``.
+
+    ``files`` is what ``spark.read.format("binaryFile")`` gives for uncompressed WARC files. From where
+    no whole record follows, the rest of the file is one row with null url and block.
+    """
+    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInArrow(
+        _parse, "path string, offset long, length long, url string, block binary"
+    )
+
+
 def archive_records(pages: DataFrame) -> DataFrame:
-    """``archive, place, page_id, offset, length, digest`` of pages as response records.
+    """``archive, place, page_id, offset, length, digest`` of pages as :func:`warc_record` records.
 
-    A record's payload is its url, a line feed and its html (null as empty). Its archive and place
-    are page_id div and mod PLACES, so they don't move when another record is lost. Offsets count
-    the bytes of the records before it. Rows that repeat a page_id share a place; such a place has
-    one digest over all of them, in the order of their digests. Rows without a page_id are in no
-    archive.
+    A record's archive and place are page_id div and mod PLACES, so they don't move when another
+    record is lost. Offsets count the bytes of the records before it. Rows that repeat a page_id
+    share a place; such a place has one digest of their number and of the sums of the quarters of
+    their digests, which is the same in any order. Rows without a page_id are in no archive.
     """
-    payload = F.encode(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))), "UTF-8")
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), payload.alias("payload"))
-    rows = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.length("payload").cast("long").alias("length"))
-    single = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("digest").alias("digest"), F.sum("length").alias("length"), F.sum(F.conv(F.substring("digest", 1, 12), 16, 10).cast("long")).alias("all"))
-    digest = F.when(F.col("n") == 1, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "n", "digest", "all").cast("binary"), 256))
+    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), warc_record("url", "html").alias("record"))
+    rows = rows.select("page_id", F.sha2("record", 256).alias("digest"), F.length("record").cast("long").alias("length"))
+    quarters = [F.sum(F.conv(F.substring("digest", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")).alias(f"q{i}") for i in range(4)]
+    single = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("digest").alias("digest"), F.sum("length").alias("length"), *quarters)
+    digest = F.when(F.col("n") == 1, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "n", "q0", "q1", "q2", "q3").cast("binary"), 256))
     placed = single.select(
         F.floor(F.col("page_id") / PLACES).alias("archive"), F.pmod("page_id", F.lit(PLACES)).cast("int").alias("place"), "page_id", "length", digest.alias("digest")
     )
@@ -41,16 +83,20 @@ def archive_records(pages: DataFrame) -> DataFrame:
 
 
 def tree(records: DataFrame) -> DataFrame:
-    """``archive, level, node, digest, offset, end``: level 0 are records, LEVELS the roots."""
+    """``archive, level, node, digest, offset, end``: level 0 are records, LEVELS the roots.
+
+    A node's hash is over its children in order: place, hash, and offset range from the node's start.
+    """
     level = records.select("archive", F.lit(0).alias("level"), F.col("place").alias("node"), "digest", "offset", (F.col("offset") + F.col("length")).alias("end"))
     levels = [level]
     for k in range(1, LEVELS + 1):
-        children = F.array_sort(F.collect_list(F.struct("node", "digest")))  # at most FAN
-        joined = F.array_join(F.transform(children, lambda c: F.concat(c["node"].cast("string"), F.lit("="), c["digest"])), ",")
+        children = F.array_sort(F.collect_list(F.struct("node", "digest", "offset", "end")))  # at most FAN
         level = level.groupBy("archive", F.floor(F.col("node") / FAN).cast("int").alias("parent")).agg(
-            F.sha2(joined.cast("binary"), 256).alias("digest"), F.min("offset").alias("offset"), F.max("end").alias("end")
+            children.alias("children"), F.min("offset").alias("offset"), F.max("end").alias("end")
         )
-        level = level.select("archive", F.lit(k).alias("level"), F.col("parent").alias("node"), "digest", "offset", "end")
+        child = lambda c: F.concat_ws("", c["node"], F.lit("="), c["digest"], F.lit("@"), c["offset"] - F.col("offset"), F.lit("-"), c["end"] - F.col("offset"))
+        joined = F.array_join(F.transform("children", child), ",")
+        level = level.select("archive", F.lit(k).alias("level"), F.col("parent").alias("node"), F.sha2(joined.cast("binary"), 256).alias("digest"), "offset", "end")
         levels.append(level)
     out = levels[0]
     for level in levels[1:]:

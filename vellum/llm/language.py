@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellum.llm.tables import likely_ids, written
 
@@ -26,9 +27,10 @@ TRAIN_ROWS = 1_000
 MOST_EVIDENCE = 40.0
 #: Probability that a declared language is right; weight of the wider prior, in rows.
 RELIABILITY, SMOOTHING = 0.9, 20.0
-#: A text whose mean log-likelihood per trigram, of WHOLE or more of them, is further below its
-#: language's than MARGIN isn't prose of that language; nor is one with a lower posterior.
-WHOLE, MARGIN, LEAST_POSTERIOR = 200, 2.5, 0.5
+#: A text whose mean log-likelihood per trigram is further below its language's than MARGIN and
+#: SPREAD / sqrt(trigrams), three standard deviations of such a mean, isn't prose of that language;
+#: nor is one with a lower posterior.
+MARGIN, SPREAD, LEAST_POSTERIOR = 2.5, 9.0, 0.5
 
 
 def _trigrams(raw: np.ndarray) -> np.ndarray:
@@ -122,8 +124,8 @@ def identify(rows: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     keep, size = keep or [], len(model.languages)
     declared = F.array_position(F.array(*map(F.lit, model.languages)), F.lower(F.substring_index(F.trim("lang"), "-", 1))).cast("int") - 1
     source = rows.select("id", *keep, F.when(declared >= 0, declared).alias("declared"), "host", "suffix", F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in source.schema if c.name != "text")
-    scored = written(source.mapInArrow(_likelihoods(model), f"{schema}, n long, sums array<double>").withColumn("vote", F.when(F.col("n") > 0, _best(F.col("sums")))), "likelihoods")
+    schema = T.StructType([c for c in source.schema if c.name != "text"]).add("n", "long").add("sums", T.ArrayType(T.DoubleType()))
+    scored = written(source.mapInArrow(_likelihoods(model), schema).withColumn("vote", F.when(F.col("n") > 0, _best(F.col("sums")))), "likelihoods")
 
     every = scored.agg(*(F.count_if(F.col("vote") == i).alias(f"n{i}") for i in range(size))).first()
     total = sum(every) + size
@@ -142,7 +144,7 @@ def identify(rows: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     posterior = 1 / F.aggregate("logs", F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max("logs")))
     at = F.col("best") + 1
     usual = F.element_at(F.array(*(F.lit(float(u)) for u in model.usual)), at)
-    fits = (F.col("n") < WHOLE) | (F.element_at("sums", at) / F.col("n") >= usual - MARGIN)
+    fits = F.element_at("sums", at) / F.greatest("n", F.lit(1)) >= usual - MARGIN - SPREAD / F.sqrt(F.greatest("n", F.lit(1)))
     out = out.withColumn("posterior", posterior).withColumn("language", F.element_at(F.array(*map(F.lit, model.languages)), at))
     return out.select("id", *keep, "language", "posterior", ((F.col("n") > 0) & (F.col("posterior") >= LEAST_POSTERIOR) & fits).alias("accepted"))
 

@@ -127,19 +127,28 @@ FROM (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id) r LEFT JOIN (SELECT
 OP9_SQL = """
 WITH RECURSIVE
 replicas AS (
-  SELECT 'a' AS side, page_id, coalesce(url, '') || chr(10) || coalesce(html, '') AS payload FROM pages WHERE page_id IS NOT NULL
+  SELECT 'a' AS side, page_id, url, coalesce(html, '') AS block FROM pages WHERE page_id IS NOT NULL
   UNION ALL
-  SELECT 'b', page_id, coalesce(url, '') || chr(10) || coalesce(
+  SELECT 'b', page_id, url, coalesce(
     CASE page_id % 97 WHEN 13 THEN html || chr(0) WHEN 41 THEN translate(html, 'e', '3') ELSE html END, '')
   FROM pages WHERE page_id IS NOT NULL AND page_id % 97 <> 67),
+texts AS (
+  SELECT side, page_id, replace('WARC/1.0|WARC-Type: response|WARC-Target-URI: ', '|', chr(13) || chr(10)) || regexp_replace(coalesce(url, ''), '[\r\n]', ' ', 'g')
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(block) || chr(13) || chr(10) || chr(13) || chr(10) || block || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM replicas),
 records AS (
-  SELECT side, page_id // 4096 AS archive, page_id % 4096 AS node, sha256(payload) AS digest, strlen(payload) AS n FROM replicas),
+  SELECT side, page_id // 4096 AS archive, page_id % 4096 AS node, sha256(record) AS digest, strlen(record) AS n FROM texts),
 placed AS (
   SELECT side, archive, node, digest, sum(n) OVER w - n AS "offset", sum(n) OVER w AS "end" FROM records
   WINDOW w AS (PARTITION BY side, archive ORDER BY node)),
-l1 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, min("offset") AS "offset", max("end") AS "end" FROM placed GROUP BY ALL),
-l2 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, min("offset") AS "offset", max("end") AS "end" FROM l1 GROUP BY ALL),
-l3 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest, ',' ORDER BY node)) AS digest, min("offset") AS "offset", max("end") AS "end" FROM l2 GROUP BY ALL),
+b0 AS (SELECT *, min("offset") OVER (PARTITION BY side, archive, node // 16) AS base FROM placed),
+l1 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest || '@' || ("offset" - base) || '-' || ("end" - base), ',' ORDER BY node)) AS digest,
+  min("offset") AS "offset", max("end") AS "end" FROM b0 GROUP BY side, archive, node // 16),
+b1 AS (SELECT *, min("offset") OVER (PARTITION BY side, archive, node // 16) AS base FROM l1),
+l2 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest || '@' || ("offset" - base) || '-' || ("end" - base), ',' ORDER BY node)) AS digest,
+  min("offset") AS "offset", max("end") AS "end" FROM b1 GROUP BY side, archive, node // 16),
+b2 AS (SELECT *, min("offset") OVER (PARTITION BY side, archive, node // 16) AS base FROM l2),
+l3 AS (SELECT side, archive, node // 16 AS node, sha256(string_agg(node || '=' || digest || '@' || ("offset" - base) || '-' || ("end" - base), ',' ORDER BY node)) AS digest,
+  min("offset") AS "offset", max("end") AS "end" FROM b2 GROUP BY side, archive, node // 16),
 nodes AS (SELECT 0 AS level, * FROM placed UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3),
 a AS (SELECT * FROM nodes WHERE side = 'a'), b AS (SELECT * FROM nodes WHERE side = 'b')
 SELECT archive, level, node::INTEGER AS node,

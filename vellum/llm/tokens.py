@@ -1,13 +1,14 @@
 """Token counts under a unigram model, by dynamic programming along a trie of pre-tokens.
 
-A document's pre-tokens are its white-space separated words. A worker keeps the count of every
-distinct pre-token it met; new ones are sorted, which is a depth-first walk over their trie, and
-the forward scores of the walk's path are kept: a prefix that pre-tokens share is scored once, and
-a terminal node stores its number of tokens. Nothing is shuffled, whatever words are frequent.
+A document's pre-tokens are its white-space separated words. A worker keeps a trie of the distinct
+pre-tokens it met, in all its batches: a prefix that pre-tokens share is a node and is scored once,
+and a terminal node stores its number of tokens. The memory of a worker is bounded: a trie that has
+grown past its limit is begun anew. Nothing is shuffled, whatever words are frequent.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -17,8 +18,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose counts a worker keeps, and bytes of text that it splits at once.
-CACHE_WORDS, SLICE_BYTES = 1_000_000, 1 << 21
+#: Pre-tokens and nodes that a worker keeps before it starts anew, and bytes of text that it splits at once.
+CACHE_WORDS, TRIE_NODES, SLICE_BYTES = 1_000_000, 1_000_000, 1 << 21
 #: Score of a byte of a character that no piece covers.
 BYTE_SCORE = -25.0
 WORD_START = "▁"
@@ -36,49 +37,59 @@ def piece_scores(path: str) -> dict[str, float]:
 
 
 class UnigramTrie:
-    """Forward scores along a trie that is walked in depth-first order."""
+    """A trie of pre-tokens whose nodes hold the forward score of their prefix and its number of tokens."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.ends: dict[str, list[int]] = {}  # lengths of the pieces that end in a character
+        ends: dict[str, set[int]] = {}
         for piece in pieces:
-            self.ends.setdefault(piece[-1], []).append(len(piece))
-        self.ends = {c: sorted(set(n)) for c, n in self.ends.items()}
-        self.nodes = 0
+            ends.setdefault(piece[-1], set()).add(len(piece))
+        self.ends = {c: sorted(n) for c, n in ends.items()}  # lengths of the pieces that end in a character
+        self.clear()
 
-    def counts(self, words: list[str]) -> list[int]:
-        """Tokens of the best segmentation of each word; the words must be sorted.
+    def clear(self) -> None:
+        self.edges: dict[int, int] = {}  # node * 2 ** 21 + code point of the child's character
+        self.score, self.count = array("d", [0.0]), array("q", [0])
+
+    @property
+    def nodes(self) -> int:
+        """Nodes below the root, each of which was scored once."""
+        return len(self.score) - 1
+
+    def insert(self, word: str) -> int:
+        """Tokens of the best segmentation of a word, kept at its terminal node.
 
         Of segmentations of equal score the one whose last piece is longest counts.
         """
-        score, count, last, out = [0.0], [0], "", []
-        pieces, ends = self.pieces, self.ends
-        for word in words:
-            shared = 0
-            for x, y in zip(word, last, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            del score[shared + 1 :], count[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                end = word[i - 1]
-                size = len(end.encode("utf-8", "replace"))
-                best, tokens = score[i - 1] + BYTE_SCORE * size, count[i - 1] + size
-                for n in ends.get(end, ()):
-                    if n > i:
-                        break
-                    own = pieces.get(word[i - n : i])
-                    if own is not None and (own := own + score[i - n]) >= best:
-                        best, tokens = own, count[i - n] + 1
-                score.append(best)
-                count.append(tokens)
-            self.nodes += len(word) - shared
-            out.append(count[-1])
-            last = word
-        return out
+        node, path = 0, [0]
+        for i, end in enumerate(word, 1):
+            edge = node << 21 | ord(end)
+            child = self.edges.get(edge)
+            if child is None:
+                child = self.edges[edge] = self._grow(word, i, end, path)
+            path.append(child)
+            node = child
+        return self.count[node]
+
+    def _grow(self, word: str, i: int, end: str, path: list[int]) -> int:
+        """A node for the first i characters of a word, scored from those of its path."""
+        score, count = self.score, self.count
+        size = len(end.encode("utf-8", "replace"))
+        best, tokens = score[path[-1]] + BYTE_SCORE * size, count[path[-1]] + size
+        for n in self.ends.get(end, ()):
+            if n > i:
+                break
+            own = self.pieces.get(word[i - n : i])
+            if own is not None and (own := own + score[path[i - n]]) >= best:
+                best, tokens = own, count[path[i - n]] + 1
+        score.append(best)
+        count.append(tokens)
+        return len(score) - 1
 
 
 class Counter:
+    """A worker's trie, and the counts of the words that it met."""
+
     def __init__(self, path: str):
         self.trie = UnigramTrie(piece_scores(path))
         self.at: dict[bytes, int] = {}
@@ -87,14 +98,16 @@ class Counter:
         """Words and tokens of each text."""
         if len(self.at) > CACHE_WORDS:
             self.at.clear()
+        if self.trie.nodes > TRIE_NODES:
+            self.trie.clear()
         split = [t.split() for t in texts]
         sizes = np.array([len(w) for w in split])
         words = list(chain.from_iterable(split))
         got = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(got < 0).tolist()
         if new:
-            distinct = sorted({words[i] for i in new})  # in UTF-8, so in code-point order
-            self.at.update(zip(distinct, self.trie.counts([WORD_START + w.decode("utf-8", "replace") for w in distinct]), strict=True))
+            for w in {words[i] for i in new}:
+                self.at[w] = self.trie.insert(WORD_START + w.decode("utf-8", "replace"))
             got[new] = [self.at[words[i]] for i in new]
         total = np.concatenate(([0], np.cumsum(got)))
         ends = np.cumsum(sizes)
