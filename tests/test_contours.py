@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 
 from vellum.operators import contours as C
+from vellum.operators import detection as S
 from vellum.plans import QUERIES
+from vellum.plans import contour_queries as Q
 
 
 def ring(corners, n=60):
@@ -32,3 +34,47 @@ def test_hull():
 def test_drawn_quads_are_found(spark):
     rows = QUERIES["h7_quads_from_contours"](spark, "/root/testdata/sf0.001").toPandas()
     assert rows["error"].notna().mean() > 0.95 and rows["error"].median() < 4
+
+
+def test_borders():
+    mask = np.zeros((12, 14), np.uint8)
+    mask[2:9, 3:11] = 255
+    mask[4:6, 5:7] = 0
+    mask[10, 12] = 255
+    found = sorted(S.contours(mask), key=len)
+    assert [len(c) for c in found] == [1, 8, 26] and found[0].tolist() == [[12, 10]]
+    assert S.area(found[2]) == 7 * 6 and {tuple(p) for p in found[2]} == {(x, y) for x in range(3, 11) for y in range(2, 9) if x in (3, 10) or y in (2, 8)}
+
+
+def test_polygon_mask():
+    inside = S.polygon_mask(np.array([(1.0, 1.0), (6.0, 1.0), (6.0, 4.0), (1.0, 4.0)]), 9, 7)
+    want = np.zeros((7, 9), bool)
+    want[1:5, 1:7] = True
+    assert (inside == want).all()
+
+
+def test_drawn_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    drawn = {r.n_nationkey: r.q for r in Q.drawn_masks(spark, sf).select("n_nationkey", "q").collect()}
+    for name in ("h1_document_quads", "h1_live_quads"):
+        rows = QUERIES[name](spark, sf).collect()
+        assert len(rows) == 25
+        errors = [max(abs(r[f"{c}_{a}"] - drawn[r.n_nationkey][c][a]) for c in ("topLeft", "topRight", "bottomRight", "bottomLeft") for a in "xy") for r in rows if r.topLeft_x is not None]
+        assert len(errors) >= 23 and max(errors) < 3, errors
+    odd = spark.createDataFrame([(1, [0.0] * 100, 10, 10), (2, [1.0, 1.0], 10, 10), (3, None, 10, 10)], "id long, mask array<double>, width int, height int")
+    odd = odd.selectExpr("*", "100.0D image_width", "100.0D image_height")
+    assert [(r.id, r.q) for r in S.document_quads(odd, "id", 10, 10).orderBy("id").collect()] == [(1, None), (2, None), (3, None)]
+
+
+def test_edges():
+    mask = np.zeros((30, 40), np.int64)
+    mask[8:20, 10:31] = 255
+    found = S.edges(S.smoothed(mask, (1, 4, 6, 4, 1)))
+    y, x = np.nonzero(found)
+    away = np.maximum(np.maximum(8 - y, y - 19), np.maximum(10 - x, x - 30))  # 0 on the border's pixels
+    assert len(x) and set(away.tolist()) <= {-1, 0, 1} and not S.edges(np.full((9, 9), 77)).any()
+    assert all(found[y0, 9:12].any() for y0 in range(10, 18)) and all(found[18:22, x0].any() for x0 in range(13, 28))
+    step = np.zeros((9, 12), np.int64)
+    step[:, 6:] = 30  # its gradient, 4 * 30, lies between the thresholds
+    assert not S.edges(step).any() and S.edges(step, high=100).any()
+    assert (S.smoothed(mask)[1:-1, 1:-1] == (np.add.reduce([w * mask[1 + dy : 29 + dy, 1 + dx : 39 + dx] for dx, dy, w in [(dx, dy, (2 - abs(dx)) * (2 - abs(dy))) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]]) + 8) // 16).all()

@@ -34,15 +34,28 @@ def test_move(spark):
 
 
 def test_legacy(spark):
-    names = ["1-123-90.jpg", "1-123-270.jpg", "1-5.jpg", "1-5-90.jpg"]
+    names = ["123-90.jpg", "123-270.jpg", "5.jpg", "5-90.jpg", "7-8-90.jpg"]
     files = spark.createDataFrame([(1, n) for n in names], "doc long, name string")
     got = {r.name: (r.action, r.target) for r in P.legacy_actions(files).collect()}
-    assert got == {"1-123-270.jpg": ("rename", "1-123.jpg"), "1-123-90.jpg": ("delete", None), "1-5.jpg": ("keep", None), "1-5-90.jpg": ("delete", None)}
+    assert got == {"123-270.jpg": ("rename", "123.jpg"), "123-90.jpg": ("delete", None), "5.jpg": ("keep", None), "5-90.jpg": ("delete", None), "7-8-90.jpg": ("rename", "7-8.jpg")}
 
 
 def test_free_names(spark):
-    rows = spark.createDataFrame([(1, i, "f.pdf") for i in range(3)], "doc long, i long, want string")
-    assert [r.name for r in P.free_names(rows, ["doc"], "want", "i").orderBy("i").collect()] == ["f.pdf", "f(1).pdf", "f(2).pdf"]
+    wanted = lambda names: [r.name for r in P.free_names(spark.createDataFrame([(1, i, n) for i, n in enumerate(names)], "doc long, i long, want string"), ["doc"], "want", "i").orderBy("i").collect()]
+    assert wanted(["f.pdf"] * 3) == ["f.pdf", "f(1).pdf", "f(2).pdf"]
+    assert wanted(["f.pdf", "f(1).pdf", "f.pdf", "g.pdf", "f(1).pdf"]) == ["f.pdf", "f(1).pdf", "f(2).pdf", "g.pdf", "f(1)(1).pdf"]
+
+
+def test_load(spark):
+    page = lambda **more: json.dumps({"version": 2, "pages": [PAGE | more]})
+    quad = {n: {"x": 0.5, "y": 0.5} for n in ("topLeft", "topRight", "bottomRight", "bottomLeft")}
+    stored = {1: "xxx", 2: json.dumps({"pages": [{"file": "1.jpg"}, {"file": "2.jpg"}]}), 3: page(manualRotationDegrees=42), 4: page(quad=quad, baseRotationDegrees=42), 5: page(quad=quad, userQuad=quad)}
+    files = {0: ["3.jpg", "1.jpg", "2-90.jpg", "2-270.jpg"], 1: ["1.jpg"], 2: ["2.jpg"], 3: ["5.color.q1.jpg"], 4: ["5.color.q1.jpg"], 5: ["5.color.q1.jpg"]}
+    documents = spark.createDataFrame(list(stored.items()), "doc long, json string")
+    listed = spark.createDataFrame([(d, n) for d, names in files.items() for n in names], "doc long, name string")
+    got = P.load_documents(documents, listed).orderBy("doc", "position").collect()
+    assert [(r.doc, r.id) for r in got] == [(0, "1"), (0, "2"), (0, "3"), (1, "1"), (2, "2"), (5, "5")]
+    assert got[-1].user_quad.topLeft.x == 0.5 and got[-1].rotation == 90
 
 
 def test_rotation(spark):

@@ -73,7 +73,7 @@ def _length(a):
     return F.sqrt(_dot(a, a))
 
 
-def with_real_dimensions(rows: DataFrame, q: str, width: float, height: float, focal_px: Column | None = None, distance: Column | None = None) -> DataFrame:
+def with_real_dimensions(rows: DataFrame, q: str, width: float | Column, height: float | Column, focal_px: Column | None = None, distance: Column | None = None) -> DataFrame:
     """``rows`` with ``dims``: width and height of a page seen in perspective, from its quad ``q``.
 
     The vanishing points of both pairs of sides give the directions of the sides, and without
@@ -84,25 +84,28 @@ def with_real_dimensions(rows: DataFrame, q: str, width: float, height: float, f
     """
     c = F.col
     null = F.lit(None).cast("double")
-    line = lambda a, b: F.array(*_cross((a["x"], a["y"], F.lit(1.0)), (b["x"], b["y"], F.lit(1.0))))
-    xyz = lambda name: tuple(c(name)[i] for i in range(3))
+    width, height = (v if isinstance(v, Column) else F.lit(float(v)) for v in (width, height))
+    line = lambda a, b: _cross((a["x"], a["y"], F.lit(1.0)), (b["x"], b["y"], F.lit(1.0)))
+    # a vector is three columns: arrays of them would cost an allocation and bounds checks at each use
+    put = lambda name, vector: {f"{name}{i}": v for i, v in enumerate(vector)}
+    xyz = lambda name: tuple(c(f"{name}{i}") for i in range(3))
     cx, cy = width / 2.0, height / 2.0
     ray = lambda x, y: ((x - cx) / c("_f"), (y - cy) / c("_f"), F.lit(1.0))
     tl, tr, br, bl = G.corners(c(q))
-    out = rows.withColumns({"_t": line(tl, tr), "_o": line(bl, br), "_l": line(tl, bl), "_r": line(tr, br), "_given": null if focal_px is None else focal_px, "_dist": null if distance is None else distance})
-    out = out.withColumns({"_h": F.array(*_cross(xyz("_t"), xyz("_o"))), "_k": F.array(*_cross(xyz("_l"), xyz("_r")))})
-    z1, z2 = (F.when(F.abs(c(n)[2]) >= 1e-6, c(n)[2]) for n in ("_h", "_k"))
-    out = out.withColumns({"_ux": c("_h")[0] / z1 - cx, "_uy": c("_h")[1] / z1 - cy, "_vx": c("_k")[0] / z2 - cx, "_vy": c("_k")[1] / z2 - cy})
-    f2 = -(c("_ux") * c("_vx") + c("_uy") * c("_vy"))
-    out = out.withColumn("_f", F.coalesce("_given", F.sqrt(F.when(f2 > 0, f2))))
-    out = out.withColumn("_f", F.when(f2.isNotNull() & (c("_f") <= max(width, height) * 1.2), c("_f")))
-    out = out.withColumn("_n", F.array(*_cross((c("_ux"), c("_uy"), c("_f")), (c("_vx"), c("_vy"), c("_f")))))
-    out = out.withColumn("_m", F.array(*ray(*(sum(p[x] for p in (tl, tr, bl, br)) / 4.0 for x in ("x", "y")))))
-    cosine = F.abs(_dot(xyz("_m"), xyz("_n")) / _length(xyz("_m")))
-    out = out.withColumn("_known", F.when(c("_given").isNotNull() & (cosine >= 0.1), c("_dist") * cosine))
-    for name, p in zip(("_a", "_b", "_c", "_d"), (tl, tr, br, bl), strict=True):
-        r = ray(p["x"], p["y"])
-        out = out.withColumn(name, F.array(*(x * F.coalesce("_known", F.lit(1.0)) / _dot(xyz("_n"), r) for x in r)))
+    out = rows.withColumns(put("_t", line(tl, tr)) | put("_o", line(bl, br)) | put("_l", line(tl, bl)) | put("_r", line(tr, br)) | {"_given": null if focal_px is None else focal_px, "_dist": null if distance is None else distance})
+    out = out.withColumns(put("_h", _cross(xyz("_t"), xyz("_o"))) | put("_k", _cross(xyz("_l"), xyz("_r"))))
+    z1, z2 = (F.when(F.abs(n) >= 1e-6, n) for n in (c("_h2"), c("_k2")))
+    out = out.withColumns({"_ux": c("_h0") / z1 - cx, "_uy": c("_h1") / z1 - cy, "_vx": c("_k0") / z2 - cx, "_vy": c("_k1") / z2 - cy})
+    out = out.withColumn("_f2", -(c("_ux") * c("_vx") + c("_uy") * c("_vy")))
+    out = out.withColumn("_f", F.coalesce("_given", F.sqrt(F.when(c("_f2") > 0, c("_f2")))))
+    out = out.withColumn("_f", F.when(c("_f2").isNotNull() & (c("_f") <= F.greatest(width, height) * 1.2), c("_f")))
+    out = out.withColumns(put("_n", _cross((c("_ux"), c("_uy"), c("_f")), (c("_vx"), c("_vy"), c("_f")))) | put("_m", ray(*(sum(p[x] for p in (tl, tr, bl, br)) / 4.0 for x in ("x", "y")))))
+    out = out.withColumn("_cos", F.abs(_dot(xyz("_m"), xyz("_n")) / _length(xyz("_m"))))
+    out = out.withColumn("_known", F.when(c("_given").isNotNull() & (c("_cos") >= 0.1), c("_dist") * c("_cos")))
+    corners = dict(zip(("_a", "_b", "_c", "_d"), (tl, tr, br, bl), strict=True))
+    out = out.withColumns({f"{name}s": F.coalesce("_known", F.lit(1.0)) / _dot(xyz("_n"), ray(p["x"], p["y"])) for name, p in corners.items()})
+    for name, p in corners.items():
+        out = out.withColumns(put(name, (x * c(f"{name}s") for x in ray(p["x"], p["y"]))))
     apart = lambda a, b: _length(tuple(x - y for x, y in zip(xyz(a), xyz(b), strict=True)))
     w, h = average_sides(c(q))
     kind = F.when(c("_known").isNotNull(), "Physical").otherwise("Ratio")

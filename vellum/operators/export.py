@@ -18,10 +18,20 @@ def pdf_bytes(pages: list[dict]) -> bytes:
     """A PDF file of pages ``width, height`` (points), ``jpeg`` (bytes or none) with ``image_width``
     and ``image_height``, and ``words`` (text, x, baseline, font_size, h_scale).
 
-    A page's image fills it; words are written in invisible mode with a standard font, characters
-    beyond Latin-1 as question marks.
+    A page's image fills it; words are written in invisible mode, as UTF-16 units of a font without
+    glyphs whose characters are all half as wide as the font is high, so text of any script can be
+    searched and copied.
     """
-    objects: list[bytes] = [b"", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    spans = [b"<%02x00> <%02xff> <%02x00>" % (k, k, k) for k in range(256)]
+    maps = b"\n".join(b"%d beginbfrange\n%s\nendbfrange" % (len(part), b"\n".join(part)) for part in (spans[i : i + 64] for i in range(0, 256, 64)))
+    cmap = b"/CIDInit /ProcSet findresource begin\n12 dict begin\nbegincmap\n/CMapName /Units def\n/CMapType 2 def\n1 begincodespacerange\n<0000> <ffff>\nendcodespacerange\n" + maps + b"\nendcmap\nend\nend"
+    packed = zlib.compress(cmap)
+    objects: list[bytes] = [
+        b"", b"", b"<< /Type /Font /Subtype /Type0 /BaseFont /Unseen /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 6 0 R >>",
+        b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Unseen /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 500 /FontDescriptor 5 0 R >>",
+        b"<< /Type /FontDescriptor /FontName /Unseen /Flags 4 /FontBBox [0 0 500 1000] /ItalicAngle 0 /Ascent 1000 /Descent 0 /CapHeight 1000 /StemV 80 >>",
+        b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(packed) + packed + b"\nendstream",
+    ]
     kids = []
     for page in pages:
         draw, resources = [], b"/Font << /F1 3 0 R >>"
@@ -31,8 +41,8 @@ def pdf_bytes(pages: list[dict]) -> bytes:
             resources += b" /XObject << /Im %d 0 R >>" % len(objects)
             draw.append(b"q %.3f 0 0 %.3f 0 0 cm /Im Do Q" % (page["width"], page["height"]))
         for w in page["words"]:
-            text = w["text"].encode("latin-1", "replace").hex().encode()
-            draw.append(b"BT /F1 %.3f Tf %.3f Tz 3 Tr 1 0 0 1 %.3f %.3f Tm <%s20> Tj ET" % (w["font_size"], w["h_scale"], w["x"], w["baseline"], text))
+            text = w["text"].encode("utf-16-be", "replace").hex().encode()
+            draw.append(b"BT /F1 %.3f Tf %.3f Tz 3 Tr 1 0 0 1 %.3f %.3f Tm <%s0020> Tj ET" % (w["font_size"], w["h_scale"], w["x"], w["baseline"], text))
         stream = zlib.compress(b"\n".join(draw))
         objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(stream) + stream + b"\nendstream")
         content = len(objects)

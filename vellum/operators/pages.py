@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.functions import metrology as M
+from vellum.functions import names as N
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 QUAD = T.StructType([T.StructField(n, POINT) for n in ("topLeft", "topRight", "bottomRight", "bottomLeft")])
@@ -42,9 +43,9 @@ def reconcile(pages: DataFrame, files: DataFrame, name: Column) -> DataFrame:
 
 
 def _legacy(files: DataFrame) -> DataFrame:
-    turned = F.col("name").rlike(r"-(90|180|270)\.jpg$") & (F.size(F.split("name", "-")) > 2)
+    """Files that old versions wrote: a dash in the name means rotated, and the id ends at the last one."""
     base = F.regexp_replace("name", r"\.jpg$", "")
-    return files.select("doc", F.when(turned, F.regexp_replace(base, "-(90|180|270)$", "")).otherwise(F.regexp_replace(base, "-(90|180|270)$", "")).alias("id"), "name", turned.alias("turned"))
+    return files.select("doc", F.regexp_replace(base, "-[^-]*$", "").alias("id"), "name", F.contains("name", F.lit("-")).alias("turned"))
 
 
 def legacy_groups(files: DataFrame) -> DataFrame:
@@ -81,10 +82,25 @@ def upsert(rows: DataFrame, key: str, order: str, values: list[str]) -> DataFram
 
 
 def free_names(rows: DataFrame, keys: list[str], want: str, order: str) -> DataFrame:
-    """Names with (1), (2), ... before the extension where an earlier row wants the same one."""
-    k = F.row_number().over(Window.partitionBy(*keys, want).orderBy(order)) - 1
-    name = F.when(F.col("k") == 0, F.col(want)).otherwise(F.concat(F.regexp_replace(want, r"\.[^.]*$", ""), F.lit("("), F.col("k").cast("string"), F.lit(")"), F.regexp_extract(want, r"(\.[^.]*)$", 1)))
-    return rows.withColumn("k", k).withColumn("name", name).drop("k")
+    """Each row's name: the one it wants, or with (1), (2), ... before the extension the first free one.
+
+    Rows take names one after the other, so a name may be taken by an earlier row that wants it or
+    was given it. Only names with one stem can meet: brackets with numbers are cut off to find it,
+    and the rows of a stem, few in a folder, are walked through in order.
+    """
+    stem, ext = F.regexp_replace(want, r"(?s)(.)\.[^.]*$", "$1"), F.regexp_extract(want, r"(?s).(\.[^.]*)$", 1)
+    rows = rows.withColumn("stem_", stem).withColumn("ext_", ext).withColumn("family_", F.regexp_replace("stem_", r"(\(\d+\))+$", ""))
+    one = F.struct(F.col(order).alias("o"), F.struct(*(F.col(c) for c in rows.columns if c not in keys and c not in ("ext_", "family_"))).alias("row"))
+    groups = rows.groupBy(*keys, "family_", "ext_").agg(F.array_sort(F.collect_list(one)).alias("all_"))
+
+    def take(names: Column, r: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(1), F.size(names) + 1), lambda k: F.concat(r["row"]["stem_"], F.lit("("), k.cast("string"), F.lit(")"), F.col("ext_")))
+        free = F.element_at(F.filter(numbered, lambda n: ~F.array_contains(names, n)), 1)
+        return F.concat(names, F.array(F.when(F.array_contains(names, r["row"][want]), free).otherwise(r["row"][want])))
+
+    given = F.aggregate("all_", F.array().cast("array<string>"), take)
+    pairs = groups.withColumn("pair_", F.explode(F.arrays_zip(F.col("all_").alias("r"), given.alias("name"))))
+    return pairs.select(*keys, "pair_.r.row.*", F.col("pair_.name").alias("name")).drop("stem_")
 
 
 def export_plan(pages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -97,20 +113,28 @@ def export_plan(pages: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.withColumn("action", F.when(F.col("quality") == "LOW", "recompress").when((F.col("quality") == "HIGH") & able, "reprocess").otherwise("stored"))
 
 
+#: Columns of a stored page beside doc, position and id, by their names in the file.
+STORED = {
+    "rotation": "baseRotationDegrees", "manual_rotation": "manualRotationDegrees", "quad": "quad", "quad_version": "quadVersion", "user_quad": "userQuad", "colored": "isColored",
+    "mode": "colorMode", "focal_length": "focalLength", "sensor_width": "sensorWidth", "subject_distance": "subjectDistance", "source_width": "sourceWidth", "source_height": "sourceHeight",
+}
+
+
 def write_documents(pages: DataFrame) -> DataFrame:
-    """``doc, json``: each document's ordered pages as versioned JSON. A document is one row."""
-    null = lambda t: F.lit(None).cast(t)
-    page = F.struct(
-        F.col("id"), F.col("rotation").alias("baseRotationDegrees"), F.lit(0).alias("manualRotationDegrees"), null(QUAD).alias("quad"), F.col("quad_version").alias("quadVersion"),
-        null(QUAD).alias("userQuad"), (F.col("mode") == "COLOR").alias("isColored"), F.col("mode").alias("colorMode"), null("float").alias("focalLength"), null("float").alias("sensorWidth"),
-        null("float").alias("subjectDistance"), F.col("source_width").alias("sourceWidth"), F.col("source_height").alias("sourceHeight"),
-    )
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("position"), page.alias("page")))), lambda r: r["page"])
-    return pages.groupBy("doc").agg(ordered.alias("pages")).select("doc", F.to_json(F.struct(F.lit(2).alias("version"), "pages"), {"ignoreNullFields": "false"}).alias("json"))
+    """``doc, json``: each document's ordered pages as versioned JSON. A document is one row.
+
+    Of the columns of STORED those that ``pages`` lacks are written as null, rotations and the quad's version as 0.
+    """
+    zero = ("rotation", "manual_rotation", "quad_version")
+    value = lambda c: F.col(c) if c in pages.columns else F.lit(0 if c in zero else None)
+    page = F.struct(F.col("id"), *(value(c).cast(PAGE[name].dataType).alias(name) for c, name in STORED.items()))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col("position"), F.to_json(page, {"ignoreNullFields": "false"}).alias("page")))), lambda r: r["page"])
+    whole = F.concat(F.lit('{"version":2,"pages":['), F.array_join(ordered, ","), F.lit("]}"))
+    return pages.groupBy("doc").agg(whole.alias("json"))
 
 
 def read_documents(documents: DataFrame) -> DataFrame:
-    """``doc, position, id, rotation, quad_version, mode`` of ``doc, json``.
+    """``doc, position, id`` and the columns of STORED, of ``doc, json``.
 
     Version 2 is read, version 1 or none is migrated (the id is the file name, cut at its last dash
     behind the extension). A document that is malformed, of another version, or has an unknown key
@@ -123,9 +147,33 @@ def read_documents(documents: DataFrame) -> DataFrame:
     keys = F.forall(each, lambda p: F.size(F.array_except(F.json_object_keys(p), known)) == 0)
     top = F.size(F.array_except(F.json_object_keys("json"), F.array(F.lit("version"), F.lit("pages")))) == 0
     two = F.when((version == 2) & keys & top, F.from_json("json", DOCUMENT, strict)["pages"])
-    new = F.transform(two, lambda p: F.struct(p["id"].alias("id"), p["baseRotationDegrees"].alias("rotation"), F.coalesce(p["quadVersion"], F.lit(0)).alias("quad_version"), p["colorMode"].alias("mode")))
+    whole = lambda c, v: F.coalesce(v, F.lit(0)) if c in ("rotation", "manual_rotation", "quad_version") else v
+    new = F.transform(two, lambda p: F.struct(p["id"].alias("id"), *(whole(c, p[name]).alias(c) for c, name in STORED.items())))
     one = F.when((version == 1) & top, F.from_json("json", DOCUMENT_V1, strict)["pages"])
-    cut = lambda f: F.regexp_replace(F.regexp_replace(f, r"\.jpg$", ""), "-[^-]*$", "")
-    old = F.transform(one, lambda p: F.struct(cut(p["file"]).alias("id"), F.lit(0).alias("rotation"), F.lit(0).alias("quad_version"), F.lit(None).cast("string").alias("mode")))
+    empty = lambda c, name: F.lit(0 if c in ("rotation", "manual_rotation", "quad_version") else None).cast(PAGE[name].dataType)
+    old = F.transform(one, lambda p: F.struct(N.page_id_of(p["file"]).alias("id"), *(empty(c, name).alias(c) for c, name in STORED.items())))
     rows = documents.select("doc", F.posexplode(F.coalesce(new, old)).alias("position", "p")).select("doc", "position", "p.*")
     return rows.where("id is not null")
+
+
+def load_documents(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """``doc, position, id`` and the columns of STORED: pages whose file is there.
+
+    ``documents`` are ``doc, json``, ``files`` are ``doc, name``. A folder without readable JSON gets its
+    pages from the sorted names of its .jpg files, ids once each. An entry without a file, or whose
+    rotation is no quarter turn, is left out.
+    """
+    stored = read_documents(documents)
+    name = N.processed_name(F.col("id"), F.col("mode"), F.col("quad_version"))
+    kept = reconcile(stored, files, name).where(valid_rotation(F.col("manual_rotation")))
+    kept = kept.where(F.col("quad").isNull() | F.col("colored").isNull() | valid_rotation(F.col("rotation")))
+    readable = stored.select("doc").distinct()
+    listed = files.where(F.col("name").endswith(".jpg")).join(readable, "doc", "left_anti").select("doc", N.page_id_of(F.col("name")).alias("id"), "name")
+    listed = listed.groupBy("doc", "id").agg(F.min("name").alias("name"))
+    listed = listed.withColumn("position", (F.row_number().over(Window.partitionBy("doc").orderBy("name")) - 1).cast("int")).drop("name")
+    return kept.unionByName(listed, allowMissingColumns=True)
+
+
+def total_rotation(manual: Column, base: Column) -> Column:
+    """Manual rotation plus that of the photo, where the page has one."""
+    return F.pmod(manual + F.coalesce(base, F.lit(0)), F.lit(360))

@@ -2,48 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _mirrored(at: Column, size: int) -> Column:
-    """Border rule: the image continues mirrored, its border pixel not repeated."""
-    return F.when(at < 0, -at).when(at > size - 1, 2 * (size - 1) - at).otherwise(at)
-
-
-def _spread(pixels: DataFrame, channel: str, offsets: list[tuple[int, int]], width: int, height: int, mirror: bool) -> DataFrame:
-    """Each pixel's value at every place whose window holds it: ``vec_id, x, y, k, v``.
-
-    Places are worked out from the pixel, so one aggregation follows and no join. Beyond the border
-    a value counts at each offset that mirrors to it.
-    """
-    at = lambda c, o, size: [F.col(c) - o] if not mirror else [F.col(c) - o, -F.col(c) - o, 2 * (size - 1) - F.col(c) - o]
-    targets = []
-    for k, (ox, oy) in enumerate(offsets):
-        for i, tx in enumerate(at("x", ox, width)):
-            for j, ty in enumerate(at("y", oy, height)):
-                ok = tx.between(0, width - 1) & ty.between(0, height - 1)
-                if i:
-                    ok = ok & ~(tx + ox).between(0, width - 1) & (_mirrored(tx + ox, width) == F.col("x"))
-                if j:
-                    ok = ok & ~(ty + oy).between(0, height - 1) & (_mirrored(ty + oy, height) == F.col("y"))
-                targets.append(F.when(ok, F.struct(tx.cast("int").alias("x"), ty.cast("int").alias("y"), F.lit(k).alias("k"))))
-    hits = F.filter(F.array(*targets), lambda t: t.isNotNull())
-    return pixels.select("vec_id", F.col(channel).alias("v"), F.explode(hits).alias("t")).select("vec_id", "t.x", "t.y", "t.k", "v")
-
-
-def filtered(pixels: DataFrame, channel: str, kernel: dict[tuple[int, int], float], width: int, height: int) -> DataFrame:
-    """Weighted sum over a window, with mirrored borders: ``vec_id, x, y, v``."""
-    offsets = list(kernel)
-    weight = F.element_at(F.array(*(F.lit(float(kernel[o])) for o in offsets)), F.col("k") + 1)
-    return _spread(pixels, channel, offsets, width, height, True).groupBy("vec_id", "x", "y").agg(F.round(F.sum(F.col("v") * weight), 4).alias("v"))
-
-
-def morphed(pixels: DataFrame, channel: str, offsets: list[tuple[int, int]], pick: Callable, width: int, height: int) -> DataFrame:
-    """Erosion (min) or dilation (max) over a structuring element; beyond the border is nothing."""
-    return _spread(pixels, channel, offsets, width, height, False).groupBy("vec_id", "x", "y").agg(pick("v").alias("v"))
+from vellum.operators.drawing import in_polygon
 
 
 def rotated(pixels: DataFrame, degrees: Column, width: int, height: int) -> DataFrame:
@@ -62,6 +24,27 @@ def lightness(b: Column, g: Column, r: Column) -> Column:
     return F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
 
 
+def with_lab(pixels: DataFrame) -> DataFrame:
+    """Adds ``lab_l, lab_a, lab_b``: CIE Lab of 8-bit sRGB, stored in 8 bits as L* 255 / 100, a* + 128, b* + 128."""
+    linear = lambda c: F.when(F.col(c) / 255 <= 0.04045, F.col(c) / 255 / 12.92).otherwise(F.pow((F.col(c) / 255 + 0.055) / 1.055, F.lit(2.4)))
+    rows = pixels.withColumns({f"lin_{c}": linear(c) for c in "bgr"})
+    mixed = lambda r, g, b, white: (r * F.col("lin_r") + g * F.col("lin_g") + b * F.col("lin_b")) / white
+    rows = rows.withColumns({"xyz_x": mixed(0.412453, 0.357580, 0.180423, 0.950456), "xyz_y": mixed(0.212671, 0.715160, 0.072169, 1.0), "xyz_z": mixed(0.019334, 0.119193, 0.950227, 1.088754)})
+    root = lambda c: F.when(F.col(c) > 0.008856, F.pow(F.col(c), F.lit(1 / 3))).otherwise(7.787 * F.col(c) + 16 / 116)
+    rows = rows.withColumns({f"root_{c}": root(f"xyz_{c}") for c in "xyz"})
+    light = F.when(F.col("xyz_y") > 0.008856, 116 * F.col("root_y") - 16).otherwise(903.3 * F.col("xyz_y"))
+    byte = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.round(v))).cast("int")
+    lab = {"lab_l": byte(light * 255 / 100), "lab_a": byte(500 * (F.col("root_x") - F.col("root_y")) + 128), "lab_b": byte(200 * (F.col("root_y") - F.col("root_z")) + 128)}
+    return rows.withColumns(lab).select(*pixels.columns, *lab)
+
+
+def color_modes(pixels: DataFrame, mask: Column, chroma: float = 17.5, share: float = 0.0003, darkest: int = 40, brightest: int = 180) -> DataFrame:
+    """``vec_id, mode``: COLOR where enough masked pixels, neither dark nor bright, have chroma."""
+    colored = mask & (F.hypot(F.col("lab_a") - 128, F.col("lab_b") - 128) > chroma) & F.col("lab_l").between(darkest, brightest)
+    part = F.try_divide(F.count_if(colored), F.count_if(mask))
+    return with_lab(pixels).groupBy("vec_id").agg(F.when(part > share, "COLOR").otherwise("GRAYSCALE").alias("mode"))
+
+
 def gray_world(pixels: DataFrame, mask: Column) -> DataFrame:
     """Scale each channel within the mask so that the masked means become grey, saturating at 255."""
     means = pixels.where(mask).groupBy("vec_id").agg(*(F.greatest(F.avg(c), F.lit(1e-6)).alias(f"m{c}") for c in "bgr"))
@@ -104,10 +87,13 @@ def normalized(pixels: DataFrame, channel: str) -> DataFrame:
     return pixels.withColumns({"lo": lo, "hi": hi}).withColumn("v", F.when(F.col("hi") - F.col("lo") > 1e-6, (F.col(channel) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col(channel)))
 
 
-def quad_scores(pixels: DataFrame) -> DataFrame:
-    """Score of four nested boxes of each tile: mean probability, favouring area; none if tiny."""
-    rows = pixels.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    inside = F.col("x").between(F.col("k"), 7 - F.col("k")) & F.col("y").between(F.col("k"), 7)
-    sums = rows.groupBy("vec_id", "k").agg(F.count_if(inside).alias("n"), F.avg(F.when(inside, F.col("p"))).alias("m"), F.count("*").alias("all"))
+def quad_scores(pixels: DataFrame, candidates: Column, least: float = 0.02) -> DataFrame:
+    """``vec_id, k, score`` of each quad in the array ``candidates``: mean probability, favouring area; none if tiny.
+
+    The array is exploded where the pixels are read, and its sums are combined before the shuffle.
+    """
+    rows = pixels.select("vec_id", "x", "y", "p", F.posexplode(candidates).alias("k", "q"))
+    rows = rows.withColumn("inside", in_polygon(F.col("x"), F.col("y"), F.col("q")))
+    sums = rows.groupBy("vec_id", "k").agg(F.count_if("inside").alias("n"), F.avg(F.when(F.col("inside"), F.col("p"))).alias("m"), F.count("*").alias("all"))
     share = F.col("n") / F.col("all")
-    return sums.select("vec_id", "k", F.when(share < 0.02, 0.0).otherwise(F.col("m") * (0.7 + 0.3 * share)).alias("score"))
+    return sums.select("vec_id", "k", F.when(share < least, 0.0).otherwise(F.col("m") * (0.7 + 0.3 * share)).alias("score"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.operators import contours as C
+from vellum.operators import detection as S
+from vellum.operators import drawing as D
 from vellum.plans.registry import register
 from vellum.sources import tables as T
 
@@ -30,3 +32,50 @@ def h7(spark, d):
 def f21(spark, d):
     found = C.hulls(drawn_contours(spark, d), "o_orderkey")
     return found.select("o_orderkey", F.size("points").alias("n"))
+
+
+def drawn_masks(spark, d):
+    """``n_nationkey, mask, width, height, image_width, image_height, q``: a quad drawn in a mask of 64 x 48 for a photo of 640 x 480."""
+    key = F.col("n_nationkey")
+    p = lambda x, y: G.point(x.cast("double"), y.cast("double"))
+    q = G.quad(p(6 + key % 7, 5 + key % 5), p(56 - key % 6, 4 + key % 9), p(58 - key % 11, 43 - key % 4), p(8 + key % 3, 40 - key % 8))
+    inside = lambda i: D.in_polygon((i % 64).cast("double"), F.floor(i / 64).cast("double"), F.col("q"))
+    rows = T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), q.alias("q"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(64 * 48 - 1)), lambda i: F.when(inside(i), 0.96).otherwise(0.04))
+    return rows.select("n_nationkey", "q", mask.alias("mask"), F.lit(64).alias("width"), F.lit(48).alias("height"), F.lit(640.0).alias("image_width"), F.lit(480.0).alias("image_height"))
+
+
+def _corners(rows):
+    return rows.select("n_nationkey", *(F.round(F.col("q")[c][a], 3).alias(f"{c}_{a}") for c in G.CORNERS for a in "xy"))
+
+
+@register("h1_document_quads")
+def h1(spark, d):
+    return _corners(S.document_quads(drawn_masks(spark, d), "n_nationkey", 64, 48))
+
+
+@register("h1_live_quads")
+def h1_live(spark, d):
+    return _corners(S.document_quads(drawn_masks(spark, d), "n_nationkey", 64, 48, live=True))
+
+
+@register("h2_best_quads")
+def h2(spark, d):
+    """Score of the best quad of each mask, over all thresholds."""
+    return S.best_quads(drawn_masks(spark, d), "n_nationkey").select("n_nationkey", F.round("score", 6).alias("score"))
+
+
+@register("e12_largest_contour")
+def e12(spark, d):
+    """Pixels of the largest border of each mask, and the area in it."""
+    p = F.col("points")
+    following = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
+    twice = F.aggregate(F.zip_with(p, following, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
+    return S.largest_contours(drawn_masks(spark, d), "n_nationkey").select("n_nationkey", F.size("points").alias("n"), (F.abs(twice) / 2).alias("area"))
+
+
+@register("g10_canny_edges")
+def g10(spark, d):
+    """Edge pixels of each mask, in long form."""
+    rows = S.edge_pixels(drawn_masks(spark, d), "n_nationkey").select("n_nationkey", F.explode("points").alias("p"))
+    return rows.select("n_nationkey", F.col("p.x").cast("int").alias("x"), F.col("p.y").cast("int").alias("y"))

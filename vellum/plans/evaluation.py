@@ -70,6 +70,20 @@ def a1(spark, d):
     return T.evaluation_images(spark, d).where(N.is_image(F.col("img"))).select("img")
 
 
+@register("a2_jpg_scan", sql("images", r"SELECT img FROM images WHERE lower(regexp_extract(img, '\.([^.]*)$', 1)) = 'jpg'"))
+def a2(spark, d):
+    return T.evaluation_images(spark, d).where(N.is_image(F.col("img"), ("jpg",))).select("img")
+
+
+@register("a7_list_files", "SELECT 'img' || doc_id || '.jpg' AS img_name, doc_id::VARCHAR AS doc_id, doc_id % 3 = 0 AS colored FROM labels")
+def a7(spark, d):
+    """Lines of list files by position: blanks about values go, and quotes mean nothing."""
+    key = F.col("doc_id").cast("string")
+    told = F.when(F.col("doc_id") % 3 == 0, "True").otherwise("no")
+    lines = T.table(spark, d, "labels").select(F.concat(F.lit(" img"), key, F.lit(".jpg ,"), key, F.lit(" , "), told).alias("line"))
+    return lines.select(*N.list_fields(F.col("line"), ["img_name", "doc_id", "colored"])).withColumn("colored", F.lower("colored") == "true")
+
+
 @register("a3_case_sensitive_glob", sql("images", "SELECT img FROM images WHERE img LIKE '%.jpg'"))
 def a3(spark, d):
     return T.evaluation_images(spark, d).where(F.col("img").endswith(".jpg")).select("img").orderBy("img")
@@ -124,12 +138,12 @@ def c5(spark, d):
     return T.words(spark, d).where("confidence > 50").select("doc_id", "pos", "word")
 
 
-@register("f5_word_rects", sql("words", 'SELECT doc_id, pos, round(("left"::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE + 0.00123, 2) AS x, round((842::FLOAT - bottom::FLOAT * (842::FLOAT/60000::FLOAT))::DOUBLE + 0.00123, 2) AS y, round((("right" - "left")::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE + 0.00123, 2) AS w FROM words WHERE confidence > 50 AND pos % 16 = 0'))
+@register("f5_word_rects", sql("words", 'SELECT doc_id, pos, round(("left"::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE + 0.00123, 2) AS x, round((842::FLOAT - bottom::FLOAT * (842::FLOAT/60000::FLOAT))::DOUBLE + 0.00123, 2) AS y, round((("right" - "left")::FLOAT * (595::FLOAT/1000::FLOAT))::DOUBLE + 0.00123, 2) AS w FROM words WHERE confidence > 50'))
 def f5(spark, d):
-    """Word boxes of every sixteenth confident word, on a page that is 60 000 pixels long."""
+    """Boxes of confident words, on a page that is 60 000 pixels long."""
     c = F.col
     rect = M.pdf_rect(c("left"), c("top"), c("right"), c("bottom"), F.lit(1000), F.lit(60000), F.lit(595), F.lit(842))
-    rows = T.words(spark, d).where("confidence > 50 and pos % 16 = 0").withColumn("rect", rect)
+    rows = T.words(spark, d).where("confidence > 50").withColumn("rect", rect)
     return rows.select("doc_id", "pos", *(F.round(F.col(f"rect.{n}").cast("double") + 0.00123, 2).alias(n) for n in "xyw"))
 
 

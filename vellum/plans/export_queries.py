@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.functions import geometry as G
+from vellum.operators import enhance as H
 from vellum.operators import export as E
+from vellum.operators import jpeg as J
+from vellum.plans import contour_queries as Q
 from vellum.plans.registry import register
 from vellum.sources import tables as T
 
@@ -25,3 +29,43 @@ def b2(spark, d):
 def b10(spark, d):
     rows = T.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + e.cast("double")))).alias("p"))
     return E.mask_images(rows, "vec_id", "p", 8).select("vec_id", F.length("png").alias("bytes"), F.crc32("png").alias("crc32"))
+
+
+@register("b1_jpeg_files")
+def b1(spark, d):
+    """Tiles as JPEG files of quality 75."""
+    channel = F.transform(F.arrays_zip("b", "g", "r"), lambda e: F.concat(*(F.lpad(F.hex(e[c]), 2, "0") for c in "bgr")))
+    rows = T.tiles(spark, d).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(F.array_join(channel, "")).alias("data"))
+    return J.jpeg_files(rows, "vec_id", 75).select("vec_id", F.length("jpeg").alias("bytes"), F.crc32("jpeg").alias("crc32"))
+
+
+def _photos(spark, d):
+    """Photos of 64 x 48 pixels with a page in each: one for each nation."""
+    drawn = Q.drawn_masks(spark, d)
+    shade = F.concat(F.lpad(F.hex((F.col("n_nationkey") * 5 + 20).cast("long")), 2, "0"), F.lit("D0E0"))
+    pixels = F.transform("mask", lambda p, i: F.when((p > 0.5) & (i % 7 > 0), F.lit("F0E8DC")).when(p > 0.5, shade).otherwise(F.lit("202428")))
+    return drawn.select("n_nationkey", "q", "width", "height", F.unhex(F.array_join(pixels, "")).alias("data"))
+
+
+@register("g20_color_enhancement")
+def g20(spark, d):
+    return _enhanced(spark, d, "COLOR")
+
+
+@register("g21_gray_enhancement")
+def g21(spark, d):
+    return _enhanced(spark, d, "GRAYSCALE")
+
+
+def _enhanced(spark, d, mode):
+    """Whole photos: their own corners are the quad."""
+    at = lambda x, y: G.point(F.lit(float(x)), F.lit(float(y)))
+    rows = _photos(spark, d).withColumns({"q": G.quad(at(0, 0), at(64, 0), at(64, 48), at(0, 48)), "mode": F.lit(mode), "rotation": F.lit(0)})
+    return H.extracted_documents(rows, "n_nationkey", 1_000_000).select("n_nationkey", "width", "height", F.length("data").alias("bytes"))
+
+
+@register("g24_extracted_documents")
+def g24(spark, d):
+    key = F.col("n_nationkey")
+    rows = _photos(spark, d).withColumns({"mode": F.when(key % 2 == 0, "COLOR").otherwise("GRAYSCALE"), "rotation": (key % 4 * 90).cast("int")})
+    return H.extracted_documents(rows, "n_nationkey", 1_500).select("n_nationkey", "width", "height", F.length("data").alias("bytes"))

@@ -244,14 +244,25 @@ def f18(spark, d):
     return fitted.select("o_orderkey", *(F.round(f"l.{n}", 4).alias(n) for n in ("x", "y", "dx", "dy")))
 
 
-@register("f22_min_area_angle", sql("keyed", POINTS + """, boxes AS (SELECT o_orderkey, a, (max(x*cos(a*pi()/180)+y*sin(a*pi()/180))-min(x*cos(a*pi()/180)+y*sin(a*pi()/180)))*(max(y*cos(a*pi()/180)-x*sin(a*pi()/180))-min(y*cos(a*pi()/180)-x*sin(a*pi()/180))) AS area FROM pts, range(90) AS t(a) GROUP BY o_orderkey, a)
-SELECT o_orderkey, round(min(area),2) AS area FROM boxes GROUP BY o_orderkey"""))
+@register("f22_min_area_angle", sql("keyed", POINTS + """, turned AS (SELECT o_orderkey, a, min(x*cos(radians(a))-y*sin(radians(a))) AS x0, max(x*cos(radians(a))-y*sin(radians(a))) AS x1, min(x*sin(radians(a))+y*cos(radians(a))) AS y0, max(x*sin(radians(a))+y*cos(radians(a))) AS y1
+  FROM pts, range(90) AS t(a) GROUP BY o_orderkey, a),
+best AS (SELECT o_orderkey, unnest(arg_min({a: a, x0: x0, x1: x1, y0: y0, y1: y1}, ((x1 - x0) * (y1 - y0), a))), min((x1 - x0) * (y1 - y0)) AS area FROM turned GROUP BY o_orderkey)
+SELECT o_orderkey, round(area, 2) AS area, a::INTEGER AS degree, round(greatest(0, least(639, x0*cos(radians(a))+y0*sin(radians(a)))) + 0.00123, 2) AS x, round(greatest(0, least(479, y1*cos(radians(a))-x1*sin(radians(a)))) + 0.00123, 2) AS y FROM best"""))
 def f22(spark, d):
-    """Least-area enclosing box over the whole degrees from 0 to 89."""
-    a = F.radians("a")
-    u, v = F.col("x") * F.cos(a) + F.col("y") * F.sin(a), F.col("y") * F.cos(a) - F.col("x") * F.sin(a)
-    boxes = _points(spark, d).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(89)))).groupBy("o_orderkey", "a").agg(((F.max(u) - F.min(u)) * (F.max(v) - F.min(v))).alias("area"))
-    return boxes.groupBy("o_orderkey").agg(F.round(F.min("area"), 2).alias("area"))
+    """Least-area enclosing box over the whole degrees from 0 to 89, clipped to the image: two coordinates of its corners."""
+    rect = G.min_area_rect(F.array(*G.corners(F.col("q"))), T.WIDTH, T.HEIGHT)
+    rows = T.keyed_quads(spark, d).select("o_orderkey", rect.alias("r"))
+    c = F.col("r.corners")
+    return rows.select("o_orderkey", F.round("r.area", 2).alias("area"), F.col("r.degree").alias("degree"), F.round(c[0]["x"] + 0.00123, 2).alias("x"), F.round(c[2]["y"] + 0.00123, 2).alias("y"))
+
+
+@register("f25_loupe_center", """SELECT o_orderkey, round(CASE WHEN y - 140 >= 16 THEN greatest(76, least(924, x)) WHEN x - 140 >= 16 THEN x - 80 ELSE least(924, x + 80) END, 4) AS cx,
+  round(CASE WHEN y - 140 >= 16 THEN y - 80 ELSE greatest(76, y) END, 4) AS cy FROM (SELECT o_orderkey, (o_orderkey % 1001)::DOUBLE AS x, (o_orderkey % 397)::DOUBLE AS y FROM orders)""")
+def f25(spark, d):
+    """A loupe of radius 60, 20 away from the finger, on a screen 1000 wide with margins of 16."""
+    key, n = F.col("o_orderkey"), lambda v: F.lit(float(v))
+    at = G.loupe_center((key % 1001).cast("double"), (key % 397).cast("double"), n(60), n(20), n(16), n(1000))
+    return T.table(spark, d, "orders").select("o_orderkey", at.alias("p")).select("o_orderkey", F.round("p.x", 4).alias("cx"), F.round("p.y", 4).alias("cy"))
 
 
 @register("a6_decode_cap", "SELECT o_orderkey, CASE WHEN w*h <= 12000000 THEN w ELSE floor(w*(12000000/(w*h)::DOUBLE)) END::INTEGER AS width, CASE WHEN w*h <= 12000000 THEN h ELSE floor(h*(12000000/(w*h)::DOUBLE)) END::INTEGER AS height FROM (SELECT o_orderkey, 1000 + (o_orderkey % 50)*100 AS w, 1500 + (o_orderkey % 37)*100 AS h FROM orders)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.functions import names as N
 from vellum.plans.registry import register
 from vellum.plans.views import sql
 from vellum.sources import tables as T
@@ -109,3 +110,13 @@ def i11(spark, d):
     part = F.concat(F.slice("embedding", 61, 4), F.slice("embedding", 1, 2))
     total = F.aggregate(part, F.lit(0.0).cast("float"), lambda a, e: (a + e).cast("float"))
     return T.table(spark, d, "embeddings").select("vec_id", F.round(total.cast("double"), 4).alias("total"), F.size(part).alias("n"))
+
+
+CODES = ("eng", "deu", "chi_sim_vert", "kat_old", "kat", "srp_latn", "srp", "aze_cyrl", "jpn_vert", "frm", "deu_latf")
+
+
+@register("f27_language_tags", "SELECT o_orderkey, CASE c WHEN 'deu' THEN 'de' WHEN 'chi_sim_vert' THEN 'zh-CN-vertical' WHEN 'kat' THEN 'ka' WHEN 'srp_latn' THEN 'sr-Latn' WHEN 'aze_cyrl' THEN 'az-Cyrl' WHEN 'jpn_vert' THEN 'ja-vertical' WHEN 'deu_latf' THEN 'de-1901' ELSE split_part(c, '_', 1) END AS tag "
+          f"FROM (SELECT o_orderkey, {list(CODES)}[o_orderkey % {len(CODES)} + 1] AS c FROM orders)")
+def f27(spark, d):
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("o_orderkey") % len(CODES) + 1).cast("int"))
+    return T.table(spark, d, "orders").select("o_orderkey", N.language_tag(code).alias("tag"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vellum.functions import geometry as G
+from vellum.operators import drawing as D
 from vellum.operators import pixels as X
+from vellum.operators import rasters as R
+from vellum.plans.drawing_queries import TURNS, tile_quad
 from vellum.plans.registry import register
 from vellum.plans.views import sql
 from vellum.sources import tables as T
@@ -50,24 +54,75 @@ def _neighbours(r: int) -> str:
   JOIN pixels n ON n.vec_id = a.vec_id AND n.x = {MIRROR.format('(a.x + ox)')} AND n.y = {MIRROR.format('(a.y + oy)')}"""
 
 
+def _long(images, column, digits=None):
+    rows = R.as_pixels(images, "vec_id", 8, column)
+    return rows.select("vec_id", "x", "y", (F.round(column, digits) if digits else F.col(column).cast("int")).alias("v"))
+
+
 @register("g7_gaussian_3x3", sql("pixels", f"SELECT {KEY}, round(sum(b * (CASE ox WHEN 0 THEN 2 ELSE 1 END) * (CASE oy WHEN 0 THEN 2 ELSE 1 END)) / 16.0::DOUBLE, 4) AS v FROM ({_neighbours(1)}) GROUP BY ALL"))
 def g7(spark, d):
-    return X.filtered(_px(spark, d), "b", {(ox, oy): (2 - abs(ox)) * (2 - abs(oy)) / 16 for ox in (-1, 0, 1) for oy in (-1, 0, 1)}, 8, 8)
+    return _long(R.gaussian(T.tiles(spark, d), "b", 3, 8, 8), "b", 4)
+
+
+@register("g7_gaussian_5x5", sql("pixels", f"SELECT {KEY}, round(sum(b * [1, 4, 6, 4, 1][ox + 3] * [1, 4, 6, 4, 1][oy + 3]) / 256.0::DOUBLE, 4) AS v FROM ({_neighbours(2)}) GROUP BY ALL"))
+def g7_5(spark, d):
+    return _long(R.gaussian(T.tiles(spark, d), "b", 5, 8, 8), "b", 4)
 
 
 @register("g8_box_filter", sql("pixels", f"SELECT {KEY}, round(avg(b), 4) AS v FROM ({_neighbours(1)}) GROUP BY ALL"))
 def g8(spark, d):
-    return X.filtered(_px(spark, d), "b", {(ox, oy): 1 / 9 for ox in (-1, 0, 1) for oy in (-1, 0, 1)}, 8, 8)
+    return _long(R.box(T.tiles(spark, d), "b", 3, 8, 8), "b", 4)
+
+
+@register("g8_box_real_size", sql("pixels", f"SELECT {KEY}, round(avg(b), 4) AS v FROM ({_neighbours(2)}) WHERE ox < 2 AND oy < 2 GROUP BY ALL"))
+def g8_real(spark, d):
+    """A side of 4.6 pixels is cut to 4: two before the pixel and one behind it."""
+    return _long(R.box(T.tiles(spark, d), "b", 4.6, 8, 8), "b", 4)
 
 
 @register("g9_erode_cross", sql("pixels", """SELECT a.vec_id, a.x, a.y, min(n.b) AS v FROM pixels a JOIN pixels n ON n.vec_id = a.vec_id AND abs(n.x - a.x) + abs(n.y - a.y) <= 1 GROUP BY ALL"""))
 def g9(spark, d):
-    return X.morphed(_px(spark, d), "b", [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)], F.min, 8, 8)
+    return _long(R.eroded(T.tiles(spark, d), "b", R.ellipse(3), 8, 8), "b")
+
+
+def _morphed(pick: str, source: str) -> str:
+    """A pass over the 5 x 5 ellipse, beyond whose border is nothing."""
+    return f"""SELECT a.vec_id, a.x, a.y, {pick}(n.v) AS v FROM {source} a JOIN {source} n ON n.vec_id = a.vec_id
+  AND abs(n.y - a.y) <= 2 AND abs(n.x - a.x) <= CASE abs(n.y - a.y) WHEN 2 THEN 0 ELSE 2 END GROUP BY ALL"""
+
+
+@register("g9_close_open", sql("pixels", f""", a0 AS MATERIALIZED (SELECT {KEY}, b AS v FROM pixels), a1 AS MATERIALIZED ({_morphed('max', 'a0')}), a2 AS MATERIALIZED ({_morphed('min', 'a1')}), b1 AS MATERIALIZED ({_morphed('min', 'a0')}), b2 AS MATERIALIZED ({_morphed('max', 'b1')})
+SELECT vec_id, x, y, a2.v AS closed, b2.v AS opened FROM a2 JOIN b2 USING (vec_id, x, y)"""))
+def g9_close_open(spark, d):
+    rows = T.tiles(spark, d).select("vec_id", F.col("b").alias("closed"), F.col("b").alias("opened"))
+    rows = R.opened(R.closed(rows, "closed", R.ellipse(5), 8, 8), "opened", R.ellipse(5), 8, 8)
+    return R.as_pixels(rows, "vec_id", 8, "closed", "opened")
+
+
+@register("h8_refine_mask", sql("pixels", f""", a0 AS MATERIALIZED (SELECT {KEY}, CASE WHEN b > 128 THEN 255 ELSE 0 END AS v FROM pixels), a1 AS MATERIALIZED ({_morphed('max', 'a0')}), a2 AS MATERIALIZED ({_morphed('min', 'a1')}),
+a3 AS MATERIALIZED ({_morphed('min', 'a2')}), a4 AS MATERIALIZED ({_morphed('max', 'a3')}) SELECT * FROM a4"""))
+def h8(spark, d):
+    return _long(R.refined_mask(T.tiles(spark, d), "b", 8, 8), "b")
 
 
-@register("g15_chroma", sql("pixels", f"SELECT {KEY}, round(sqrt((g - 128) ** 2 + (r - 128) ** 2), 4) AS chroma FROM pixels"))
+def _lab(source: str) -> str:
+    """Expressions over channels b, g, r: CIE Lab in 8 bits."""
+    return f"""(SELECT * EXCLUDE (s, wx, wy, wz, fx, fy, fz), greatest(0, least(255, round((CASE WHEN wy > 0.008856 THEN 116 * fy - 16 ELSE 903.3 * wy END) * 255 / 100)))::INTEGER AS lab_l,
+  greatest(0, least(255, round(500 * (fx - fy) + 128)))::INTEGER AS lab_a, greatest(0, least(255, round(200 * (fy - fz) + 128)))::INTEGER AS lab_b
+FROM (SELECT *, CASE WHEN wx > 0.008856 THEN wx ** (1 / 3.0::DOUBLE) ELSE 7.787 * wx + 16 / 116.0::DOUBLE END AS fx, CASE WHEN wy > 0.008856 THEN wy ** (1 / 3.0::DOUBLE) ELSE 7.787 * wy + 16 / 116.0::DOUBLE END AS fy,
+  CASE WHEN wz > 0.008856 THEN wz ** (1 / 3.0::DOUBLE) ELSE 7.787 * wz + 16 / 116.0::DOUBLE END AS fz
+FROM (SELECT *, (0.412453 * s[1] + 0.357580 * s[2] + 0.180423 * s[3])::DOUBLE / 0.950456 AS wx, (0.212671 * s[1] + 0.715160 * s[2] + 0.072169 * s[3])::DOUBLE AS wy, (0.019334 * s[1] + 0.119193 * s[2] + 0.950227 * s[3])::DOUBLE / 1.088754 AS wz
+FROM (SELECT *, list_transform([r, g, b], lambda c: CASE WHEN c / 255.0::DOUBLE <= 0.04045 THEN c / 255.0::DOUBLE / 12.92 ELSE ((c / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 END) AS s FROM {source}))))"""
+
+
+@register("g14_lab", sql("pixels", f"SELECT {KEY}, lab_l, lab_a, lab_b FROM {_lab('pixels')}"))
+def g14_lab(spark, d):
+    return X.with_lab(_px(spark, d)).select("vec_id", "x", "y", "lab_l", "lab_a", "lab_b")
+
+
+@register("g15_chroma", sql("pixels", f"SELECT {KEY}, round(sqrt((lab_a - 128) ** 2 + (lab_b - 128) ** 2), 4) AS chroma FROM {_lab('pixels')}"))
 def g15(spark, d):
-    return _px(spark, d).select("vec_id", "x", "y", F.round(F.hypot(F.col("g") - 128, F.col("r") - 128), 4).alias("chroma"))
+    return X.with_lab(_px(spark, d)).select("vec_id", "x", "y", F.round(F.hypot(F.col("lab_a") - 128, F.col("lab_b") - 128), 4).alias("chroma"))
 
 
 @register("g14_lab_lightness", sql("pixels", f""", l AS (SELECT vec_id, x, y, list_transform([r, g, b], lambda c: CASE WHEN c / 255.0::DOUBLE <= 0.04045 THEN c / 255.0::DOUBLE / 12.92 ELSE ((c / 255.0::DOUBLE + 0.055) / 1.055) ** 2.4 END) AS s FROM pixels),
@@ -94,12 +149,26 @@ def g28(spark, d):
     return _px(spark, d).select("vec_id", "x", "y", F.when(F.col("b") == 127, 255).otherwise(F.col("b")).alias("b"))
 
 
-@register("e3_color_mode", sql("pixels", "SELECT vec_id, CASE WHEN count(*) FILTER (p >= 0.5) > 0 AND count(*) FILTER (p >= 0.5 AND sqrt((g-128)**2+(r-128)**2) > 17.5 AND b BETWEEN 40 AND 180)::DOUBLE / nullif(count(*) FILTER (p >= 0.5), 0) > 0.0003 THEN 'COLOR' ELSE 'GRAYSCALE' END AS mode FROM pixels GROUP BY vec_id"))
+def _mode(source: str, mask: str, share: float) -> str:
+    return f"""SELECT vec_id, CASE WHEN count(*) FILTER ({mask} AND sqrt((lab_a-128)**2+(lab_b-128)**2) > 17.5 AND lab_l BETWEEN 40 AND 180)::DOUBLE / nullif(count(*) FILTER ({mask}), 0) > {share}
+  THEN 'COLOR' ELSE 'GRAYSCALE' END AS mode FROM {source} GROUP BY vec_id"""
+
+
+@register("e3_color_mode", sql("pixels", _mode(_lab("pixels"), "p >= 0.5", 0.0003)))
 def e3(spark, d):
-    doc = F.col("p") >= 0.5
-    colored = doc & (F.hypot(F.col("g") - 128, F.col("r") - 128) > 17.5) & F.col("b").between(40, 180)
-    share = F.try_divide(F.count_if(colored), F.count_if(doc))
-    return _px(spark, d).groupBy("vec_id").agg(F.when(share > 0.0003, "COLOR").otherwise("GRAYSCALE").alias("mode"))
+    return X.color_modes(_px(spark, d), F.col("p") >= 0.5)
+
+
+@register("g18_auto_color_mode", sql("pixels", f""", d AS MATERIALIZED (SELECT *, p >= 0.5 AND (list_min({TURNS}) >= 0 OR list_max({TURNS}) <= 0) AS doc FROM pixels),
+m AS (SELECT vec_id, greatest(avg(b), 1e-6) AS mb, greatest(avg(g), 1e-6) AS mg, greatest(avg(r), 1e-6) AS mr FROM d WHERE doc GROUP BY vec_id),
+w AS MATERIALIZED (SELECT d.vec_id, x, y, doc, CASE WHEN doc THEN least(255, round(b * ((mb + mg + mr) / 3) / mb)) ELSE b END::INTEGER AS b, CASE WHEN doc THEN least(255, round(g * ((mb + mg + mr) / 3) / mg)) ELSE g END::INTEGER AS g,
+  CASE WHEN doc THEN least(255, round(r * ((mb + mg + mr) / 3) / mr)) ELSE r END::INTEGER AS r FROM d LEFT JOIN m USING (vec_id))
+""" + _mode(_lab("w"), "doc", 0.8)))
+def g18(spark, d):
+    """Masked pixels within the quad, whose grey mean is balanced first; tiles are colourful, so the share asked for is large."""
+    doc = (F.col("p") >= 0.5) & D.in_polygon(F.col("x"), F.col("y"), tile_quad())
+    rows = _px(spark, d).withColumn("doc", doc)
+    return X.color_modes(X.gray_world(rows, F.col("doc")), F.col("doc"), share=0.8)
 
 
 @register("e4_masked_means", sql("pixels", "SELECT vec_id, round(greatest(avg(b), 1e-6), 6) AS b, round(greatest(avg(g), 1e-6), 6) AS g, round(greatest(avg(r), 1e-6), 6) AS r FROM pixels WHERE p >= 0.5 GROUP BY vec_id"))
@@ -137,16 +206,30 @@ def e9(spark, d):
     return X.normalized(_px(spark, d), "p").select("vec_id", "x", "y", F.round("v", 6).alias("v"))
 
 
-@register("e10_quad_score", sql("pixels", "SELECT vec_id, k, round(CASE WHEN n / 64.0::DOUBLE < 0.02 THEN 0 ELSE m * (0.7 + 0.3 * n / 64.0::DOUBLE) END, 6) AS score FROM (SELECT vec_id, k, count(*) FILTER (inside) AS n, avg(p) FILTER (inside) AS m FROM (SELECT *, x BETWEEN k AND 7 - k AND y BETWEEN k AND 7 AS inside FROM pixels, range(4) t(k)) GROUP BY vec_id, k)"))
+def _insets():
+    """Three quads in each tile: its own, and that one with its corners one and two pixels further in."""
+    v = F.col("vec_id")
+    p = lambda x, y: G.point(x.cast("double"), y.cast("double"))
+    return F.array(*(G.quad(p(1 + v % 2 + k, F.lit(k)), p(F.lit(6 - k), 1 + v % 3 + k), p(F.lit(7 - k), F.lit(6 - k)), p(F.lit(k), 7 - v % 2 - k)) for k in range(3)))
+
+
+CORNERS = list(zip(("(1 + vec_id % 2 + k)", "(6 - k)", "(7 - k)", "k"), ("k", "(1 + vec_id % 3 + k)", "(6 - k)", "(7 - vec_id % 2 - k)"), strict=True))
+INSET = "[" + ", ".join(f"({c} - {a}) * (y - {b}) - ({e} - {b}) * (x - {a})" for (a, b), (c, e) in zip(CORNERS, [*CORNERS[1:], CORNERS[0]], strict=True)) + "]"
+SCORES = f"""SELECT vec_id, k::INTEGER AS k, CASE WHEN n / 64.0::DOUBLE < 0.02 THEN 0 ELSE m * (0.7 + 0.3 * n / 64.0::DOUBLE) END AS score
+FROM (SELECT vec_id, k, count(*) FILTER (inside) AS n, avg(p) FILTER (inside) AS m FROM (SELECT *, list_min({INSET}) >= 0 OR list_max({INSET}) <= 0 AS inside FROM pixels, range(3) t(k)) GROUP BY vec_id, k)"""
+
+
+@register("e10_quad_score", sql("pixels", f"SELECT vec_id, k, round(score, 6) AS score FROM ({SCORES})"))
 def e10(spark, d):
-    return X.quad_scores(_px(spark, d)).select("vec_id", "k", F.round("score", 6).alias("score"))
+    return X.quad_scores(_px(spark, d), _insets()).select("vec_id", "k", F.round("score", 6).alias("score"))
 
 
-@register("e11_best_candidate", sql("pixels", ", s AS (SELECT vec_id, k, CASE WHEN n / 64.0::DOUBLE < 0.02 THEN 0 ELSE m * (0.7 + 0.3 * n / 64.0::DOUBLE) END AS score FROM (SELECT vec_id, k, count(*) FILTER (inside) AS n, avg(p) FILTER (inside) AS m FROM (SELECT *, x BETWEEN k AND 7 - k AND y BETWEEN k AND 7 AS inside FROM pixels, range(4) t(k)) GROUP BY vec_id, k)) SELECT vec_id, arg_max(k, (round(score, 9), -k))::INTEGER AS k FROM s WHERE score > 0 GROUP BY vec_id"))
+@register("e11_best_candidate", sql("pixels", f"SELECT vec_id, arg_max(k, (round(score, 9), -k)) AS k FROM ({SCORES}) WHERE score > 0 GROUP BY vec_id"))
 def e11(spark, d):
-    return X.quad_scores(_px(spark, d)).where("score > 0").groupBy("vec_id").agg(F.max_by("k", F.struct(F.round("score", 9), -F.col("k"))).alias("k"))
+    return X.quad_scores(_px(spark, d), _insets()).where("score > 0").groupBy("vec_id").agg(F.max_by("k", F.struct(F.round("score", 9), -F.col("k"))).alias("k"))
 
 
-@register("d9_mask_and_quad", sql("pixels", f"SELECT {KEY}, p >= 0.5 AND x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 7 AS inside FROM pixels"))
+@register("d9_mask_and_quad", sql("pixels", f"SELECT {KEY}, p >= 0.5 AND (list_min({TURNS}) >= 0 OR list_max({TURNS}) <= 0) AS inside FROM pixels"))
 def d9(spark, d):
-    return _px(spark, d).select("vec_id", "x", "y", ((F.col("p") >= 0.5) & F.col("x").between(1, 6) & F.col("y").between(1, 7)).alias("inside"))
+    inside = (F.col("p") >= 0.5) & D.in_polygon(F.col("x"), F.col("y"), tile_quad())
+    return _px(spark, d).select("vec_id", "x", "y", inside.alias("inside"))

@@ -72,3 +72,26 @@ def i2(spark, d):
     v = w.orderBy("j").rowsBetween(-5, 5)
     angle = F.atan2(F.sum(F.sin("dx")).over(v), F.sum(F.cos("dx")).over(v))
     return padded.withColumn("angle", F.round(angle, 4)).where("k = 0").select("session", "i", "angle")
+
+
+@register("j5_import_progress", sql("frames", """SELECT session, seq, count(*) OVER w AS done, count(*) OVER (PARTITION BY session) AS total, count(*) FILTER (event_type <> 'error') OVER w AS imported
+FROM frames WINDOW w AS (PARTITION BY session ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)"""))
+def j5(spark, d):
+    """Progress of an import, item by item: those that fail count as done and are skipped."""
+    w = Window.partitionBy("session")
+    upto = w.orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return T.frames(spark, d).select("session", "seq", F.count("*").over(upto).alias("done"), F.count("*").over(w).alias("total"), F.count_if(F.col("event_type") != "error").over(upto).alias("imported"))
+
+
+@register("j8_corner_drag")
+def j8(spark, d):
+    """Gestures on the unit quad: a session's frames move one corner, and a last small, quick step is taken back."""
+    key = F.col("session")
+    step = F.struct(F.col("ts"), F.col("seq"), ((F.col("seq") % 21 - 10) / 200.0).alias("dx"), ((F.col("seq") % 17 - 8) / 200.0).alias("dy"))
+    gestures = T.frames(spark, d).groupBy("session").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    at = lambda x, y: G.point(F.lit(x), F.lit(y))
+    quad = G.quad(at(0.2, 0.2), at(0.8, 0.2), at(0.8, 0.8), at(0.2, 0.8))
+    last = F.element_at("steps", -1)
+    small = F.hypot(last["dx"], last["dy"]) <= 0.02
+    moved = G.dragged(quad, (key % 5).cast("int"), F.col("steps"), key % 5 == 4, small)
+    return gestures.select("session", moved.alias("q")).select("session", *(F.round(F.col("q")[c][a], 6).alias(f"{c}_{a}") for c in G.CORNERS for a in "xy"))

@@ -10,13 +10,15 @@ CTE = {
 pixels AS (SELECT vec_id, (i % 8)::INTEGER AS x, (i // 8)::INTEGER AS y, v[i + 1] AS p, floor(255 * v[i + 1])::INTEGER AS b,
   floor(255 * v[(i + 21) % 64 + 1])::INTEGER AS g, floor(255 * v[(i + 42) % 64 + 1])::INTEGER AS r FROM tiles, range(64) AS t(i))""",
     "frames": "frames AS (SELECT user_id AS session, ts, event_id AS seq, event_type, CASE WHEN event_type <> 'error' THEN value % 40 END AS dx FROM events)",
-    "pages": """pages_ AS (SELECT conv_id AS doc, turn AS position, conv_id || '-' || turn AS id,
+    "pages": """pages_ AS (SELECT conv_id AS doc, turn AS position, conv_id || '_' || turn AS id,
   CASE role WHEN 'user' THEN 'COLOR' WHEN 'assistant' THEN 'GRAYSCALE' END AS mode,
   CASE WHEN (conv_id + turn) % 29 = 0 THEN 42 ELSE 90 * (turn % 4) END::INTEGER AS rotation, (turn % 3)::INTEGER AS quad_version,
-  (1200 + 100 * (turn % 5))::INTEGER AS source_width, (1600 + 100 * (conv_id % 7))::INTEGER AS source_height FROM conversations)""",
-    "files": """files AS (SELECT doc, id || '.jpg' AS name, ((doc * 1000 + position) * 7919 % 100000) AS mtime FROM pages_ WHERE (doc * 1000 + position) % 10 <> 3
+  (1200 + 100 * (turn % 5))::INTEGER AS source_width, (1600 + 100 * (conv_id % 7))::INTEGER AS source_height,
+  (90 * (conv_id % 4))::INTEGER AS manual_rotation, turn % 6 <> 5 AS has_quad, turn % 2 = 0 AS has_user_quad, CASE WHEN conv_id % 8 <> 7 THEN role = 'user' END AS colored,
+  CASE WHEN turn % 3 > 0 THEN (turn % 3)::FLOAT END AS focal_length, CASE WHEN conv_id % 2 > 0 THEN 2.0::FLOAT END AS sensor_width, CASE WHEN turn % 4 > 0 THEN (turn * 100)::FLOAT END AS subject_distance FROM conversations)""",
+    "files": """files AS (SELECT *, length(name) * 1000 + mtime AS bytes FROM (SELECT doc, id || '.jpg' AS name, ((doc * 1000 + position) * 7919 % 100000) AS mtime FROM pages_ WHERE (doc * 1000 + position) % 10 <> 3
   UNION ALL SELECT doc, id || CASE WHEN (doc * 1000 + position) % 8 = 1 THEN '-90' ELSE '-270' END || '.jpg', ((doc * 1000 + position) * 104729 % 100000)
-  FROM pages_ WHERE (doc * 1000 + position) % 4 = 1)""",
+  FROM pages_ WHERE (doc * 1000 + position) % 4 = 1))""",
     "words": r"""split AS (SELECT doc_id, regexp_split_to_array(text, '[ \n\t]+') AS w FROM documents),
 placed AS (SELECT doc_id, (i - 1)::INTEGER AS pos, w[i] AS word FROM split, range(1, len(w) + 1) AS t(i) WHERE w[i] <> ''),
 words AS (SELECT doc_id, pos, word, 20 + (pos % 12) * 80 AS "left", 30 + (pos // 12) * 40 AS top, 20 + (pos % 12) * 80 + least(length(word) * 7, 75) AS "right",

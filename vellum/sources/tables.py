@@ -44,6 +44,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "p", at(0).alias("b"), at(21).alias("g"), at(42).alias("r"))
 
 
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, p, b, g, r``: the tiles of :func:`pixels` in rows, their values as arrays."""
+    p = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + e.cast("double"))))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", p.alias("p")).withColumn("b", F.transform("p", lambda e: F.floor(255 * e).cast("int")))
+    turned = lambda k: F.concat(F.slice("b", k + 1, 64 - k), F.slice("b", 1, k))
+    return rows.withColumns({"g": turned(21), "r": turned(42)})
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``session, ts, seq, q``: ordered live frames; no quad where detection failed."""
     dx = F.col("value") % 40
@@ -53,24 +61,27 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc, position, id, mode, rotation, quad_version, source_width, source_height``."""
+    """``doc, position, id, mode, rotation, manual_rotation, quad_version``, quads, colour and optics."""
     doc, turn = F.col("conv_id"), F.col("turn")
     bad = (doc + turn) % 29 == 0
     return table(spark, sf_dir, "conversations").select(
-        doc.alias("doc"), turn.alias("position"), F.concat_ws("-", doc.cast("string"), turn.cast("string")).alias("id"),
+        doc.alias("doc"), turn.alias("position"), F.concat_ws("_", doc.cast("string"), turn.cast("string")).alias("id"),
         F.when(F.col("role") == "user", "COLOR").when(F.col("role") == "assistant", "GRAYSCALE").alias("mode"),
         F.when(bad, 42).otherwise(90 * (turn % 4)).cast("int").alias("rotation"), (turn % 3).cast("int").alias("quad_version"),
         (1200 + 100 * (turn % 5)).cast("int").alias("source_width"), (1600 + 100 * (doc % 7)).cast("int").alias("source_height"),
+        (90 * (doc % 4)).cast("int").alias("manual_rotation"), F.when(turn % 6 != 5, _quad((turn % 50 + 1).cast("double"), (doc % 11) / 100.0, (turn % 9) / 100.0)).alias("quad"),
+        F.when(turn % 2 == 0, _quad((doc % 50 + 1).cast("double"), (turn % 11) / 100.0, (doc % 9) / 100.0)).alias("user_quad"), F.when(doc % 8 != 7, F.col("role") == "user").alias("colored"),
+        F.when(turn % 3 > 0, (turn % 3).cast("float")).alias("focal_length"), F.when(doc % 2 > 0, F.lit(2.0).cast("float")).alias("sensor_width"), F.when(turn % 4 > 0, (turn * 100).cast("float")).alias("subject_distance"),
     )
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc, name, mtime``: files of nine pages in ten, and rotated legacy copies of some."""
+    """``doc, name, mtime, bytes``: files of nine pages in ten, and rotated legacy copies of some."""
     rows = pages(spark, sf_dir)
     key = F.col("doc") * 1000 + F.col("position")
     base = rows.where(key % 10 != 3).select("doc", F.concat("id", F.lit(".jpg")).alias("name"), (key * 7919 % 100000).alias("mtime"))
     turned = rows.where(key % 4 == 1).select("doc", F.concat("id", F.when(key % 8 == 1, "-90").otherwise("-270"), F.lit(".jpg")).alias("name"), (key * 104729 % 100000).alias("mtime"))
-    return base.unionByName(turned)
+    return base.unionByName(turned).withColumn("bytes", (F.length("name") * 1000 + F.col("mtime")).cast("long"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -45,15 +46,14 @@ class QuadRun(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         last = self.last.get() if self.last.exists() else None
         points, count = (last[:8], last[8]) if last else (None, 0)
+        corners = batch[FLAT].to_numpy(np.float64).reshape(-1, 4, 2)
+        before = np.concatenate([np.full((1, 4, 2), np.nan) if points is None else np.array(points).reshape(1, 4, 2), corners[:-1]])
+        far = np.hypot(*np.moveaxis(corners - before, 2, 0)).max(axis=1).astype(np.float32)
         counts = []
-        for row in batch[FLAT].itertuples(index=False):
-            if row[0] != row[0] or row[0] is None:
-                points, count = None, 0
-            else:
-                far = max(((row[i] - points[i]) ** 2 + (row[i + 1] - points[i + 1]) ** 2) ** 0.5 for i in range(0, 8, 2)) if count else None
-                count = count + 1 if count and pd.Series([far], dtype="float32")[0] < MAX_DISTANCE else 1
-                points = tuple(row)
+        for missing, near in zip(np.isnan(corners[:, 0, 0]).tolist(), (far < MAX_DISTANCE).tolist(), strict=True):
+            count = 0 if missing else count + 1 if near else 1
             counts.append(count)
+        points = corners[-1].ravel()
         if count:
             self.last.update((*map(float, points), int(count)))
         else:
@@ -64,6 +64,16 @@ class QuadRun(StatefulProcessor):
         pass
 
 
+def camera_frames(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A stream of frames (session, ts, seq, q) from the Parquet files that come to a folder.
+
+    Frames behind what a micro-batch takes wait in the folder; :func:`latest_only` drops stale ones.
+    """
+    point = "struct<x:double,y:double>"
+    quad = "struct<" + ",".join(f"{n}:{point}" for n in G.CORNERS) + ">"
+    return spark.readStream.schema(f"session bigint, ts timestamp, seq bigint, q {quad}").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def flat_quads(frames: DataFrame) -> DataFrame:
     points = zip(("tl", "tr", "br", "bl"), G.corners(F.col("q")), strict=True)
     return frames.select("session", "ts", "seq", *(p[c].alias(f"{n}_{c}") for n, p in points for c in "xy"))
