@@ -58,9 +58,8 @@ def g21(spark, d):
 
 
 def _enhanced(spark, d, mode):
-    """Whole photos: their own corners are the quad."""
-    at = lambda x, y: G.point(F.lit(float(x)), F.lit(float(y)))
-    rows = _photos(spark, d).withColumns({"q": G.quad(at(0, 0), at(64, 0), at(64, 48), at(0, 48)), "mode": F.lit(mode), "rotation": F.lit(0)})
+    """The pages as they are, upright and in full size."""
+    rows = _photos(spark, d).withColumns({"mode": F.lit(mode), "rotation": F.lit(0)})
     return H.extracted_documents(rows, "n_nationkey", 1_000_000).select("n_nationkey", "width", "height", F.length("data").alias("bytes"))
 
 
