@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fixity, language, lines, minhash, mixing, packing, tokens, topk, toxicity, vectors
+from vellum.llm import alignment, fixity, language, lines, manifest, minhash, mixing, neighbours, packing, tokens, topk, toxicity, vectors
 from vellum.llm.tables import table
 
 
@@ -59,6 +59,19 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_top_k": op1_exact_top_k,
@@ -71,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_merkle_fixity": op9_merkle_fixity,
         "op10_embedding_near_dedup": op10_embedding_near_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_nearest_neighbours": op12_nearest_neighbours,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -158,10 +174,62 @@ FROM a FULL JOIN b USING (archive, level, node) WHERE a.digest IS DISTINCT FROM
 """
 
 
+#: crc32 of a decimal id: eight shifts a byte, the polynomial where a 1 falls out.
+OP11_SQL = """
+WITH RECURSIVE
+docs AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS r, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) END AS crc FROM documents),
+texts AS (SELECT r, false AS harmed, * EXCLUDE (r) FROM docs UNION ALL SELECT r, true, * EXCLUDE (r) REPLACE (replace(text, chr(10), '') AS text) FROM docs WHERE crc & 1 = 0),
+hashes AS MATERIALIZED (
+  SELECT r, harmed, source, doc_id, sha256(list_reduce(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text],
+    lambda v: coalesce(strlen(v) || ':' || v, '-')), lambda a, b: a || b)) AS leaf FROM texts),
+leaves AS MATERIALIZED (
+  SELECT h.source, h.doc_id, h.leaf, coalesce(t.leaf, h.leaf) AS now,
+    row_number() OVER (PARTITION BY h.source ORDER BY h.doc_id NULLS FIRST, h.leaf) - 1 AS i, count(*) OVER (PARTITION BY h.source) AS n
+  FROM hashes h LEFT JOIN hashes t ON t.r = h.r AND t.harmed WHERE NOT h.harmed),
+nodes AS (
+  SELECT source, 0 AS level, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY source, level, i // 3),
+sides AS MATERIALIZED (
+  SELECT source, level, i, n, digest, coalesce(lag(digest, 2) OVER w, '') || coalesce(lag(digest, 1) OVER w, '') AS l,
+    coalesce(lead(digest, 1) OVER w, '') || coalesce(lead(digest, 2) OVER w, '') AS r
+  FROM nodes WINDOW w AS (PARTITION BY source, level, i // 3 ORDER BY i)),
+subroots AS MATERIALIZED (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM sides WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 3),
+top_sides AS MATERIALIZED (
+  SELECT level, i, n, digest, coalesce(lag(digest, 2) OVER w, '') || coalesce(lag(digest, 1) OVER w, '') AS l,
+    coalesce(lead(digest, 1) OVER w, '') || coalesce(lead(digest, 2) OVER w, '') AS r
+  FROM tops WINDOW w AS (PARTITION BY level, i // 3 ORDER BY i)),
+paths AS (
+  SELECT source, doc_id, leaf, i AS place, 0 AS level, i, now AS folded, '' AS siblings FROM leaves
+  UNION ALL
+  SELECT p.source, p.doc_id, p.leaf, p.place, p.level + 1, p.i // 3, sha256(s.l || p.folded || s.r), p.siblings || s.l || s.r
+  FROM paths p JOIN sides s ON s.source IS NOT DISTINCT FROM p.source AND s.level = p.level AND s.i = p.i WHERE s.n > 1),
+low AS MATERIALIZED (
+  SELECT p.*, s.i AS root_place, s.digest AS subroot FROM (SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY source, place ORDER BY level DESC) = 1) p
+  JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source),
+high AS (
+  SELECT source, doc_id, leaf, subroot, place, 0 AS level, root_place AS i, folded, siblings FROM low
+  UNION ALL
+  SELECT p.source, p.doc_id, p.leaf, p.subroot, p.place, p.level + 1, p.i // 3, sha256(s.l || p.folded || s.r), p.siblings || s.l || s.r
+  FROM high p JOIN top_sides s ON s.level = p.level AND s.i = p.i WHERE s.n > 1)
+SELECT h.doc_id, h.leaf, h.subroot, t.digest AS root, sha256(h.siblings) AS proof_sha256, h.folded AS folded_root, h.folded = t.digest AS verified
+FROM (SELECT * FROM high QUALIFY row_number() OVER (PARTITION BY source, place ORDER BY level DESC) = 1) h JOIN top_sides t ON t.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_top_k": OP1_SQL,
         "op5_minhash_near_dedup": OP5_SQL,
         "op9_merkle_fixity": OP9_SQL,
         "op10_embedding_near_dedup": OP10_SQL,
+        "op11_merkle_manifest": OP11_SQL,
     }
