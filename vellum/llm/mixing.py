@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import word_count, written
+from vellum.llm.tables import columns_of, hashable, word_count, written
 
 #: Documents that one block settles in one task.
 BLOCK = 256
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: fl
 
 def row_hash(docs: DataFrame) -> Column:
     """A hash of all columns of a row, nulls told from missing values of other columns."""
-    return F.xxhash64(*(F.col(c) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns))
+    return F.xxhash64(*hashable(docs), *(c.isNull() for c in columns_of(docs)))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_DIR = "/tmp/vellum-shared"
@@ -55,6 +56,26 @@ def unused_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def column(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, as JSON those that hold maps, which have no hash."""
+
+    def has_map(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(has_map(c.dataType) for c in kind)
+        return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and has_map(kind.elementType)
+
+    return [F.to_json(F.struct(column(c.name).alias("c"))) if has_map(c.dataType) else column(c.name) for c in df.schema]
+
+
 def word_count(text):
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text column; null counts as 0."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
