@@ -65,7 +65,7 @@ def read_records(files: DataFrame) -> DataFrame:
 def archive_records(pages: DataFrame) -> DataFrame:
     """``archive, place, page_id, offset, length, digest`` of pages as :func:`warc_record` records.
 
-    A record's archive and place are page_id div and mod PLACES, so they don't move when another
+    A record's archive and place are page_id div and mod PLACES (towards smaller numbers), so they don't move when another
     record is lost. Offsets count the bytes of the records before it. Rows that repeat a page_id
     share a place; such a place has one digest of their number and of the sums of the quarters of
     their digests, which is the same in any order. Rows without a page_id are in no archive.
@@ -76,7 +76,7 @@ def archive_records(pages: DataFrame) -> DataFrame:
     single = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("digest").alias("digest"), F.sum("length").alias("length"), *quarters)
     digest = F.when(F.col("n") == 1, F.col("digest")).otherwise(F.sha2(F.concat_ws(":", "n", "q0", "q1", "q2", "q3").cast("binary"), 256))
     placed = single.select(
-        F.floor(F.col("page_id") / PLACES).alias("archive"), F.pmod("page_id", F.lit(PLACES)).cast("int").alias("place"), "page_id", "length", digest.alias("digest")
+        F.call_function("div", F.col("page_id") - F.pmod("page_id", F.lit(PLACES)), F.lit(PLACES)).alias("archive"), F.pmod("page_id", F.lit(PLACES)).cast("int").alias("place"), "page_id", "length", digest.alias("digest")
     )
     before = Window.partitionBy("archive").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # at most PLACES rows
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
