@@ -106,10 +106,10 @@ def _search(k: int):
             ids = np.frombuffer(row["ids"], np.int64)
             x = np.frombuffer(row["x"], np.int64).reshape(len(ids), -1)
             index = ImpactIndex(ids, x, np.frombuffer(row["postings"], np.int32).reshape(x.shape[1], -1))
-            for q, v in zip(queries["query_id"].to_numpy(), _matrix(queries["x"]), strict=True):
+            for q, key, v in zip(queries["query_id"].to_numpy(), queries["query"].to_numpy(), _matrix(queries["x"]), strict=True):
                 ids, scores = index.search(v, q, k)
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                out.append(pd.DataFrame({"query_id": q, "query": key, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
 
@@ -129,18 +129,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ``vectors`` and ``queries`` have ``vec_id long, x array<long>``. A query is compared with every
     vector of its length but those with its own id; ties go to the smaller vec_id; all come back
     where there are fewer than k. Returns ``query_id, rank, vec_id, score``. Rows that repeat an id
-    are separate vectors, each in its own right. Empty inputs give no rows. Scores must fit 64 bits.
+    are separate vectors, each in its own right; queries that share an id but not the vector are ranked
+    apart, equal ones count once. Empty inputs give no rows. Scores must fit 64 bits.
     """
     vectors = written(vectors.withColumn("dim", F.size("x")), "vectors")
-    queries = written(queries.select(F.col("vec_id").alias("query_id"), "x", F.size("x").alias("dim")).distinct(), "queries")
+    queries = written(queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("query"), "x", F.size("x").alias("dim")).distinct(), "queries")
     shards, slices = max(LEAST_SHARDS, -(-vectors.count() // SHARD_ROWS)), max(1, -(-queries.count() // SLICE_ROWS))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     shard = F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int").alias("shard")
     indexes = vectors.select("dim", shard, "vec_id", "x").groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, ids binary, x binary, postings binary")
     indexes = written(indexes, "indexes").withColumn("slice", upto(slices))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("slice")
-    asked = queries.select("dim", "query_id", "x", part, upto(shards).alias("shard"))
+    part = F.pmod(F.xxhash64("query_id", "query"), F.lit(slices)).cast("int").alias("slice")
+    asked = queries.select("dim", "query_id", "query", "x", part, upto(shards).alias("shard"))
     key = ["dim", "shard", "slice"]
-    found = indexes.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = indexes.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_search(k), "query_id long, query long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
