@@ -159,6 +159,7 @@ class Graph:
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(axis=1, initial=0.0)[:, None]  # squares of any finite components neither overflow nor vanish
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
