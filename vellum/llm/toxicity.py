@@ -155,7 +155,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, features: int =
     rows; the weights of at most ``features`` features, ties to the smaller hash, are fitted on at
     most ``train_rows`` of them. Returns ``doc_id, held_out, score, predicted`` for every row. Null
     and empty texts get the score of no features. Rows without a doc_id have no label and aren't held
-    out. Labels other than 0 and 1 are ignored; a doc with several labels trains with each. Without
+    out. Labels other than 0 and 1 are ignored; a doc with several labels trains with each, a label without a document with none. Without
     labels of both kinds all scores are alike.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
@@ -164,11 +164,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, features: int =
     marked = written(marked, "labels")
     train = lambda ids: likely_ids(source.where("not held_out"), ids, "doc_id").join(marked, "doc_id").select("doc_id", "text", "label")
     counts = feature_counts(train(marked))
-    rows = marked.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0)
+    rows = written(source.where("not held_out").select("doc_id").join(marked, "doc_id"), "rows")  # labels without a document say nothing
     total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     best = log_ratios(counts, total).orderBy(F.desc("z"), "feature").limit(features).select("feature", "ratio").toPandas().sort_values("feature")
     chosen, scale = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy()
-    sample = written(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "sample")
+    sample = written(rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "sample")
     chosen_rows = train(sample).join(sample.select("doc_id").distinct(), "doc_id", "left_semi")
     found = chosen_rows.select("text", "label").mapInArrow(_present(chosen), "label int, found array<int>")
     model = found.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_fit(scale), "place int, weight double").toPandas().sort_values("place")
