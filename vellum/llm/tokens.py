@@ -3,13 +3,13 @@
 A document's pre-tokens are its white-space separated words. A worker keeps a trie of the distinct
 pre-tokens it met, in all its batches: a prefix that pre-tokens share is a node and is scored once,
 and a terminal node stores its number of tokens. The memory of a worker is bounded: a trie that has
-grown past its limit is begun anew. Nothing is shuffled, whatever words are frequent.
+grown past its limit is begun anew, and of very long words only the first DEEPEST characters are nodes. Nothing is shuffled, whatever words are frequent.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens and nodes that a worker keeps before it starts anew, and bytes of text that it splits at once.
 CACHE_WORDS, TRIE_NODES, SLICE_BYTES = 1_000_000, 1_000_000, 1 << 21
+#: Characters of a word that are nodes of the trie; what follows is scored without.
+DEEPEST = 256
 #: Score of a byte of a character that no piece covers.
 BYTE_SCORE = -25.0
 WORD_START = "▁"
@@ -45,6 +47,7 @@ class UnigramTrie:
         for piece in pieces:
             ends.setdefault(piece[-1], set()).add(len(piece))
         self.ends = {c: sorted(n) for c, n in ends.items()}  # lengths of the pieces that end in a character
+        self.longest = max(map(len, pieces), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -62,29 +65,43 @@ class UnigramTrie:
         Of segmentations of equal score the one whose last piece is longest counts.
         """
         node, path = 0, [0]
-        for i, end in enumerate(word, 1):
+        for i, end in enumerate(word[:DEEPEST], 1):
             edge = node << 21 | ord(end)
             child = self.edges.get(edge)
             if child is None:
                 child = self.edges[edge] = self._grow(word, i, end, path)
             path.append(child)
             node = child
-        return self.count[node]
+        return self.count[node] if len(word) <= DEEPEST else self._go_on(word, path)
+
+    def _go_on(self, word: str, path: list[int]) -> int:
+        """Tokens of a word longer than the trie is deep, from the scores of the places that a piece can reach back to."""
+        ring = self.longest + 1
+        score, count = [0.0] * ring, [0] * ring
+        for i in range(max(0, DEEPEST - self.longest), DEEPEST + 1):
+            score[i % ring], count[i % ring] = self.score[path[i]], self.count[path[i]]
+        for i in range(DEEPEST + 1, len(word) + 1):
+            score[i % ring], count[i % ring] = self._best(word, i, word[i - 1], lambda j: score[j % ring], lambda j: count[j % ring])
+        return count[len(word) % ring]
 
     def _grow(self, word: str, i: int, end: str, path: list[int]) -> int:
         """A node for the first i characters of a word, scored from those of its path."""
-        score, count = self.score, self.count
+        best, tokens = self._best(word, i, end, lambda j: self.score[path[j]], lambda j: self.count[path[j]])
+        self.score.append(best)
+        self.count.append(tokens)
+        return len(self.score) - 1
+
+    def _best(self, word: str, i: int, end: str, score: Callable[[int], float], count: Callable[[int], int]) -> tuple[float, int]:
+        """Score and tokens of the first i characters, the last of which is ``end``, from those of shorter prefixes."""
         size = len(end.encode("utf-8", "replace"))
-        best, tokens = score[path[-1]] + BYTE_SCORE * size, count[path[-1]] + size
+        best, tokens = score(i - 1) + BYTE_SCORE * size, count(i - 1) + size
         for n in self.ends.get(end, ()):
             if n > i:
                 break
             own = self.pieces.get(word[i - n : i])
-            if own is not None and (own := own + score[path[i - n]]) >= best:
-                best, tokens = own, count[path[i - n]] + 1
-        score.append(best)
-        count.append(tokens)
-        return len(score) - 1
+            if own is not None and (own := own + score(i - n)) >= best:
+                best, tokens = own, count(i - n) + 1
+        return best, tokens
 
 
 class Counter:
