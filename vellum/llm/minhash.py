@@ -3,7 +3,8 @@
 The job runs in these steps, each a distributed DataFrame step.
 
 1. Every document becomes a set of hashed word shingles, many universal hash minima of it, and
-   one key for each band of minima. Documents with equal sets form one class (exact copies).
+   one key for each band of minima. Documents with equal sets form one class (exact copies), known
+   by a digest of its set and numbered.
 2. Classes that share a band key are candidates. Each bucket links its members to its smallest
    member, a star, so a bucket of m members gives m - 1 candidate pairs.
 3. A pair passes when the signatures agree well enough, and then when the full sets do. Passing
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.components import connected_components
-from vellum.llm.tables import likely_ids, written
+from vellum.llm.tables import discard, likely_ids, written
 
 BANDS, ROWS = 25, 5
 #: Shingles of one side of a tile; a longer single document is a side of its own.
 TILE_SHINGLES = 200_000
+#: Bytes of sets that a batch passes on at once.
+BATCH_BYTES = 1 << 24
 #: Standard deviations by which a signature may fall short before its pair is dismissed.
 SLACK = 7
 
@@ -81,9 +84,9 @@ def _sketch(width: int):
             for text in _texts(batch, "text"):
                 s = shingle_set(text, width)
                 n.append(len(s))
-                h = xxhash.xxh3_128_intdigest(s.tobytes())
-                d1.append((h >> 64) - 2**63)
-                d2.append((h & (2**64 - 1)) - 2**63)
+                high, low = _halves(s)
+                d1.append(high)
+                d2.append(low)
                 bands.append(band_keys(signature(s)) if len(s) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
@@ -93,19 +96,34 @@ def _sketch(width: int):
     return run
 
 
+def _halves(shingles: np.ndarray) -> tuple[int, int]:
+    """A digest of a set, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, sigs = [], []
+            rows, size = [], 0
             for text in _texts(batch, "text"):
                 s = shingle_set(text, width)
-                sets.append(s.tobytes())
-                sigs.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "shingles", "sig"])
+                rows.append((*_halves(s), s.tobytes(), signature(s).tobytes()))
+                size += len(rows[-1][2])
+                if size > BATCH_BYTES:
+                    yield _rows(rows)
+                    rows, size = [], 0
+            yield _rows(rows)
 
     return run
 
 
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d1", "d2", "shingles", "sig"])
+
+
 def _linked(n_common: int, n_a: int, n_b: int, percent: int) -> bool:
     return 100 * n_common >= percent * (n_a + n_b - n_common)
 
@@ -177,13 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``; component_id is the
     smallest id reachable by links, kept says whether it is the row's own. Documents of fewer than
     ``width`` words count as one shingle; null, empty and blank texts have none and link nothing.
-    Rows that repeat an id are one node. A row without an id links nothing, has a null
+    Rows that repeat an id are one node, which has the links of all their texts. A row without an id links nothing, has a null
     component_id and is kept. Other columns of ``docs`` are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = written(source.mapInArrow(_sketch(width), "id long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     usable = sketches.where("n > 0 and id is not null")
-    classes = written(usable.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "classes")
+    classes = usable.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     members = classes.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where("centre < top")
@@ -191,9 +210,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = written(star, "star")
 
     candidates = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    candidates = written(candidates, "candidates")
-    texts = likely_ids(source, candidates).join(candidates, "id")
-    sets = written(texts.mapInArrow(_sets(width), "id long, shingles binary, sig binary").where("length(shingles) > 0").dropDuplicates(["id"]), "sets")
+    wanted = written(classes.select("id", "d1", "d2", "low").join(candidates, "id"), "candidates")
+    texts = likely_ids(source, wanted.select(F.col("low").alias("id")).distinct()).select("text")
+    made = texts.mapInArrow(_sets(width), "d1 long, d2 long, shingles binary, sig binary").where("length(shingles) > 0")
+    sets = written(made.join(wanted.select("id", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["id"]).select("id", "shingles", "sig"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"), F.col("sig").alias("sig_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"), F.col("sig").alias("sig_b"))
     links = written(star.join(left, "a").join(right, "b").mapInArrow(_check(percent), "a long, b long"), "links")
@@ -203,12 +223,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = families.withColumnRenamed("component", "family").join(labels.withColumnRenamed("component", "label"), "node", "left")
     placed = written(placed.select(F.col("node").alias("id"), "family", F.coalesce("label", "node").alias("label")), "placed")
     more = _links_in_tiles(placed, sets, percent)
-
-    copies = usable.join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"]).where("id <> rep")
-    edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(copies.select("id", "rep"))
-    out = sketches.select("id", "n").join(connected_components(edges).withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(
+    joined = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("node", "id")
+
+    known = classes.select("id", "d1", "d2", "low").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = known.groupBy("component").agg(F.min("low").alias("first"))
+    known = written(known.join(first, "component").select("d1", "d2", "first"), "known")
+    found = sketches.where("n > 0 and id is not null").select("id", "n", "d1", "d2").join(known, ["d1", "d2"]).select("id", "n", "first")
+    found = written(found.unionByName(sketches.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("first"))), "found")
+    # an id whose rows are in several components joins them
+    spans = found.where("id is not null").groupBy("id").agg(F.min("first").alias("b"), F.max("first").alias("top")).where("b < top").select("id", "b")
+    bridges = written(found.join(spans, "id").select(F.col("first").alias("a"), "b"), "bridges")
+    component = F.col("first")
+    if not bridges.isEmpty():
+        found = found.join(connected_components(bridges), F.col("first") == F.col("node"), "left")
+        component = F.coalesce("component", "first")
+    for t in (classes, star, wanted, sets, links, placed):
+        discard(t)
+    return found.select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
