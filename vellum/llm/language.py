@@ -1,7 +1,9 @@
 """Language identification by Bayesian fusion of text, declared language, address and host.
 
 The text gives log-likelihoods under byte-trigram models, fitted on a bounded sample of the rows of
-each known language; every language that any row with text declares has a model. Every row's most likely language by text alone is then counted by host, by
+each declared language. Declarations that samples can't tell apart, such as misspelt ones, share a model: languages are taken by
+their number of rows, and one is new if the halves of its texts are likelier under each other
+than under any model so far. So the number of models is that of languages, however many labels there are. Every row's most likely language by text alone is then counted by host, by
 address suffix and over all rows; the counts make a prior for each host, smoothed towards that of
 its suffix, which is smoothed towards that of all rows. A declared language (a markup attribute or
 a column) counts as one more observation of known reliability. Whole texts are read.
@@ -17,12 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.tables import likely_ids, written
+from vellum.llm.tables import likely_ids, unused_names, written
 
 BITS = 16
 #: Training rows of a language at most, those with the smallest hashes. Up to 1000, partitions keep no
 #: more of a language before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 TRAIN_ROWS = 1_000
+#: Labels that are compared on the driver at once, and by how much the mean log-likelihood per trigram must
+#: be higher under a label's own model for it to be a language of its own.
+LABELS, DISTINCT = 48, 0.1
 #: Trigrams overlap: a text counts as if it had at most so many independent ones.
 MOST_EVIDENCE = 40.0
 #: Probability that a declared language is right; weight of the wider prior, in rows.
@@ -44,42 +49,136 @@ def _bytes(text: bytes | None) -> np.ndarray:
     return np.frombuffer(b" " + (text or b"").lower() + b" ", np.uint8)
 
 
+def declared_language(lang: Column) -> Column:
+    """The primary subtag of a declaration in lower case; null if blank."""
+    tag = F.lower(F.trim(F.regexp_extract(lang.cast("string"), r"^\s*([^-_]*)", 1)))
+    return F.when(tag != "", tag)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, np.ndarray] = {}
+    """Trigrams of each label's texts, apart for the first and the second half of each text."""
+    seen: dict[tuple, np.ndarray] = {}
+
+    def rows():
+        for (lang, half), have in seen.items():
+            at = np.flatnonzero(have)
+            columns = [pa.array([lang] * len(at), pa.string()), pa.array(np.full(len(at), half), pa.int32()), pa.array(at, pa.int64()), pa.array(have[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "half", "feature", "n"])
+        seen.clear()
+
     for batch in batches:
         for text, lang in zip(batch.column("text").cast(pa.large_binary()), batch.column("lang").to_pylist(), strict=True):
-            have = seen.setdefault(lang, np.zeros(1 << BITS, np.int64))
-            have += np.bincount(_trigrams(_bytes(text.as_py())), minlength=1 << BITS)
-    for lang, have in seen.items():
-        at = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int64()), pa.array(have[at])], names=["lang", "feature", "n"])
+            raw = _bytes(text.as_py())
+            for half, part in enumerate(np.array_split(raw, 2)):
+                have = seen.setdefault((lang, half), np.zeros(1 << BITS, np.int64))
+                have += np.bincount(_trigrams(part), minlength=1 << BITS)
+            if len(seen) > 2 * LABELS:
+                yield from rows()
+    yield from rows()
 
 
-class Model:
-    """Trigram log-probabilities by language, and each language's usual mean of them."""
+def _log(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts.sum(axis=-1, keepdims=True) + 0.5 * (1 << BITS)))
+
 
-    def __init__(self, languages: list[str], table: np.ndarray):
-        self.languages = languages
-        p = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS))
-        self.log = np.log(p).astype(np.float32)  # languages x features
-        share = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
+class Model:
+    """Trigram log-probabilities by language, and each language's usual mean of them; ``labels`` has
+    ``label, declared``: the place of the language that a declaration stands for, by default its own name's."""
+
+    def __init__(self, languages: list[str], table: np.ndarray, labels: DataFrame | None = None):
+        order = np.argsort(languages)
+        self.languages, self.labels = [languages[i] for i in order], labels
+        self.log = _log(table[order]).astype(np.float32)  # languages x features
+        share = table[order] / np.maximum(table[order].sum(axis=1, keepdims=True), 1)
         self.usual = (share * self.log).sum(axis=1)
 
 
+def gains(own: np.ndarray, tables: list[np.ndarray]) -> list[float]:
+    """By how much the halves of a sample are likelier under each other than under each table of counts.
+
+    Of a sample of the same language as a table the gain is negative or about 0, however few texts it
+    has; of four languages' samples, even of one text, it was 0.8 or more under another's table.
+    ``own`` has the counts of both halves; the result is a mean log-likelihood per trigram. A half
+    without trigrams tells nothing: no gain.
+    """
+    if not own.sum(axis=1).all():
+        return [0.0] * len(tables)
+    logs = _log(own)
+    mine = [(own[1 - k] * logs[k]).sum() for k in (0, 1)]
+    return [float(sum(mine) - (own * _log(t)).sum()) / float(own.sum()) for t in tables]
+
+
 def train(rows: DataFrame) -> Model:
-    """Fit on ``id, text, lang``; the sample holds TRAIN_ROWS rows of each language at most."""
-    known = rows.where("trim(lang) <> '' and trim(text) <> ''").select(F.lower(F.trim("lang")).alias("lang"), "text", F.xxhash64("id", "text").alias("at"))
+    """Fit on ``id, text, lang``; the sample holds TRAIN_ROWS rows of each declared language at most.
+
+    Labels are taken LABELS at a time, those of the most rows first. The driver holds the counts of so
+    many labels and of the languages found; all other labels are compared with these languages by a
+    grouped aggregation, and those that are unlike all go on to the next turn.
+    """
+    known = rows.select(declared_language(F.col("lang")).alias("lang"), "text", F.xxhash64("id", "text").alias("at")).where("lang is not null and trim(text) <> ''")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
     sample = written(known.select("lang", "at").withColumn("nth", nth).where(F.col("nth") <= TRAIN_ROWS).select("lang", "at").distinct(), "sample")
     texts = likely_ids(known, sample, "at").join(sample, ["lang", "at"]).dropDuplicates(["lang", "at"]).select("text", "lang")
-    found = texts.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique()) or ["und"]
-    table = np.zeros((len(languages), 1 << BITS))
-    table[np.searchsorted(languages, found["lang"]), found["feature"].to_numpy(np.int64)] = found["n"]
-    return Model(languages, table)
+    found = texts.mapInArrow(_counts, "lang string, half int, feature long, n long").groupBy("lang", "half", "feature").agg(F.sum("n").alias("n"))
+    counts = written(found, "trigrams")
+    left = written(known.groupBy("lang").agg(F.count("*").alias("rows")), "labels")
+    languages, tables, labels = [], [], None
+    while True:
+        some = [r["lang"] for r in left.orderBy(F.desc("rows"), "lang").limit(LABELS).collect()]
+        if not some:
+            break
+        turn = counts.where(F.col("lang").isin(some)).toPandas()  # LABELS labels of 2 ** BITS features
+        own = np.zeros((len(some), 2, 1 << BITS))
+        own[turn["lang"].map({x: i for i, x in enumerate(some)}), turn["half"].to_numpy(int), turn["feature"].to_numpy(int)] = turn["n"]
+        placed = []
+        for label, both in zip(some, own, strict=True):
+            gain = gains(both, tables)
+            if not gain or min(gain) > DISTINCT:
+                placed.append((label, label))
+                languages.append(label)
+                tables.append(both.sum(axis=0))
+            else:
+                placed.append((label, languages[int(np.argmin(gain))]))
+        spark = rows.sparkSession
+        named = spark.createDataFrame(placed, "label string, language string")
+        left = left.join(F.broadcast(named.select(F.col("label").alias("lang"))), "lang", "left_anti")
+        alike = written(_alike(counts, left, languages, tables), "alike")
+        labels = named if labels is None else labels.unionByName(named)
+        labels = labels.unionByName(alike)
+        left = written(left.join(alike.select(F.col("label").alias("lang")), "lang", "left_anti"), "labels")
+    if not languages:
+        return Model(["und"], np.zeros((1, 1 << BITS)))
+    at = F.array_position(F.array(*map(F.lit, sorted(languages))), F.col("language")).cast("int") - 1
+    return Model(languages, np.array(tables), written(labels.select("label", at.alias("declared")), "labels"))
+
+
+def _alike(counts: DataFrame, left: DataFrame, languages: list[str], tables: list[np.ndarray]) -> DataFrame:
+    """``label, language``: those of the labels left that :func:`gains` places with a language."""
+    rows = counts.join(left.select("lang"), "lang").groupBy("lang", "feature").agg(*(F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+    size = float(1 << BITS)
+    totals = rows.groupBy("lang").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
+    logs = _log(np.array(tables)).T
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sum(batch.column(c).to_numpy().astype(float) for c in ("n0", "n1"))
+            sums = logs[batch.column("feature").to_numpy()] * n[:, None]
+            label = batch.column("lang").to_pandas()
+            for lang, at in label.groupby(label).indices.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(languages), pa.string()), pa.array(range(len(languages)), pa.int32()), pa.array(sums[at].sum(axis=0))], names=["lang", "i", "s"])
+
+    under = rows.mapInArrow(likely, "lang string, i int, s double").groupBy("lang", "i").agg(F.sum("s").alias("s"))
+    best = under.groupBy("lang").agg(F.max(F.struct("s", (-F.col("i")).alias("i"))).alias("best"))
+    log = lambda n, t: F.log((F.col(n) + 0.5) / (F.col(t) + 0.5 * size))
+    mine = rows.join(totals, "lang").groupBy("lang", "t0", "t1").agg(F.sum(F.col("n1") * log("n0", "t0") + F.col("n0") * log("n1", "t1")).alias("mine"))
+    gain = F.when((F.col("t0") > 0) & (F.col("t1") > 0), (F.col("mine") - F.col("best.s")) / (F.col("t0") + F.col("t1"))).otherwise(0.0)
+    language = F.element_at(F.array(*map(F.lit, languages)), 1 - F.col("best.i"))
+    return mine.join(best, "lang").where(gain <= DISTINCT).select(F.col("lang").alias("label"), language.alias("language"))
 
 
 def _likelihoods(model: Model):
+    tables = model.log  # not the labels, which are a DataFrame
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, sums = [], []
@@ -87,7 +186,7 @@ def _likelihoods(model: Model):
                 codes = _trigrams(_bytes(text.as_py()))
                 blank = text.as_py() is None or not text.as_py().strip()
                 sizes.append(0 if blank else len(codes))
-                sums.append([0.0] * len(model.languages) if blank else [float(t[codes].sum()) for t in model.log])
+                sums.append([0.0] * len(tables) if blank else [float(t[codes].sum()) for t in tables])
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=[*names, "n", "sums"]
@@ -119,18 +218,23 @@ def identify(rows: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     language. Null, empty and blank texts have no evidence of their own: their language is that of
     the declaration and the prior, and they aren't accepted. Unknown or missing declarations, hosts
     and suffixes leave the next wider prior. Ties go to the first language in code-point order.
-    Rows may repeat; each gets a result.
+    Rows may repeat; each gets a result. A declaration counts by its part before the first - or _.
     """
     keep, size = keep or [], len(model.languages)
-    declared = F.array_position(F.array(*map(F.lit, model.languages)), F.lower(F.substring_index(F.trim("lang"), "-", 1))).cast("int") - 1
-    source = rows.select("id", *keep, F.when(declared >= 0, declared).alias("declared"), "host", "suffix", F.col("text").cast("string").alias("text"))
+    (label,) = unused_names(rows, "label")
+    source = rows.select("id", *keep, declared_language(F.col("lang")).alias(label), "host", "suffix", F.col("text").cast("string").alias("text"))
     schema = T.StructType([c for c in source.schema if c.name != "text"]).add("n", "long").add("sums", T.ArrayType(T.DoubleType()))
     scored = written(source.mapInArrow(_likelihoods(model), schema).withColumn("vote", F.when(F.col("n") > 0, _best(F.col("sums")))), "likelihoods")
+    labels = model.labels
+    if labels is None:
+        labels = rows.sparkSession.createDataFrame(list(zip(model.languages, range(size), strict=True)), "label string, declared int")
+    told = labels.select(F.col("label").alias("told"), "declared")
+    spread = F.coalesce(F.col(label), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("id", "n", "sums"), F.lit(1 << 20)).cast("string")))
 
     every = scored.agg(*(F.count_if(F.col("vote") == i).alias(f"n{i}") for i in range(size))).first()
     total = sum(every) + size
     wide = F.array(*(F.lit((n + 1) / total) for n in every))
-    joined = scored
+    joined = scored.join(told, spread == F.col("told"), "left")
     for key in ("suffix", "host"):  # rows without a key are spread, and match nothing
         votes = _votes(scored, key, size).withColumnRenamed(key, "at")
         place = F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("id", "n", "sums"), F.lit(1 << 20)).cast("string")))
