@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import language, lines, minhash, mixing, packing
-from vellum.llm.tables import table, unused_names, written
+from vellum.llm.tables import columns_of, table, unused_names, written
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null, empty and blank texts have no language and go, and so does text unlike its language.
     """
     (whole,) = unused_names(docs, "whole")
-    rows = language.document_rows(docs.withColumn(whole, F.struct(*docs.columns)), [whole])
+    rows = language.document_rows(docs.withColumn(whole, F.struct(*columns_of(docs))), [whole])
     found = language.identify(rows, language.train(rows), [whole])
-    return found.where("accepted").select(*(F.col("language" if c == "lang" else f"{whole}.`{c}`").alias(c) for c in docs.columns))
+    return found.where("accepted").select(*(F.col("language").alias(c) if c == "lang" else F.col(whole).getField(c).alias(c) for c in docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
     ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").isNull().alias("no_id"), "doc_id").distinct()
     first = groups.join(ids, "key").groupBy("component_id").agg(F.min(F.struct("no_id", "doc_id", "key")).alias("first"))
-    kept = keyed.join(first.select(F.col("first.key").alias(key)), key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    kept = keyed.join(first.select(F.col("first.key").alias(key)), key, "left_semi").dropDuplicates([key]).select(columns_of(docs))
     return kept.unionByName(docs.where(F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
 
 
@@ -59,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mixed_rows(docs).groupBy("row").agg(F.sum("copies").alias("copies")).where("copies > 0")
     taken = taken.select(F.col("row").alias(row), F.col("copies").alias(copies))
     rows = docs.withColumn(row, mixing.row_hash(docs)).dropDuplicates([row]).join(taken, row)
-    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)
+    return rows.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(columns_of(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
