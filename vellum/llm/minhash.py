@@ -182,9 +182,9 @@ def _tile(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         minor, every = pdf[pdf["minor"]], pdf[~pdf["minor"]]
         sets = [[np.frombuffer(x, np.uint64) for x in part["shingles"]] for part in (minor, every)]
-        found = spanning_links(*sets, minor["label"].tolist(), every["label"].tolist(), percent)
-        ids = minor["id"].to_numpy(), every["id"].to_numpy()
-        return pd.DataFrame({"a": [ids[0][i] for i, _ in found], "b": [ids[1][j] for _, j in found]}, dtype="int64")
+        labels = minor["label"].tolist(), every["label"].tolist()
+        found = spanning_links(*sets, *labels, percent)
+        return pd.DataFrame({"a": [labels[0][i] for i, _ in found], "b": [labels[1][j] for _, j in found]}, dtype="int64")
 
     return run
 
@@ -222,8 +222,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = connected_components(star)
     placed = families.withColumnRenamed("component", "family").join(labels.withColumnRenamed("component", "label"), "node", "left")
     placed = written(placed.select(F.col("node").alias("id"), "family", F.coalesce("label", "node").alias("label")), "placed")
-    more = _links_in_tiles(placed, sets, percent)
-    joined = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("node", "id")
+    more = written(_links_in_tiles(placed, sets, percent), "more")
+    joined = labels.select(F.col("node").alias("id"), "component")
+    if not more.isEmpty():  # links between components of the stars' links
+        wider = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        placed_all = placed.select("id", F.col("label").alias("component")).join(wider, "component", "left")
+        joined = placed_all.select("id", F.coalesce("wider", "component").alias("component"))
 
     known = classes.select("id", "d1", "d2", "low").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = known.groupBy("component").agg(F.min("low").alias("first"))
@@ -248,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _links_in_tiles(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that the stars missed: families of several components, in tiles of bounded size."""
+    """Pairs of labels that links join which the stars missed: families of several components, in tiles of bounded size."""
     sized = placed.join(sets.select("id", (F.length("shingles") / 8).cast("long").alias("n")), "id")
     parts = sized.groupBy("family", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     whole = parts.groupBy("family").agg(
