@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 from vellum.llm.tables import discard, written
 
 #: Bytes of text that a worker aligns at once; links expanded at once; segments and tokens that it keeps.
-SLICE_BYTES, LINKS, KEPT_SEGMENTS, KEPT_TOKENS = 1 << 21, 1 << 22, 500_000, 1 << 24
+SLICE_BYTES, LINKS, KEPT_SEGMENTS, KEPT_TOKENS = 1 << 21, 1 << 22, 300_000, 1 << 22
 #: Distinct pairs that a task holds before it passes them on; salts of a pair; commonest pairs looked up in memory.
 HELD_PAIRS, SALTS, HEAD = 1 << 20, 16, 1 << 18
 
 #: The characters that regular expressions of the first tokenizer take as white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_SEGMENT = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: Letters and the marks behind them where a segment may end.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ",.!?;:"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,10 +50,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, with the ids of each distinct segment, a run of white space and a word.
+    """Both tokenizers, with the ids of each distinct segment: white space and a word, or the marks behind one.
 
-    Neither tokenizer joins tokens over the start of such a run (the pieces are searched for those
-    that would; texts with characters that occur in them are one segment), so a text's ids are its
+    Neither tokenizer joins tokens over the ends of segments (the pieces are searched for those
+    that would; texts with white space that occurs in them are one segment, marks that do end none), so a text's ids are its
     segments' ids in turn.
     """
 
@@ -71,7 +72,12 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in y], np.int64) for y in (self.bytes_a, self.bytes_b))
-        self.space = self.b.piece_to_id("▁")
+        self.space, self.letter = self.b.piece_to_id("▁"), self.b.piece_to_id("▁x")
+        marks = re.escape("".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in pieces)))
+        short = f"[^{SPACES}{marks}]*[{LETTERS}](?=[{marks}])|" if marks else ""
+        self.segment = re.compile(f"[{SPACES}]*(?:{short}[^{SPACES}]+)|[{SPACES}]+")
+        largest = max(len(self.bytes_a), len(self.bytes_b))
+        self.numbers = [f"{i}{end}" for i in range(largest) for end in ",|;\n"]  # an id and what stands behind it
         joined = [p for p in pieces if len(p) > 1 and re.search(f"[{SPACES}]", p) or re.search("[^▁]▁", p)]
         self.whole = re.compile(f"[{re.escape(''.join({c for p in joined for c in p if c.isspace()}))}]") if joined else None
         if any(re.search("[^▁]▁", p) for p in joined):
@@ -80,65 +86,87 @@ class Pair:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.ids = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.ids: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+        self.many: list[list] = [[], []]
         self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
         self.good = np.empty(0, bool)
         self.written: list[str] = []
 
     def _encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids as inside a text that starts with a space, which the second tokenizer adds itself."""
+        """Ids as inside a text, behind a space, which the second tokenizer adds itself, or another word."""
         a = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        b = self.b.encode([s[1:] if s[0] == " " else "x" + s for s in segments], num_threads=1)
         for i, s in enumerate(segments):
             if s == " ":
                 b[i] = [self.space]
             elif s[0] != " ":
-                b[i] = b[i][1:] if b[i][:1] == [self.space] else []  # [] can't give the segment's bytes
+                b[i] = b[i][1:] if b[i][:1] == [self.letter] else []  # [] can't give the segment's bytes
         return a, b
 
     def learn(self, segments: list[str]) -> None:
+        base = len(self.good)
         good = []
-        many: list = [[], []]
         for lo in range(0, len(segments), 4096):
             part = segments[lo : lo + 4096]
-            ids = self._encode(part)
-            for s, a, b in zip(part, *ids, strict=True):
-                raw = s.encode()
-                good.append(b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw)
-            for k in (0, 1):
-                many[k].append(np.fromiter(map(len, ids[k]), np.int64, len(part)))
-                flat = np.fromiter(chain.from_iterable(ids[k]), np.int64, many[k][-1].sum())
-                self.ids[k] = np.concatenate([self.ids[k], flat])
-        base = len(self.good)
+            ids, raw = self._encode(part), [s.encode() for s in part]
+            sizes, right = np.fromiter(map(len, raw), np.int64, len(part)), np.ones(len(part), bool)
+            for k, known in enumerate((self.bytes_a, self.bytes_b)):
+                many = np.fromiter(map(len, ids[k]), np.int64, len(part))
+                listed = list(chain.from_iterable(ids[k]))
+                flat = np.array(listed, np.int64)
+                self.ids[k].append(flat)
+                self.many[k].append(many)
+                parts = list(map(known.__getitem__, listed))
+                ends = np.cumsum(many)
+                own = np.diff(np.concatenate(([0], np.cumsum((self.size_a, self.size_b)[k][flat])))[ends], prepend=0)
+                if (own != sizes).any() or b"".join(parts) != b"".join(raw):
+                    right &= [b"".join(parts[hi - n : hi]) == r for n, hi, r in zip(many.tolist(), ends.tolist(), raw, strict=True)]
+            good.append(right)
         self.at.update(zip(segments, range(base, base + len(segments)), strict=True))
+        self.good = np.concatenate([self.good, *good])
         for k in (0, 1):
-            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(np.concatenate(many[k]))])
-        self.good = np.concatenate([self.good, good]).astype(bool)
+            self.ids[k] = [np.concatenate(self.ids[k])]
+            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum(np.concatenate(self.many[k]))])
+            self.many[k] = []
         new = base + np.flatnonzero(self.good[base:])
-        a, b = self.tokens(new, 0), self.tokens(new, 1)
-        label_a, label_b, cuts = groups(self.size_a[a], self.size_b[b])
-        ends = np.cumsum([len(segments[i - base].encode()) for i in new.tolist()])
         self.written += [""] * len(segments)
         if len(new):
-            named = ["|".join(x) for x in zip(_joined(a, label_a, len(cuts)), _joined(b, label_b, len(cuts)), strict=True)]
-            lo = 0
-            for i, hi in zip(new.tolist(), (np.searchsorted(cuts, ends) + 1).tolist(), strict=True):
-                self.written[i] = ";".join(named[lo:hi])
-                lo = hi
+            for i, text in zip(new.tolist(), self._write(new), strict=True):
+                self.written[i] = text
+
+    def _write(self, segments: np.ndarray) -> list[str]:
+        """The groups of each segment in writing: a group's first ids, its second ones, the next group's."""
+        a, b = self.tokens(segments, 0), self.tokens(segments, 1)
+        label_a, label_b, cuts = groups(self.size_a[a], self.size_b[b])
+        ends = self._ends(segments)
+        label, side = np.concatenate([label_a, label_b]), np.repeat([0, 1], [len(a), len(b)])
+        order = np.argsort(2 * label + side, kind="stable")
+        ids, label, side = np.concatenate([a, b])[order], label[order], side[order]
+        last = np.append(label[1:] != label[:-1], True)  # of its group
+        behind = np.zeros(len(ids), np.int64)
+        behind[:-1][(side[1:] == 1) & (side[:-1] == 0)] = 1
+        behind[last] = 2
+        behind[last & np.isin(cuts[label], ends)] = 3
+        return "".join(map(self.numbers.__getitem__, (4 * ids + behind).tolist())).split("\n")[:-1]
+
+    def _ends(self, segments: np.ndarray) -> np.ndarray:
+        """Where the bytes of segments in turn end."""
+        many = self.starts[0][segments + 1] - self.starts[0][segments]
+        return np.cumsum(self.size_a[self.tokens(segments, 0)])[np.cumsum(many) - 1]
 
     def tokens(self, segments: np.ndarray, k: int) -> np.ndarray:
         """Ids of tokenizer k of learnt segments in turn."""
         many = self.starts[k][segments + 1] - self.starts[k][segments]
         upto = np.cumsum(many)
-        return self.ids[k][np.repeat(self.starts[k][segments] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
+        return self.ids[k][0][np.repeat(self.starts[k][segments] - upto + many, many) + np.arange(upto[-1] if len(upto) else 0)]
 
     def segments(self, text: str) -> list[str]:
-        return [text] if self.whole and self.whole.search(text) else _SEGMENT.findall(text)
+        return [text] if self.whole and self.whole.search(text) else self.segment.findall(text)
 
     def align(self, texts: list[bytes]) -> tuple[np.ndarray, list[str], tuple]:
         """Per text ``n_a, n_b, n_groups, n_links`` and the groups in writing; and the distinct
         linked pairs of all texts: text, a, b, how often."""
-        if len(self.at) > KEPT_SEGMENTS or len(self.ids[0]) > KEPT_TOKENS:
+        if len(self.at) > KEPT_SEGMENTS or len(self.ids[0][0]) > KEPT_TOKENS:
             self.clear()
         split = []
         for t in texts:
@@ -209,15 +237,6 @@ def groups(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), cuts
 
 
-def _joined(ids: np.ndarray, label: np.ndarray, n: int) -> Iterator[str]:
-    named = list(map(str, ids.tolist()))
-    ends = np.cumsum(np.bincount(label, minlength=n)).tolist()
-    lo = 0
-    for hi in ends:
-        yield ",".join(named[lo:hi])
-        lo = hi
-
-
 _pairs: dict[tuple[str, str], Pair] = {}  # of this worker, by paths
 _ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<long>"
 
