@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import names as N
+from vellum.operators.boxes import min_area_rects
 from vellum.sources import tables as T
 from vellum.streaming import stabilizer as S
 
@@ -36,7 +37,7 @@ def test_min_area_rect(spark):
     points = [(100 + 80 * math.cos(a) * (1 + 0.3 * (i % 2)), 200 + 30 * math.sin(a)) for i, a in enumerate(x * 0.7 for x in range(9))]
     turned = [(x * math.cos(0.5) - y * math.sin(0.5) + 300, x * math.sin(0.5) + y * math.cos(0.5)) for x, y in points]
     rows = spark.createDataFrame([([dict(x=x, y=y) for x, y in turned],), ([dict(x=1.0, y=1.0)] * 2,)], "p array<struct<x:double,y:double>>")
-    got, none = (r.r for r in rows.select(G.min_area_rect(F.col("p")).alias("r")).collect())
+    (got,) = min_area_rects(rows.withColumn("id", F.monotonically_increasing_id()), ["id"], F.col("p")).collect()  # none for two points
     best = None
     for d in range(90):
         c, s = math.cos(math.radians(d)), math.sin(math.radians(d))
@@ -44,7 +45,7 @@ def test_min_area_rect(spark):
         area = (max(xs) - min(xs)) * (max(ys) - min(ys))
         if best is None or area < best[0]:
             best = area, d, [(x * c + y * s, y * c - x * s) for x, y in ((min(xs), min(ys)), (max(xs), min(ys)), (max(xs), max(ys)), (min(xs), max(ys)))]
-    assert none is None and got.degree == best[1] and abs(got.area - best[0]) < 1e-6
+    assert got.degree == best[1] and abs(got.area - best[0]) < 1e-6
     assert all(abs(p.x - x) < 1e-6 and abs(p.y - y) < 1e-6 for p, (x, y) in zip(got.corners, best[2], strict=True))
 
 

@@ -158,32 +158,6 @@ def letterbox(image_w: Column, image_h: Column, box_w: Column, box_h: Column) ->
     return F.struct(w.alias("width"), h.alias("height"), ((box_w - w) / 2).alias("left"), ((box_h - h) / 2).alias("top"))
 
 
-def min_area_rect(points: Column, width: float | None = None, height: float | None = None) -> Column:
-    """Corners of the least-area box about an array of points, over the whole degrees from 0 to 89.
-
-    The first of equal degrees counts; corners are clipped to a width x height image where there is
-    one. Fewer than three points give null. A row's points are turned within the row.
-    """
-    turns = F.array(*(F.struct(F.lit(d).alias("degree"), F.lit(math.cos(math.radians(d))).alias("cos"), F.lit(math.sin(math.radians(d))).alias("sin")) for d in range(90)))
-
-    def box(t: Column) -> Column:
-        xs, ys = F.transform(points, lambda p: p["x"] * t["cos"] - p["y"] * t["sin"]), F.transform(points, lambda p: p["x"] * t["sin"] + p["y"] * t["cos"])
-        return let(F.struct(xs.alias("xs"), ys.alias("ys")), lambda r: let(
-            F.struct(F.array_min(r["xs"]).alias("x0"), F.array_max(r["xs"]).alias("x1"), F.array_min(r["ys"]).alias("y0"), F.array_max(r["ys"]).alias("y1")),
-            lambda e: F.struct(((e["x1"] - e["x0"]) * (e["y1"] - e["y0"])).alias("area"), t["degree"].alias("degree"), t["cos"].alias("cos"), t["sin"].alias("sin"), e.alias("e")),
-        ))
-
-    clip = lambda v, size: v if size is None else F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), v))
-
-    def corners_of(b: Column) -> Column:
-        back = lambda x, y: point(clip(x * b["cos"] + y * b["sin"], width), clip(y * b["cos"] - x * b["sin"], height))
-        e = b["e"]
-        ring = F.array(back(e["x0"], e["y0"]), back(e["x1"], e["y0"]), back(e["x1"], e["y1"]), back(e["x0"], e["y1"]))
-        return F.struct(b["area"].alias("area"), b["degree"].alias("degree"), ring.alias("corners"))
-
-    return F.when(F.size(points) >= 3, let(F.array_min(F.transform(turns, box)), corners_of))
-
-
 def loupe_center(x: Column, y: Column, radius: Column, gap: Column, margin: Column, width: Column) -> Column:
     """Centre of a loupe: above the finger, else to its left, else to its right, within the margins."""
     side = F.greatest(margin + radius, y)

@@ -1,185 +1,83 @@
-"""Document quads in segmentation masks: thresholds tried in rows, the best quad chosen by Spark.
+"""Document quads in segmentation masks, of any sizes: projections of arrays, joins and aggregations.
 
-A mask is one row, its probabilities a row-major array. Spark spreads masks and thresholds over the
-cluster, filters invalid quads and picks the best; the small kernels here see one mask at a time.
-Contours are followed on the refined mask itself, whose border is what an edge detector would find.
+A mask is one row, its probabilities a row-major array. Thresholds are rows; blurs, morphology and
+gradients are projections; edges and borders are found by :mod:`vellum.operators.borders` for all
+images at once; sides and corners are folds over a border. Spark filters invalid quads and picks the best.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions import contour as K
 from vellum.functions import geometry as G
-from vellum.operators import contours as C
-from vellum.operators.rasters import ellipse
+from vellum.operators import borders as B
+from vellum.operators import rasters as R
+from vellum.operators.boxes import min_area_rects
+from vellum.operators.lineage import settled
 
 #: Thresholds tried on still images and on live frames, least area of a quad.
 STILL, LIVE, LEAST_AREA = (0.5, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95), (0.9,), 0.02
-#: Neighbours clockwise from the right, in image axes.
-AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
 
-def smoothed(a: np.ndarray, weights: tuple[int, ...] = (1, 2, 1)) -> np.ndarray:
-    """Gaussian blur with mirrored borders, rounded: 3 x 3, or 5 x 5 with (1, 4, 6, 4, 1)."""
-    r, total = len(weights) // 2, sum(weights) ** 2
-    p = np.pad(a.astype(np.int64), r, mode="reflect")
-    rows = sum(w * p[:, k : k + a.shape[1]] for k, w in enumerate(weights))
-    return (sum(w * rows[k : k + a.shape[0]] for k, w in enumerate(weights)) + total // 2) // total
+def sides() -> tuple[Column, Column]:
+    return F.col("width"), F.col("height")
 
 
-def edges(a: np.ndarray, low: int = 75, high: int = 200) -> np.ndarray:
-    """Canny edges: crests of the gradient above ``low`` that hang together with one above ``high``."""
-    p = np.pad(a.astype(np.int64), 1, mode="edge")
-    smooth = lambda q, axis: sum(w * np.take(q, range(k, k + q.shape[axis] - 2), axis) for k, w in enumerate((1, 2, 1)))
-    gx, gy = smooth(p[:, 2:] - p[:, :-2], 0), smooth(p[2:] - p[:-2], 1)
-    size = np.abs(gx) + np.abs(gy)
-    wide = np.pad(size, 1)
-    at = lambda dx, dy: wide[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]]
-    flat, steep = np.abs(gy) < np.tan(np.pi / 8) * np.abs(gx), np.abs(gy) > np.tan(3 * np.pi / 8) * np.abs(gx)
-    falling = (gx < 0) == (gy < 0)
-    crest = np.zeros(a.shape, bool)
-    for where, (dx, dy) in ((flat, (1, 0)), (steep & ~flat, (0, 1)), (~flat & ~steep & falling, (1, 1)), (~flat & ~steep & ~falling, (-1, 1))):
-        crest |= where & (size > at(-dx, -dy)) & (size >= at(dx, dy))
-    crest &= size > low
-    kept = crest & (size > high)
-    while True:  # a ring further along the crests each time
-        wide_kept = np.pad(kept, 1)
-        more = crest & np.logical_or.reduce([wide_kept[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]] for dx, dy in (*AROUND, (0, 0))])
-        if (more == kept).all():
-            return kept
-        kept = more
+def _blurred(images: DataFrame, column: str, size: int) -> DataFrame:
+    """Gaussian blur, rounded to whole values."""
+    rows = R.gaussian(images, column, size, *sides())
+    return rows.withColumn(column, F.transform(column, lambda e: F.floor(e + 0.5).cast("int")))
 
 
-def _under(a: np.ndarray, pick: Callable, beyond: int, size: int = 5) -> np.ndarray:
-    r = size // 2
-    p = np.pad(a, r, constant_values=beyond)
-    return pick.reduce([p[r + dy : r + dy + a.shape[0], r + dx : r + dx + a.shape[1]] for dx, dy in ellipse(size)])
+def _usable(masks: DataFrame) -> DataFrame:
+    return masks.where("size(mask) = width * height and size(mask) > 0")
 
 
-def dilated(a: np.ndarray) -> np.ndarray:
-    return _under(a, np.maximum, 0)
+def _grays(p: Column) -> Column:
+    return F.transform(p, lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.rint(e * 255).cast("int"))))
 
 
-def eroded(a: np.ndarray) -> np.ndarray:
-    return _under(a, np.minimum, 255)
+def edges(images: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, x, y``: the edge pixels of images ``keys, gray, width, height``, refined as masks and blurred."""
+    rows = _blurred(R.refined_mask(images, "gray", *sides()), "gray", 5)
+    return B.edge_pixels(B.with_crests(rows, "gray", *sides()), keys, F.col("width"))
 
 
-def refined(a: np.ndarray) -> np.ndarray:
-    """A binary mask without small holes and lone dots."""
-    return dilated(eroded(eroded(dilated(np.where(a > 128, 255, 0)))))
+def largest_contours(masks: DataFrame, id_col: str) -> DataFrame:
+    """``id, points, area`` of ``id, mask, width, height``: the largest border about each mask's edges; none without area."""
+    rows = _usable(masks).select(id_col, "width", "height", _grays(F.col("mask")).alias("gray"))
+    return B.largest_borders(edges(rows, [id_col]), [id_col])
 
 
-def contours(mask: np.ndarray) -> list[np.ndarray]:
-    """Borders of the regions of a mask and of their holes, pixel by pixel, as arrays of (x, y).
+def edge_pixels(masks: DataFrame, id_col: str) -> DataFrame:
+    """``id, x, y`` of ``id, mask, width, height``: the edge pixels of each refined, blurred mask."""
+    return edges(_usable(masks).select(id_col, "width", "height", _grays(F.col("mask")).alias("gray")), [id_col])
 
-    Every pixel whose left neighbour is outside and that no border met so far has, begins one.
-    """
-    inside = np.pad(mask > 0, 1)
-    met = np.zeros(inside.shape, bool)
-    out = []
-    for y, x in zip(*np.nonzero(inside[:, 1:] & ~inside[:, :-1]), strict=True):
-        start = (int(x) + 1, int(y))
-        if met[start[1], start[0]]:
-            continue
-        path, at, back, second = [], start, 4, None
-        while True:
-            path.append(at)
-            met[at[1], at[0]] = True
-            for k in (k % 8 for k in range(back + 1, back + 9)):
-                after = (at[0] + AROUND[k][0], at[1] + AROUND[k][1])
-                if inside[after[1], after[0]]:
-                    break
-            else:
-                break
-            if at == start and after == second:
-                path.pop()
-                break
-            second = second or after
-            at, back = after, (k + 6) % 8 if k % 2 == 0 else (k + 5) % 8
-        out.append(np.array(path) - 1)
-    return out
-
-
-def area(points: np.ndarray) -> float:
-    x, y = points[:, 0], points[:, 1]
-    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
-
-
-def largest_contour(a: np.ndarray) -> np.ndarray | None:
-    """The border of largest area in the refined mask, the first of equals; none without area."""
-    found = contours(refined(a))
-    best = max(found, key=area, default=None)
-    return best if best is not None and area(best) > 0 else None
-
-
-def polygon_mask(points: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Pixels in a polygon of whole coordinates, its border included."""
-    y, x = np.mgrid[:height, :width]
-    odd, on = np.zeros((height, width), bool), np.zeros((height, width), bool)
-    corners = np.trunc(points).astype(np.int64)
-    for (x0, y0), (x1, y1) in zip(corners, np.roll(corners, -1, axis=0), strict=True):
-        side = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
-        on |= (side == 0) & (x >= min(x0, x1)) & (x <= max(x0, x1)) & (y >= min(y0, y1)) & (y <= max(y0, y1))
-        if y0 != y1:
-            odd ^= ((y0 <= y) != (y1 <= y)) & ((side < 0) == (y1 > y0))
-    return odd | on
-
-
-def score(points: np.ndarray, mask: np.ndarray) -> float:
-    """Mean probability in a quad, favouring area; 0 where it is tiny."""
-    inside = polygon_mask(points, mask.shape[1], mask.shape[0])
-    share = inside.mean()
-    return 0.0 if share < LEAST_AREA else float(mask[inside].mean() * (0.7 + 0.3 * share))
-
-
-def _quad(mask: np.ndarray, threshold: float, size: tuple[float, float]) -> np.ndarray | None:
-    gray = np.clip(np.rint(mask * 255), 0, 255)
-    cut = np.where(smoothed(gray) > threshold * 255, 255, 0)
-    border = largest_contour(eroded(dilated(cut)))
-    if border is None:
-        return None
-    scale = np.array(size) / (mask.shape[1], mask.shape[0])
-    corners = C.quad_of_contour(border * scale)
-    return None if corners is None else corners / scale
-
-
-def _points(p: np.ndarray | None) -> list[dict] | None:
-    return None if p is None else [{"x": float(x), "y": float(y)} for x, y in p]
-
-
-def _rows(kernel: Callable, id_col: str, columns: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                mask = np.asarray(row.mask, np.float64).reshape(row.height, row.width)
-                out.append((row[0], *kernel(mask, row)))
-            yield pd.DataFrame(out, columns=[id_col, *columns])
-
-    return run
 
+def quad_score(mask: Column, width: Column, points: Column) -> Column:
+    """Mean probability in a quad of whole corners, its sides included, favouring area; 0 where it is tiny."""
 
-def largest_contours(masks: DataFrame, id_col: str) -> DataFrame:
-    """``id, points`` of ``id, mask, width, height``: the largest border of each mask, or null."""
-    usable = masks.where("size(mask) = width * height and size(mask) > 0").select(id_col, "mask", "width", "height")
-    kernel = lambda mask, row: (_points(largest_contour(np.clip(np.rint(mask * 255), 0, 255))),)
-    return usable.mapInPandas(_rows(kernel, id_col, ["points"]), f"{id_col} long, points {C.POINTS}")
+    def scored(corners: Column) -> Column:
+        ring = [F.get(corners, F.lit(i)) for i in range(4)]
+        lines = list(zip(ring, [*ring[1:], ring[0]], strict=True))
 
+        def inside(x: Column, y: Column) -> Column:
+            odd, on = F.lit(False), F.lit(False)
+            for a, b in lines:
+                turn = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+                on = on | ((turn == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])))
+                odd = odd != (((a["y"] <= y) != (b["y"] <= y)) & ((turn < 0) == (b["y"] > a["y"])))
+            return odd | on
 
-def edge_pixels(masks: DataFrame, id_col: str) -> DataFrame:
-    """``id, points`` of ``id, mask, width, height``: the edge pixels of each refined, blurred mask."""
-    usable = masks.where("size(mask) = width * height and size(mask) > 0").select(id_col, "mask", "width", "height")
-
-    def kernel(mask: np.ndarray, row) -> tuple:
-        y, x = np.nonzero(edges(smoothed(refined(np.clip(np.rint(mask * 255), 0, 255)), (1, 4, 6, 4, 1))))
-        return (_points(np.stack([x, y], axis=1)),)
+        add = lambda s, e: F.struct((s["n"] + F.when(e["in"], 1).otherwise(0)).alias("n"), (s["p"] + F.when(e["in"], e["p"]).otherwise(0.0)).alias("p"))
+        marked = F.transform(mask, lambda p, i: F.struct(inside(i % width, F.floor(i / width)).alias("in"), p.alias("p")))
+        share = lambda s: s["n"] / F.size(mask)
+        return F.aggregate(marked, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("p")), add, lambda s: F.when(share(s) < LEAST_AREA, 0.0).otherwise(s["p"] / s["n"] * (0.7 + 0.3 * share(s))))
 
-    return usable.mapInPandas(_rows(kernel, id_col, ["points"]), f"{id_col} long, points {C.POINTS}")
+    whole = F.transform(points, lambda p: G.point((p["x"] + 1e-9).cast("int"), (p["y"] + 1e-9).cast("int")))
+    return G.let(whole, scored)
 
 
 def best_quads(masks: DataFrame, id_col: str, thresholds: tuple[float, ...] = STILL) -> DataFrame:
@@ -188,27 +86,32 @@ def best_quads(masks: DataFrame, id_col: str, thresholds: tuple[float, ...] = ST
     ``masks``: id, mask, width, height, and the photo's image_width and image_height, which a quad's
     corners must lie in. Masks without such a quad have no row.
     """
-    usable = masks.where("size(mask) = width * height and size(mask) > 0").select(id_col, "mask", "width", "height", "image_width", "image_height")
-    tried = usable.withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds))))).select(id_col, "mask", "width", "height", "image_width", "image_height", "t.*")
-
-    def kernel(mask: np.ndarray, row) -> tuple:
-        points = _quad(mask, row.threshold, (row.image_width, row.image_height))
-        return row.nth, row.image_width, row.image_height, _points(points), 0.0 if points is None else score(points, mask)
-
-    found = tried.mapInPandas(_rows(kernel, id_col, ["nth", "w", "h", "points", "score"]), f"{id_col} long, nth int, w double, h double, points {C.POINTS}, score double")
-    valid = F.forall("points", lambda p: p["x"].between(0, F.col("w")) & p["y"].between(0, F.col("h")))
+    usable = settled(_usable(masks).select(id_col, "mask", "width", "height", "image_width", "image_height"))
+    blurred = _blurred(usable.withColumn("gray", _grays(F.col("mask"))), "gray", 3)
+    tried = blurred.withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(t * 255).alias("limit")) for i, t in enumerate(thresholds)))))
+    tried = tried.select(id_col, "t.nth", "width", "height", F.transform("gray", lambda e: F.when(e > F.col("t.limit"), 255).otherwise(0)).alias("gray"))
+    tried = R.closed(tried, "gray", R.ellipse(5), *sides())
+    rings = B.largest_borders(edges(tried, [id_col, "nth"]), [id_col, "nth"]).join(usable, id_col)
+    across, down = F.col("image_width") / F.col("width"), F.col("image_height") / F.col("height")
+    photo = F.transform("points", lambda p: G.point(p["x"] * across, p["y"] * down))
+    found = rings.select(id_col, "nth", "mask", "width", "image_width", "image_height", across.alias("across"), down.alias("down"), K.quad_of_contour(photo).alias("photo"))
+    found = found.withColumn("points", F.transform("photo", lambda p: G.point(p["x"] / F.col("across"), p["y"] / F.col("down"))))
+    valid = F.forall("points", lambda p: p["x"].between(0, F.col("image_width")) & p["y"].between(0, F.col("image_height")))
+    scored = found.where("points is not null").where(valid).select(id_col, "nth", "points", quad_score(F.col("mask"), F.col("width"), F.col("points")).alias("score"))
     best = F.max_by(F.struct("points", "score"), F.struct("score", -F.col("nth")))
-    return found.where("points is not null and score > 0").where(valid).groupBy(id_col).agg(best.alias("best")).select(id_col, "best.*")
+    return scored.where("score > 0").groupBy(id_col).agg(best.alias("best")).select(id_col, "best.*")
 
 
-def document_quads(masks: DataFrame, id_col: str, width: int, height: int, live: bool = False) -> DataFrame:
+def document_quads(masks: DataFrame, id_col: str, live: bool = False) -> DataFrame:
     """``id, q``: the document's quad in each mask, in mask coordinates, null where none is found.
 
     On still images a mask without a quad gets the least-area box about its largest border.
     """
-    found = best_quads(masks, id_col, LIVE if live else STILL).select(id_col, "points")
+    found = settled(best_quads(masks, id_col, LIVE if live else STILL).select(id_col, "points"))
     if not live:
-        rest = largest_contours(masks.join(found.select(id_col), id_col, "left_anti"), id_col)
-        boxes = rest.withColumn("points", G.min_area_rect(F.col("points"), float(width), float(height))["corners"])
-        found = found.unionByName(boxes)
+        rest = masks.join(found.select(id_col), id_col, "left_anti")
+        hulls = largest_contours(rest, id_col).select(id_col, K.convex_hull(F.col("points")).alias("points"))
+        sizes = rest.select(id_col, "width", "height")
+        boxes = min_area_rects(hulls.join(sizes, id_col), [id_col, "width", "height"], F.col("points"), *sides())
+        found = found.unionByName(boxes.select(id_col, F.col("corners").alias("points")))
     return masks.select(id_col).join(found, id_col, "left").select(id_col, G.create_quad(F.col("points")).alias("q"))

@@ -11,10 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.geometry import let
+
 #: Weights of the usual small Gaussian kernels, as binomials.
 GAUSSIAN = {3: (1, 2, 1), 5: (1, 4, 6, 4, 1)}
 
 
+def each_pixel(width, height, pixel: Callable[[Column, Column, Column], Column]) -> Column:
+    """The image whose values are ``pixel(x, y, place)``, row by row; sizes are numbers or Columns."""
+    w, h = (n if isinstance(n, Column) else F.lit(n) for n in (width, height))
+    row = lambda y: F.transform(F.sequence(F.lit(0), w - 1), lambda x: pixel(x, y, y * w + x))
+    return F.flatten(F.transform(F.sequence(F.lit(0), h - 1), row))
+
+
 def _mirrored(at: Column, size: int) -> Column:
     """Border rule: the image continues mirrored, its border pixel not repeated."""
     return F.when(at < 0, -at).when(at > size - 1, 2 * (size - 1) - at).otherwise(at)
@@ -24,17 +33,16 @@ def _swept(images: DataFrame, column: str, weights: tuple, width: int, height: i
     """Weighted sums along rows or columns of the image, anchored in the middle of the weights."""
     v, anchor = F.col(column), len(weights) // 2
 
-    def pixel(_, i: Column) -> Column:
-        x, y = i % width, F.floor(i / width).cast("int")
+    def pixel(x: Column, y: Column, place: Column) -> Column:
         total = None
         for k, weight in enumerate(weights):
             o = k - anchor
-            at = y * width + _mirrored(x + o, width) if along_x else _mirrored(y + o, height) * width + x
+            at = place if o == 0 else place - x + _mirrored(x + o, width) if along_x else _mirrored(y + o, height) * width + x
             part = F.get(v, at) * weight
             total = part if total is None else total + part
         return total
 
-    return images.withColumn(column, F.transform(v, pixel))
+    return images.withColumn(column, F.when(v.isNotNull(), each_pixel(width, height, pixel)))
 
 
 def weighted(images: DataFrame, column: str, weights: tuple, width: int, height: int) -> DataFrame:
@@ -63,14 +71,24 @@ def ellipse(size: int) -> list[tuple[int, int]]:
 
 
 def _picked(images: DataFrame, column: str, offsets: list[tuple[int, int]], width: int, height: int, pick: Callable) -> DataFrame:
+    """``pick`` of the values at the offsets, which are a middle part of each line: along x once for each
+    length of such a part, then along y."""
     v = F.col(column)
+    half = {dy: max(dx for dx, y in offsets if y == dy) for _, dy in offsets}
+
+    def line(reach: int) -> Column:
+        def value(x: Column, dx: int, place: Column) -> Column:
+            there = F.get(v, place + dx)
+            return there if dx == 0 else F.when(x < width - dx if dx > 0 else x >= -dx, there)
+
+        return each_pixel(width, height, lambda x, _, place: pick(*(value(x, dx, place) for dx in range(-reach, reach + 1)))) if reach else v
 
-    def pixel(_, i: Column) -> Column:
-        x, y = i % width, F.floor(i / width).cast("int")
-        inside = lambda dx, dy: (x + dx).between(0, width - 1) & (y + dy).between(0, height - 1)
-        return pick(*(F.when(inside(dx, dy), F.get(v, i + dy * width + dx)) for dx, dy in offsets))
+    def column_of(lines: Column) -> Column:  # nothing above and below the image
+        values = [(lambda place, dy=dy, k=k: F.get(lines[f"h{k}"], place + dy * width)) for dy, k in half.items()]
+        return each_pixel(width, height, lambda x, _, place: pick(*(value(place) for value in values)) if len(values) > 1 else values[0](place))
 
-    return images.withColumn(column, F.transform(v, pixel))
+    lines = F.struct(*(line(k).alias(f"h{k}") for k in sorted(set(half.values()))))
+    return images.withColumn(column, F.when(v.isNotNull(), let(lines, column_of)))
 
 
 def eroded(images: DataFrame, column: str, offsets: list[tuple[int, int]], width: int, height: int) -> DataFrame:

@@ -1,81 +1,162 @@
-"""Contours of known quads, to be found again, and hulls."""
+"""Contours of known shapes, their sides and corners, and hulls, with their SQL; masks with drawn quads."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.functions import contour as K
 from vellum.functions import geometry as G
-from vellum.operators import contours as C
 from vellum.operators import detection as S
 from vellum.operators import drawing as D
 from vellum.plans.registry import register
+from vellum.plans.views import sql
 from vellum.sources import tables as T
 
-
-def drawn_contours(spark, d):
-    """``o_orderkey, points``: 60 points along each side of a quad, clockwise, on whole pixels."""
-    q = F.col("q")
-    sides = zip(G.corners(q), [*G.corners(q)[1:], G.corners(q)[0]], strict=True)
-    along = lambda a, b: F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: G.point(F.round(G.lerp(a["x"], b["x"], i / 60.0)), F.round(G.lerp(a["y"], b["y"], i / 60.0))))
-    return T.keyed_quads(spark, d).select("o_orderkey", "q", F.concat(*(along(a, b) for a, b in sides)).alias("points"))
-
-
-@register("h7_quads_from_contours")
+#: A ring's points from behind its sharpest turn on, with smoothed direction and the way from the point before.
+RING = """, units AS (SELECT c_custkey, p, len(p) AS n, list_transform(range(len(p)), lambda i: atan2(p[(i + 1) % len(p) + 1].y - p[(i - 1 + len(p)) % len(p) + 1].y,
+    p[(i + 1) % len(p) + 1].x - p[(i - 1 + len(p)) % len(p) + 1].x)) AS u FROM contours),
+smooth AS (SELECT c_custkey, n, p, list_transform(range(n), lambda i: atan2(list_sum(list_transform(range(-5, 6), lambda k: sin(u[(i + k + n) % n + 1]))),
+    list_sum(list_transform(range(-5, 6), lambda k: cos(u[(i + k + n) % n + 1]))))) AS a FROM units),
+turns AS (SELECT *, list_transform(range(n), lambda i: abs(atan2(sin(a[(i + 1) % n + 1] - a[i + 1]), cos(a[(i + 1) % n + 1] - a[i + 1])))) AS t FROM smooth),
+firsts AS (SELECT *, CASE WHEN list_max(t) > 1e-9 THEN list_position(list_transform(t, lambda x: x >= list_max(t) - 1e-9), true) % n ELSE 0 END AS first,
+  0.02 * list_sum(list_transform(range(n - 1), lambda i: sqrt((p[i + 2].x - p[i + 1].x) ** 2 + (p[i + 2].y - p[i + 1].y) ** 2))) AS least FROM turns),
+ring AS MATERIALIZED (SELECT c_custkey, n, least, s, (first + s) % n AS i, a[(first + s) % n + 1] AS a,
+  sqrt((p[(first + s) % n + 1].x - p[(first + s - 1 + n) % n + 1].x) ** 2 + (p[(first + s) % n + 1].y - p[(first + s - 1 + n) % n + 1].y) ** 2) AS way
+  FROM (SELECT *, unnest(range(n + 1)) AS s FROM firsts)),
+walk AS (
+  SELECT c_custkey, s, a, i AS from_, 0.0::DOUBLE AS length, NULL::BIGINT AS r_start, NULL::BIGINT AS r_end, NULL::DOUBLE AS r_angle, NULL::DOUBLE AS r_length, least FROM ring WHERE s = 0
+  UNION ALL
+  SELECT c_custkey, s, CASE WHEN stays THEN atan2(sin(old) + sin(a), cos(old) + cos(a)) ELSE a END, CASE WHEN stays THEN from_ ELSE i END, CASE WHEN stays THEN length ELSE 0 END,
+    CASE WHEN NOT stays THEN from_ END, CASE WHEN NOT stays THEN i END, CASE WHEN NOT stays THEN old END, CASE WHEN NOT stays THEN length END, least
+  FROM (SELECT r.c_custkey, r.s, r.a, r.i, w.a AS old, w.from_, w.length + r.way AS length, r.least, r.s < r.n AND abs(atan2(sin(r.a - w.a), cos(r.a - w.a))) < radians(5) - 1e-9 AS stays
+    FROM walk w JOIN ring r ON r.c_custkey = w.c_custkey AND r.s = w.s + 1)),
+runs AS MATERIALIZED (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY s) AS place, count(*) OVER (PARTITION BY c_custkey) AS many, r_start, r_end, r_angle, r_length
+  FROM walk WHERE r_length >= least AND r_length > 0 AND r_start <> r_end)
+"""
+MERGED = """, joined AS (
+  SELECT c_custkey, place, many, place AS made, r_start, r_end, r_angle, r_length FROM runs WHERE place = 1
+  UNION ALL
+  SELECT c_custkey, place, many, CASE WHEN joins THEN made ELSE place END, CASE WHEN joins THEN o_start ELSE r_start END, r_end,
+    CASE WHEN joins THEN atan2(sin(o_angle) + sin(r_angle), cos(o_angle) + cos(r_angle)) ELSE r_angle END, CASE WHEN joins THEN o_length + r_length ELSE r_length END
+  FROM (SELECT r.*, j.made, j.r_start AS o_start, j.r_angle AS o_angle, j.r_length AS o_length, r.many > 4 AND abs(atan2(sin(r.r_angle - j.r_angle), cos(r.r_angle - j.r_angle))) < radians(7) - 1e-9 AS joins
+    FROM joined j JOIN runs r ON r.c_custkey = j.c_custkey AND r.place = j.place + 1)),
+merged AS MATERIALIZED (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY made) AS place, r_start, r_end, r_angle, r_length
+  FROM (SELECT * FROM joined QUALIFY row_number() OVER (PARTITION BY c_custkey, made ORDER BY place DESC) = 1))
+"""
+DOMINANT = """, ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(r_length, 6) DESC, place) AS rank FROM merged),
+pick AS (
+  SELECT c_custkey, rank, [{s: r_start, e: r_end, a: r_angle, l: r_length}] AS sides FROM ranked WHERE rank = 1
+  UNION ALL
+  SELECT k.c_custkey, k.rank, CASE WHEN len(p.sides) < 4 AND len(list_filter(p.sides, lambda c: abs(atan2(sin(k.r_angle - c.a), cos(k.r_angle - c.a))) < radians(25) - 1e-9)) = 0
+    THEN list_append(p.sides, {s: k.r_start, e: k.r_end, a: k.r_angle, l: k.r_length}) ELSE p.sides END
+  FROM pick p JOIN ranked k ON k.c_custkey = p.c_custkey AND k.rank = p.rank + 1),
+picked AS (SELECT c_custkey, list_sort(sides) AS sides FROM pick QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY rank DESC) = 1),
+sides AS MATERIALIZED (SELECT c_custkey, i AS place, len(sides) AS many, sides[i].s AS r_start, sides[i].e AS r_end, sides[i].a AS r_angle, sides[i].l AS r_length FROM picked, range(1, 5) AS t(i) WHERE i <= len(sides))
+"""
+LINES = """, on_side AS (SELECT s.c_custkey, s.place, p[i + 1].x AS x, p[i + 1].y AS y FROM sides s JOIN contours c USING (c_custkey), range(288) AS t(i)
+  WHERE s.many = 4 AND len(p) >= 20 AND i < len(p) AND CASE WHEN r_start < r_end THEN i >= r_start AND i < r_end ELSE i >= r_start OR i < r_end END),
+lines AS (SELECT c_custkey, place, avg(x) AS x, avg(y) AS y, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t FROM on_side GROUP BY c_custkey, place),
+meets AS (SELECT a.c_custkey, a.place, a.x, a.y, a.t, ((b.x - a.x) * sin(b.t) - (b.y - a.y) * cos(b.t)) / sin(b.t - a.t) AS far, abs(sin(b.t - a.t)) >= 1e-6 AS ok
+  FROM lines a JOIN lines b ON b.c_custkey = a.c_custkey AND b.place = a.place % 4 + 1)
+"""
+_RUN = 'SELECT c_custkey, place::INTEGER AS place, r_start::INTEGER AS "start", r_end::INTEGER AS "end", round(cos(r_angle) + 0.00123, 4) AS dx, round(sin(r_angle) + 0.00123, 4) AS dy, round(r_length, 3) AS length FROM '
+
+
+def _recursive(*parts: str) -> str:
+    return sql("contours", "".join(parts)).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _runs(rows, runs):
+    rows = rows.select("c_custkey", F.posexplode(runs).alias("place", "run"))
+    along = lambda f, n: F.round(f("run.angle") + 0.00123, 4).alias(n)
+    return rows.select("c_custkey", (F.col("place") + 1).alias("place"), "run.start", "run.end", along(F.cos, "dx"), along(F.sin, "dy"), F.round("run.length", 3).alias("length"))
+
+
+def _straight(points):
+    return G.let(points, lambda ps: G.let(K.smoothed_angles(ps), lambda a: K.straight_runs(ps, a)))
+
+
+@register("h4_straight_runs", _recursive(RING, _RUN, "runs"))
+def h4(spark, d):
+    return _runs(T.contours(spark, d), _straight(F.col("points")))
+
+
+@register("h5_merged_runs", _recursive(RING, MERGED, _RUN, "merged"))
+def h5(spark, d):
+    return _runs(T.contours(spark, d), K.merged_runs(_straight(F.col("points"))))
+
+
+@register("h6_dominant_sides", _recursive(RING, MERGED, DOMINANT, _RUN, "sides"))
+def h6(spark, d):
+    return _runs(T.contours(spark, d), K.sides_of_contour(F.col("points")))
+
+
+@register("h7_quads_from_contours", _recursive(RING, MERGED, DOMINANT, LINES, """SELECT c_custkey, place::INTEGER AS place, round(x + far * cos(t) + 0.00123, 2) AS x, round(y + far * sin(t) + 0.00123, 2) AS y
+FROM meets QUALIFY bool_and(ok) OVER (PARTITION BY c_custkey)"""))
 def h7(spark, d):
-    """Distance in pixels, at most, of the corners found from those drawn."""
-    drawn = drawn_contours(spark, d)
-    found = C.quads_from_contours(drawn, "o_orderkey").withColumn("f", G.create_quad(F.col("points")))
-    return drawn.select("o_orderkey", "q").join(found, "o_orderkey").select("o_orderkey", F.round(G.max_corner_distance(F.col("q"), F.col("f")), 3).alias("error"))
+    """The four corners found in each contour, in its order; none where there is no quad."""
+    rows = T.contours(spark, d).select("c_custkey", F.posexplode(K.quad_of_contour(F.col("points"))).alias("place", "p"))
+    return rows.select("c_custkey", (F.col("place") + 1).alias("place"), F.round(F.col("p.x") + 0.00123, 2).alias("x"), F.round(F.col("p.y") + 0.00123, 2).alias("y"))
 
 
-@register("f21_convex_hull")
+@register("f21_convex_hull", """WITH pts AS MATERIALIZED (SELECT DISTINCT vec_id, floor(embedding[2 * i + 1] * 60)::INTEGER AS x, floor(embedding[2 * i + 2] * 60)::INTEGER AS y FROM embeddings, range(len(embedding) // 2) AS t(i)),
+edges AS (SELECT a.vec_id, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy FROM pts a JOIN pts b ON a.vec_id = b.vec_id AND (a.x, a.y) <> (b.x, b.y)
+  JOIN pts c ON c.vec_id = a.vec_id GROUP BY a.vec_id, a.x, a.y, b.x, b.y
+  HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0
+    AND (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) BETWEEN 0 AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2))
+SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY CASE WHEN atan2(dy, dx) <= -pi() / 2 THEN atan2(dy, dx) + 2 * pi() ELSE atan2(dy, dx) END)::INTEGER AS place, x, y FROM edges""")
 def f21(spark, d):
-    found = C.hulls(drawn_contours(spark, d), "o_orderkey")
-    return found.select("o_orderkey", F.size("points").alias("n"))
+    """Hull of 32 points on whole pixels for each embedding, in order; SQL has the edges that all points lie left of."""
+    at = lambda i: F.floor(F.get("embedding", i) * 60).cast("int")
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: G.point(at(2 * i), at(2 * i + 1)))
+    rows = T.table(spark, d, "embeddings").where("size(embedding) > 1").select("vec_id", F.posexplode(K.convex_hull(points)).alias("place", "p"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("place"), "p.x", "p.y")
 
 
 def drawn_masks(spark, d):
-    """``n_nationkey, mask, width, height, image_width, image_height, q``: a quad drawn in a mask of 64 x 48 for a photo of 640 x 480."""
-    key = F.col("n_nationkey")
+    """``s_suppkey, mask, width, height, image_width, image_height, q``: for each supplier a quad drawn in a mask of 48 x 36
+    for a photo of 640 x 480, its probabilities shaken by the values of the embedding of that number."""
+    key = F.col("s_suppkey")
     p = lambda x, y: G.point(x.cast("double"), y.cast("double"))
-    q = G.quad(p(6 + key % 7, 5 + key % 5), p(56 - key % 6, 4 + key % 9), p(58 - key % 11, 43 - key % 4), p(8 + key % 3, 40 - key % 8))
-    inside = lambda i: D.in_polygon((i % 64).cast("double"), F.floor(i / 64).cast("double"), F.col("q"))
-    rows = T.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), q.alias("q"))
-    mask = F.transform(F.sequence(F.lit(0), F.lit(64 * 48 - 1)), lambda i: F.when(inside(i), 0.96).otherwise(0.04))
-    return rows.select("n_nationkey", "q", mask.alias("mask"), F.lit(64).alias("width"), F.lit(48).alias("height"), F.lit(640.0).alias("image_width"), F.lit(480.0).alias("image_height"))
+    q = G.quad(p(5 + key % 7, 4 + key % 5), p(42 - key % 6, 3 + key % 7), p(44 - key % 9, 32 - key % 4), p(6 + key % 3, 30 - key % 6))
+    inside = lambda i: D.in_polygon((i % 48).cast("double"), F.floor(i / 48).cast("double"), F.col("q"))
+    shaken = lambda i: F.get("embedding", i * 7 % F.size("embedding")).cast("double") / 8
+    value = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(inside(i), 0.96).otherwise(0.04) + shaken(i)))
+    shakes = T.table(spark, d, "embeddings").where("size(embedding) > 0").select(F.col("vec_id").alias("s_suppkey"), "embedding")
+    rows = T.table(spark, d, "supplier").join(shakes, "s_suppkey").select(key.cast("long").alias("s_suppkey"), "embedding", q.alias("q"))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(48 * 36 - 1)), value)
+    return rows.select("s_suppkey", "q", mask.alias("mask"), F.lit(48).alias("width"), F.lit(36).alias("height"), F.lit(640.0).alias("image_width"), F.lit(480.0).alias("image_height"))
 
 
 def _corners(rows):
-    return rows.select("n_nationkey", *(F.round(F.col("q")[c][a], 3).alias(f"{c}_{a}") for c in G.CORNERS for a in "xy"))
+    return rows.select("s_suppkey", *(F.round(F.col("q")[c][a], 3).alias(f"{c}_{a}") for c in G.CORNERS for a in "xy"))
 
 
 @register("h1_document_quads")
 def h1(spark, d):
-    return _corners(S.document_quads(drawn_masks(spark, d), "n_nationkey", 64, 48))
+    return _corners(S.document_quads(drawn_masks(spark, d), "s_suppkey"))
 
 
 @register("h1_live_quads")
 def h1_live(spark, d):
-    return _corners(S.document_quads(drawn_masks(spark, d), "n_nationkey", 64, 48, live=True))
+    return _corners(S.document_quads(drawn_masks(spark, d), "s_suppkey", live=True))
 
 
 @register("h2_best_quads")
 def h2(spark, d):
-    """Score of the best quad of each mask, over all thresholds."""
-    return S.best_quads(drawn_masks(spark, d), "n_nationkey").select("n_nationkey", F.round("score", 6).alias("score"))
+    """The best quad of each mask over all thresholds, corner by corner, and its score."""
+    rows = S.best_quads(drawn_masks(spark, d), "s_suppkey").select("s_suppkey", "score", F.posexplode("points").alias("place", "p"))
+    return rows.select("s_suppkey", F.round("score", 6).alias("score"), (F.col("place") + 1).alias("place"), F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
 
 
 @register("e12_largest_contour")
 def e12(spark, d):
-    """Pixels of the largest border of each mask, and the area in it."""
-    p = F.col("points")
-    following = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
-    twice = F.aggregate(F.zip_with(p, following, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda s, v: s + v)
-    return S.largest_contours(drawn_masks(spark, d), "n_nationkey").select("n_nationkey", F.size("points").alias("n"), (F.abs(twice) / 2).alias("area"))
+    """The largest border about each mask's edges, point by point, and the area in it."""
+    rows = S.largest_contours(drawn_masks(spark, d), "s_suppkey").select("s_suppkey", "area", F.posexplode("points").alias("place", "p"))
+    return rows.select("s_suppkey", "area", "place", F.col("p.x").cast("int").alias("x"), F.col("p.y").cast("int").alias("y"))
 
 
 @register("g10_canny_edges")
 def g10(spark, d):
     """Edge pixels of each mask, in long form."""
-    rows = S.edge_pixels(drawn_masks(spark, d), "n_nationkey").select("n_nationkey", F.explode("points").alias("p"))
-    return rows.select("n_nationkey", F.col("p.x").cast("int").alias("x"), F.col("p.y").cast("int").alias("y"))
+    return S.edge_pixels(drawn_masks(spark, d), "s_suppkey")

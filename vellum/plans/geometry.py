@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 from vellum.functions import metrology as M
+from vellum.operators.boxes import min_area_rects
 from vellum.plans.registry import register
 from vellum.plans.views import sql
 from vellum.sources import tables as T
@@ -238,10 +239,10 @@ def e19(spark, d):
     return _points(spark, d).groupBy("o_orderkey").agg(r(F.min, "x", "x0"), r(F.min, "y", "y0"), r(F.max, "x", "x1"), r(F.max, "y", "y1"))
 
 
-@register("f18_fit_line", sql("keyed", POINTS + """SELECT o_orderkey, round(avg(x),4) AS x, round(avg(y),4) AS y, round(cos(0.5*atan2(2*covar_pop(x,y), var_pop(x)-var_pop(y))),4) AS dx, round(sin(0.5*atan2(2*covar_pop(x,y), var_pop(x)-var_pop(y))),4) AS dy FROM pts WHERE i < 3 GROUP BY o_orderkey"""))
+@register("f18_fit_line", sql("keyed", POINTS + """SELECT o_orderkey, round(avg(x),4) AS x, round(avg(y),4) AS y, round(cos(0.5*atan2(2*covar_pop(x,y), var_pop(x)-var_pop(y))) + 0.00123,4) + 0.0::DOUBLE AS dx, round(sin(0.5*atan2(2*covar_pop(x,y), var_pop(x)-var_pop(y))) + 0.00123,4) + 0.0::DOUBLE AS dy FROM pts GROUP BY o_orderkey"""))
 def f18(spark, d):
-    fitted = _points(spark, d).where("i < 3").groupBy("o_orderkey").agg(G.fit_line(F.col("x"), F.col("y")).alias("l"))
-    return fitted.select("o_orderkey", *(F.round(f"l.{n}", 4).alias(n) for n in ("x", "y", "dx", "dy")))
+    fitted = _points(spark, d).groupBy("o_orderkey").agg(G.fit_line(F.col("x"), F.col("y")).alias("l"))
+    return fitted.select("o_orderkey", *(F.round(F.col(f"l.{n}") + more, 4).alias(n) for n, more in (("x", 0.0), ("y", 0.0), ("dx", 0.00123), ("dy", 0.00123))))
 
 
 @register("f22_min_area_angle", sql("keyed", POINTS + """, turned AS (SELECT o_orderkey, a, min(x*cos(radians(a))-y*sin(radians(a))) AS x0, max(x*cos(radians(a))-y*sin(radians(a))) AS x1, min(x*sin(radians(a))+y*cos(radians(a))) AS y0, max(x*sin(radians(a))+y*cos(radians(a))) AS y1
@@ -250,10 +251,9 @@ best AS (SELECT o_orderkey, unnest(arg_min({a: a, x0: x0, x1: x1, y0: y0, y1: y1
 SELECT o_orderkey, round(area, 2) AS area, a::INTEGER AS degree, round(greatest(0, least(639, x0*cos(radians(a))+y0*sin(radians(a)))) + 0.00123, 2) AS x, round(greatest(0, least(479, y1*cos(radians(a))-x1*sin(radians(a)))) + 0.00123, 2) AS y FROM best"""))
 def f22(spark, d):
     """Least-area enclosing box over the whole degrees from 0 to 89, clipped to the image: two coordinates of its corners."""
-    rect = G.min_area_rect(F.array(*G.corners(F.col("q"))), T.WIDTH, T.HEIGHT)
-    rows = T.keyed_quads(spark, d).select("o_orderkey", rect.alias("r"))
-    c = F.col("r.corners")
-    return rows.select("o_orderkey", F.round("r.area", 2).alias("area"), F.col("r.degree").alias("degree"), F.round(c[0]["x"] + 0.00123, 2).alias("x"), F.round(c[2]["y"] + 0.00123, 2).alias("y"))
+    rows = min_area_rects(T.keyed_quads(spark, d), ["o_orderkey"], G.corners(F.col("q")), T.WIDTH, T.HEIGHT)
+    c = F.col("corners")
+    return rows.select("o_orderkey", F.round("area", 2).alias("area"), "degree", F.round(c[0]["x"] + 0.00123, 2).alias("x"), F.round(c[2]["y"] + 0.00123, 2).alias("y"))
 
 
 @register("f25_loupe_center", """SELECT o_orderkey, round(CASE WHEN y - 140 >= 16 THEN greatest(76, least(924, x)) WHEN x - 140 >= 16 THEN x - 80 ELSE least(924, x + 80) END, 4) AS cx,

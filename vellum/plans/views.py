@@ -27,6 +27,14 @@ words AS (SELECT doc_id, pos, word, 20 + (pos % 12) * 80 AS "left", 30 + (pos //
   UNION ALL SELECT 'lost' || doc_id || '.JPG', -doc_id - 1, true FROM labels WHERE doc_id % 10 = 5)""",
     "docs": """docs AS (SELECT doc_id, 0 AS row, quality = 1 AS colored FROM labels UNION ALL SELECT doc_id, 1, quality = 0 FROM labels WHERE doc_id % 10 = 0),
 last_docs AS (SELECT doc_id, arg_max(colored, row) AS colored FROM docs GROUP BY doc_id)""",
+    "contours": """shapes AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN 4 ELSE 48 END AS per, CASE c_custkey % 5
+    WHEN 1 THEN [{x: tlx + 60, y: tly}, {x: trx, y: try_}, {x: brx, y: bry}, {x: blx, y: bly}, {x: tlx, y: tly + 60}]
+    WHEN 2 THEN [{x: tlx, y: tly}, {x: (tlx + trx) / 2, y: (tly + try_) / 2 - 14}, {x: trx, y: try_}, {x: brx, y: bry}, {x: blx, y: bly}]
+    WHEN 3 THEN [{x: tlx, y: tly}, {x: trx, y: try_}, {x: trx + 30, y: 235.0}, {x: brx, y: bry}, {x: blx, y: bly}, {x: 2.0, y: 230.0}]
+    ELSE [{x: tlx, y: tly}, {x: trx, y: try_}, {x: brx, y: bry}, {x: blx, y: bly}] END AS c
+  FROM (SELECT c_custkey, """ + Q.format(q="(c_custkey % 50 + 1)", d="((c_custkey % 11) / 100.0::DOUBLE)", t="((c_custkey % 9) / 100.0::DOUBLE)") + """ FROM customer)),
+contours AS MATERIALIZED (SELECT c_custkey, flatten(list_transform(c, lambda a, j: list_transform(range(per), lambda i:
+    {x: round(a.x + (i / per::DOUBLE) * (c[j % len(c) + 1].x - a.x)), y: round(a.y + (i / per::DOUBLE) * (c[j % len(c) + 1].y - a.y))}))) AS p FROM shapes)""",
     "sizes": """sizes AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'Ratio' ELSE 'Physical' END AS kind, 100 + 4.0::DOUBLE * p_size AS width,
   (100 + 4.0::DOUBLE * p_size) * (1 + (p_partkey % 70) / 100.0::DOUBLE) AS height FROM part)""",
 }

@@ -35,6 +35,24 @@ def keyed_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", _quad((key % 50 + 1).cast("double"), (key % 11) / 100.0, (key % 9) / 100.0).alias("q"))
 
 
+def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``c_custkey, points``: a closed contour on whole pixels for each customer, 48 points a side.
+
+    By key: a quad, one with a corner cut off, one with a bent side, a hexagon, and a quad of 16 points.
+    """
+    key = F.col("c_custkey")
+    tl, tr, br, bl = G.corners(_quad((key % 50 + 1).cast("double"), (key % 11) / 100.0, (key % 9) / 100.0))
+    cut = F.array(G.point(tl["x"] + 60, tl["y"]), tr, br, bl, G.point(tl["x"], tl["y"] + 60))
+    bent = F.array(tl, G.point((tl["x"] + tr["x"]) / 2, (tl["y"] + tr["y"]) / 2 - 14), tr, br, bl)
+    hexagon = F.array(tl, tr, G.point(tr["x"] + 30, F.lit(235.0)), br, bl, G.point(F.lit(2.0), F.lit(230.0)))
+    kind = key % 5
+    shape = F.when(kind == 1, cut).when(kind == 2, bent).when(kind == 3, hexagon).otherwise(F.array(tl, tr, br, bl))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", shape.alias("c"), F.when(kind == 4, 4).otherwise(48).alias("per"))
+    along = lambda a, b, i: F.round(G.lerp(a, b, i / F.col("per").cast("double")))
+    side = lambda a, b: F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda i: G.point(along(a["x"], b["x"], i), along(a["y"], b["y"], i)))
+    return rows.select("c_custkey", F.flatten(F.transform("c", lambda a, j: side(a, F.get("c", (j + 1) % F.size("c"))))).alias("points"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, x, y, p, b, g, r``: 8 x 8 tiles; p in [0, 1], the channels 8-bit."""
     rows = table(spark, sf_dir, "embeddings")
