@@ -40,11 +40,11 @@ def b1(spark, d):
 
 
 def _photos(spark, d):
-    """Photos of 64 x 48 pixels with a page in each: one for each nation."""
+    """Photos of 48 x 36 pixels with a page in each: one for each supplier."""
     drawn = Q.drawn_masks(spark, d)
-    shade = F.concat(F.lpad(F.hex((F.col("n_nationkey") * 5 + 20).cast("long")), 2, "0"), F.lit("D0E0"))
+    shade = F.concat(F.lpad(F.hex((F.col("s_suppkey") % 40 * 5 + 20).cast("long")), 2, "0"), F.lit("D0E0"))
     pixels = F.transform("mask", lambda p, i: F.when((p > 0.5) & (i % 7 > 0), F.lit("F0E8DC")).when(p > 0.5, shade).otherwise(F.lit("202428")))
-    return drawn.select("n_nationkey", "q", "width", "height", F.unhex(F.array_join(pixels, "")).alias("data"))
+    return drawn.select("s_suppkey", "q", "width", "height", F.unhex(F.array_join(pixels, "")).alias("data"))
 
 
 @register("g20_color_enhancement")
@@ -60,11 +60,11 @@ def g21(spark, d):
 def _enhanced(spark, d, mode):
     """The pages as they are, upright and in full size."""
     rows = _photos(spark, d).withColumns({"mode": F.lit(mode), "rotation": F.lit(0)})
-    return H.extracted_documents(rows, "n_nationkey", 1_000_000).select("n_nationkey", "width", "height", F.length("data").alias("bytes"))
+    return H.extracted_documents(rows, "s_suppkey", 1_000_000).select("s_suppkey", "width", "height", F.length("data").alias("bytes"), F.crc32("data").alias("crc32"))
 
 
 @register("g24_extracted_documents")
 def g24(spark, d):
-    key = F.col("n_nationkey")
+    key = F.col("s_suppkey")
     rows = _photos(spark, d).withColumns({"mode": F.when(key % 2 == 0, "COLOR").otherwise("GRAYSCALE"), "rotation": (key % 4 * 90).cast("int")})
-    return H.extracted_documents(rows, "n_nationkey", 1_500).select("n_nationkey", "width", "height", F.length("data").alias("bytes"))
+    return H.extracted_documents(rows, "s_suppkey", 1_500).select("s_suppkey", "width", "height", F.length("data").alias("bytes"), F.crc32("data").alias("crc32"))
