@@ -83,7 +83,18 @@ def j5(spark, d):
     return T.frames(spark, d).select("session", "seq", F.count("*").over(upto).alias("done"), F.count("*").over(w).alias("total"), F.count_if(F.col("event_type") != "error").over(upto).alias("imported"))
 
 
-@register("j8_corner_drag")
+@register("j8_corner_drag", sql("frames", """, steps AS (SELECT session, session % 5 AS k, row_number() OVER w AS s, count(*) OVER (PARTITION BY session) AS n, (seq % 21 - 10) / 200.0::DOUBLE AS dx, (seq % 17 - 8) / 200.0::DOUBLE AS dy
+  FROM frames WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+ends AS (SELECT session, n - CASE WHEN sqrt(dx * dx + dy * dy) <= 0.02 THEN 1 ELSE 0 END AS kept FROM steps WHERE s = n),
+drag AS (
+  SELECT session, 0::BIGINT AS s, [0.2::DOUBLE, 0.8, 0.8, 0.2] AS x, [0.2::DOUBLE, 0.2, 0.8, 0.8] AS y FROM ends
+  UNION ALL
+  SELECT session, s, CASE WHEN convex THEN nx ELSE x END, CASE WHEN convex THEN ny ELSE y END FROM (SELECT *, len(list_filter(range(4), lambda i:
+      (nx[(i + 1) % 4 + 1] - nx[i + 1]) * (ny[(i + 2) % 4 + 1] - ny[(i + 1) % 4 + 1]) - (ny[(i + 1) % 4 + 1] - ny[i + 1]) * (nx[(i + 2) % 4 + 1] - nx[(i + 1) % 4 + 1]) <= 0)) = 0 AS convex
+    FROM (SELECT p.session, p.s, d.x, d.y, list_transform(range(4), lambda i: CASE WHEN i = p.k THEN greatest(0, least(1, d.x[i + 1] + p.dx)) ELSE d.x[i + 1] END) AS nx,
+        list_transform(range(4), lambda i: CASE WHEN i = p.k THEN greatest(0, least(1, d.y[i + 1] + p.dy)) ELSE d.y[i + 1] END) AS ny
+      FROM drag d JOIN steps p ON p.session = d.session AND p.s = d.s + 1)))
+SELECT session, """ + ", ".join(f'round({a}[{i}], 6) AS "{c}_{a}"' for i, c in enumerate(G.CORNERS, 1) for a in "xy") + " FROM drag JOIN ends USING (session) WHERE s = kept").replace("WITH ", "WITH RECURSIVE ", 1))
 def j8(spark, d):
     """Gestures on the unit quad: a session's frames move one corner, and a last small, quick step is taken back."""
     key = F.col("session")

@@ -50,7 +50,8 @@ class QuadRun(StatefulProcessor):
         before = np.concatenate([np.full((1, 4, 2), np.nan) if points is None else np.array(points).reshape(1, 4, 2), corners[:-1]])
         far = np.hypot(*np.moveaxis(corners - before, 2, 0)).max(axis=1).astype(np.float32)
         counts = []
-        for missing, near in zip(np.isnan(corners[:, 0, 0]).tolist(), (far < MAX_DISTANCE).tolist(), strict=True):
+        goes_on = (far < MAX_DISTANCE) & ~batch["reset"].to_numpy(bool)
+        for missing, near in zip(np.isnan(corners[:, 0, 0]).tolist(), goes_on.tolist(), strict=True):
             count = 0 if missing else count + 1 if near else 1
             counts.append(count)
         points = corners[-1].ravel()
@@ -74,19 +75,19 @@ def camera_frames(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(f"session bigint, ts timestamp, seq bigint, q {quad}").option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def flat_quads(frames: DataFrame) -> DataFrame:
+def flat_quads(frames: DataFrame, reset: str = "false") -> DataFrame:
     points = zip(("tl", "tr", "br", "bl"), G.corners(F.col("q")), strict=True)
-    return frames.select("session", "ts", "seq", *(p[c].alias(f"{n}_{c}") for n, p in points for c in "xy"))
+    return frames.select("session", "ts", "seq", F.coalesce(F.expr(reset), F.lit(False)).alias("reset"), *(p[c].alias(f"{n}_{c}") for n, p in points for c in "xy"))
 
 
-def stabilize_stream(frames: DataFrame) -> DataFrame:
+def stabilize_stream(frames: DataFrame, reset: str = "false") -> DataFrame:
     """``session, seq, count, stable`` of a stream of frames, with a session's run kept as state.
 
-    The session must use the RocksDB state store. Frames that come in a later micro-batch than
+    ``reset`` is a condition for frames before which a run ends. The session must use the RocksDB state store. Frames that come in a later micro-batch than
     frames behind them are taken in the order they come.
     """
     schema = "session long, seq long, count int, stable boolean"
-    return flat_quads(frames).groupBy("session").transformWithStateInPandas(QuadRun(), schema, "Append", "None")
+    return flat_quads(frames, reset).groupBy("session").transformWithStateInPandas(QuadRun(), schema, "Append", "None")
 
 
 def latest_only(batch: DataFrame) -> DataFrame:
