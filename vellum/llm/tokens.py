@@ -9,7 +9,7 @@ grown past its limit is begun anew, and of very long words only the first DEEPES
 from __future__ import annotations
 
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -77,31 +77,34 @@ class UnigramTrie:
     def _go_on(self, word: str, path: list[int]) -> int:
         """Tokens of a word longer than the trie is deep, from the scores of the places that a piece can reach back to."""
         ring = self.longest + 1
-        score, count = [0.0] * ring, [0] * ring
+        scores, counts = [0.0] * ring, [0] * ring
         for i in range(max(0, DEEPEST - self.longest), DEEPEST + 1):
-            score[i % ring], count[i % ring] = self.score[path[i]], self.count[path[i]]
+            scores[i % ring], counts[i % ring] = self.score[path[i]], self.count[path[i]]
         for i in range(DEEPEST + 1, len(word) + 1):
-            score[i % ring], count[i % ring] = self._best(word, i, word[i - 1], lambda j: score[j % ring], lambda j: count[j % ring])
-        return count[len(word) % ring]
+            end = word[i - 1]
+            size = len(end.encode("utf-8", "replace"))
+            best, tokens = scores[(i - 1) % ring] + BYTE_SCORE * size, counts[(i - 1) % ring] + size
+            for n in self.ends.get(end, ()):  # all shorter than the word
+                own = self.pieces.get(word[i - n : i])
+                if own is not None and (own := own + scores[(i - n) % ring]) >= best:
+                    best, tokens = own, counts[(i - n) % ring] + 1
+            scores[i % ring], counts[i % ring] = best, tokens
+        return counts[len(word) % ring]
 
     def _grow(self, word: str, i: int, end: str, path: list[int]) -> int:
         """A node for the first i characters of a word, scored from those of its path."""
-        best, tokens = self._best(word, i, end, lambda j: self.score[path[j]], lambda j: self.count[path[j]])
-        self.score.append(best)
-        self.count.append(tokens)
-        return len(self.score) - 1
-
-    def _best(self, word: str, i: int, end: str, score: Callable[[int], float], count: Callable[[int], int]) -> tuple[float, int]:
-        """Score and tokens of the first i characters, the last of which is ``end``, from those of shorter prefixes."""
+        score, count = self.score, self.count
         size = len(end.encode("utf-8", "replace"))
-        best, tokens = score(i - 1) + BYTE_SCORE * size, count(i - 1) + size
+        best, tokens = score[path[-1]] + BYTE_SCORE * size, count[path[-1]] + size
         for n in self.ends.get(end, ()):
             if n > i:
                 break
             own = self.pieces.get(word[i - n : i])
-            if own is not None and (own := own + score(i - n)) >= best:
-                best, tokens = own, count(i - n) + 1
-        return best, tokens
+            if own is not None and (own := own + score[path[i - n]]) >= best:
+                best, tokens = own, count[path[i - n]] + 1
+        score.append(best)
+        count.append(tokens)
+        return len(score) - 1
 
 
 class Counter:
