@@ -84,7 +84,9 @@ class UnigramTrie:
             end = word[i - 1]
             size = len(end.encode("utf-8", "replace"))
             best, tokens = scores[(i - 1) % ring] + BYTE_SCORE * size, counts[(i - 1) % ring] + size
-            for n in self.ends.get(end, ()):  # all shorter than the word
+            for n in self.ends.get(end, ()):
+                if n > i:
+                    break
                 own = self.pieces.get(word[i - n : i])
                 if own is not None and (own := own + scores[(i - n) % ring]) >= best:
                     best, tokens = own, counts[(i - n) % ring] + 1
