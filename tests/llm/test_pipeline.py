@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -124,3 +125,14 @@ def test_columns_and_rerun(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_odd_columns(spark, docs):
+    """Names with dots and backticks, map columns and columns that hold them go through every stage."""
+    odd = docs.withColumns({"n": F.struct(F.create_map(F.lit("k"), "doc_id").alias("m"))}).withColumn("tags", F.create_map(F.lit("a"), "source")).withColumnRenamed("whole", "a.b").withColumnRenamed("lost", "c`d.e")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns
+        plain = stage(spark, docs, "")
+        assert out.select("doc_id", "text").distinct().count() == plain.select("doc_id", "text").distinct().count() or stage is corpus_pipeline.mix_sources
+        assert out.select("`a.b`", "`c``d.e`", "tags", "n.m").count() == out.count() > 0
