@@ -99,14 +99,14 @@ def f10(spark, d):
     return T.quads(spark, d).select(*KEY, M.pixel_dimensions(dims, F.col("q")).alias("s")).select(*KEY, F.round("s.width", 4).alias("width"), F.round("s.height", 4).alias("height"))
 
 
-def _perspective(focal: str, distance: str) -> str:
+def _perspective(focal: str, distance: str, view: str = "quads", keys: str = "l_orderkey, l_linenumber", digits: int = 3) -> str:
     y = lambda c: c + ("y_" if c == "tr" else "y")
     line = lambda n, a, b: f"{y(a)}-{y(b)} AS {n}a, {b}x-{a}x AS {n}b, {a}x*{y(b)}-{y(a)}*{b}x AS {n}c"
     cross = lambda n, p, q: f"{p}b*{q}c-{p}c*{q}b AS {n}x, {p}c*{q}a-{p}a*{q}c AS {n}y, {p}a*{q}b-{p}b*{q}a AS {n}z"
     place = lambda c: f"scale*({c}x-320)/f/den_{c} AS {c}px, scale*({y(c)}-240)/f/den_{c} AS {c}py, scale/den_{c} AS {c}pz"
     apart = lambda a, b: f"sqrt(({a}px-{b}px)**2+({a}py-{b}py)**2+({a}pz-{b}pz)**2)"
     den = ", ".join(f"nx*({c}x-320)/f+ny*({y(c)}-240)/f+nz AS den_{c}" for c in ("tl", "tr", "br", "bl"))
-    return sql("quads", f""", s1 AS (SELECT *, {line("t", "tl", "tr")}, {line("o", "bl", "br")}, {line("e", "tl", "bl")}, {line("r", "tr", "br")}, {focal} AS given, {distance} AS dist FROM quads),
+    return sql(view, f""", s1 AS (SELECT *, {line("t", "tl", "tr")}, {line("o", "bl", "br")}, {line("e", "tl", "bl")}, {line("r", "tr", "br")}, {focal} AS given, {distance} AS dist FROM {view}),
 s2 AS (SELECT *, {cross("h", "t", "o")}, {cross("k", "e", "r")} FROM s1),
 s3 AS (SELECT *, abs(hz) < 1e-6 OR abs(kz) < 1e-6 AS far, hx/nullif(hz,0)-320 AS v1x, hy/nullif(hz,0)-240 AS v1y, kx/nullif(kz,0)-320 AS v2x, ky/nullif(kz,0)-240 AS v2y FROM s2),
 s4 AS (SELECT *, coalesce(given, CASE WHEN -(v1x*v2x+v1y*v2y) > 0 THEN sqrt(-(v1x*v2x+v1y*v2y)) END) AS f FROM s3),
@@ -116,9 +116,9 @@ s6 AS (SELECT *, abs(mx*nx+my*ny+nz)/sqrt(mx*mx+my*my+1) AS cosine, {den} FROM s
 s7 AS (SELECT *, CASE WHEN given IS NOT NULL AND cosine >= 0.1 THEN dist*cosine END AS known FROM s6),
 s8 AS (SELECT *, coalesce(known, 1.0) AS scale FROM s7),
 s9 AS (SELECT *, {place("tl")}, {place("tr")}, {place("br")}, {place("bl")} FROM s8)
-SELECT l_orderkey, l_linenumber, CASE WHEN usable AND known IS NOT NULL THEN 'Physical' ELSE 'Ratio' END AS kind,
-  round(CASE WHEN usable THEN ({apart("tr", "tl")}+{apart("br", "bl")})/2 / (CASE WHEN known IS NULL THEN ({apart("bl", "tl")}+{apart("br", "tr")})/2 ELSE 1 END) ELSE ({TOP}+{BOTTOM})/2 END, 3) AS width,
-  round(CASE WHEN usable THEN CASE WHEN known IS NULL THEN 1 ELSE ({apart("bl", "tl")}+{apart("br", "tr")})/2 END ELSE ({LEFT}+{RIGHT})/2 END, 3) AS height FROM s9""")
+SELECT {keys}, CASE WHEN usable AND known IS NOT NULL THEN 'Physical' ELSE 'Ratio' END AS kind,
+  round(CASE WHEN usable THEN ({apart("tr", "tl")}+{apart("br", "bl")})/2 / (CASE WHEN known IS NULL THEN ({apart("bl", "tl")}+{apart("br", "tr")})/2 ELSE 1 END) ELSE ({TOP}+{BOTTOM})/2 END, {digits}) AS width,
+  round(CASE WHEN usable THEN CASE WHEN known IS NULL THEN 1 ELSE ({apart("bl", "tl")}+{apart("br", "tr")})/2 END ELSE ({LEFT}+{RIGHT})/2 END, {digits}) AS height FROM s9""")
 
 
 def _dims_out(rows):
@@ -169,6 +169,21 @@ def f8(spark, d):
     return T.page_sizes(spark, d).select("p_partkey", M.page_points(F.col("dims")).alias("s")).select("p_partkey", F.round("s.width", 4).alias("width"), F.round("s.height", 4).alias("height"))
 
 
+def _page_dimensions() -> str:
+    """Perspective with optics, snapped to paper, in points."""
+    steps, _, dims = _perspective("500.0::DOUBLE", "350.0::DOUBLE", "keyed", "o_orderkey", 12).rpartition("\nSELECT ")
+    points = lambda n: f"round({n}*{FIT.format(w='w', h='h')}*72/25.4,3)"
+    return f"""{steps}, dims AS (SELECT {dims}), snapped AS (SELECT o_orderkey, kind, {_snap(True)} AS width, {_snap(False)} AS height FROM (SELECT *, least(width,height) AS a, greatest(width,height) AS b FROM dims))
+SELECT o_orderkey, {points("w")} AS width, {points("h")} AS height FROM (SELECT o_orderkey, width*s AS w, height*s AS h FROM (SELECT *, CASE kind WHEN 'Physical' THEN 1 ELSE 297/greatest(width,height) END AS s FROM snapped))"""
+
+
+@register("k12_page_dimensions", _page_dimensions())
+def k12(spark, d):
+    """Export size of a quad: perspective, snap to paper, in PDF points."""
+    rows = M.with_real_dimensions(T.keyed_quads(spark, d), "q", T.WIDTH, T.HEIGHT, F.lit(500.0), F.lit(350.0))
+    return rows.select("o_orderkey", M.page_points(M.snap_to_format(F.col("dims"))).alias("s")).select("o_orderkey", F.round("s.width", 3).alias("width"), F.round("s.height", 3).alias("height"))
+
+
 @register("f14_rotate_dimensions", sql("sizes", "SELECT p_partkey, kind, CASE WHEN t THEN height ELSE width END AS width, CASE WHEN t THEN width ELSE height END AS height FROM (SELECT *, kind='Physical' AND p_partkey % 4 IN (1,3) AS t FROM sizes)"))
 def f14(spark, d):
     return T.page_sizes(spark, d).select("p_partkey", M.rotate_dimensions(F.col("dims"), ((F.col("p_partkey") % 4) * 90 - 360).cast("int")).alias("s")).select("p_partkey", "s.*")

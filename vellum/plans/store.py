@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vellum.functions import metrology as M
 from vellum.functions import names as N
 from vellum.operators import pages as P
 from vellum.plans.registry import register
@@ -199,10 +198,3 @@ def k1(spark, d):
     """Documents written as versioned JSON and read back strictly, against the files there are; of one in five the JSON is broken."""
     stored = P.write_documents(T.pages(spark, d)).withColumn("json", F.when(F.col("doc") % 5 == 4, F.concat(F.lit("x"), "json")).otherwise(F.col("json")))
     return P.load_documents(stored, T.files(spark, d)).select("doc", "id")
-
-
-@register("k12_page_dimensions")
-def k12(spark, d):
-    """Export size of a quad: perspective, snap to paper, in PDF points."""
-    rows = M.with_real_dimensions(T.keyed_quads(spark, d), "q", T.WIDTH, T.HEIGHT, F.lit(500.0), F.lit(350.0))
-    return rows.select("o_orderkey", M.page_points(M.snap_to_format(F.col("dims"))).alias("s")).select("o_orderkey", F.round("s.width", 3).alias("width"), F.round("s.height", 3).alias("height"))
