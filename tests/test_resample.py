@@ -78,3 +78,14 @@ def test_lab_and_back(spark):
     rows = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(lab)], "i int, l int, a int, b int")
     found = np.array([tuple(r.c) for r in rows.select("i", R.bgr_of_lab(F.col("l"), F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()])
     assert np.abs(found - H.from_lab(lab[None])[0].astype(int)).max() <= 1
+
+
+def test_retinex(spark):
+    """Against numpy, on images of two sizes, one of them without contrast."""
+    images, pixels, sizes = _images(spark, [(31, 20, 0, 0, 0), (12, 9, 0, 0, 0)], 4)
+    flat = pixels.withColumn("v", F.when(F.col("id") == 1, 7.0).otherwise(F.col("v")))
+    windows = R.retinex_windows(F.col("width"), F.col("height"), (8, 4, 2))
+    got = _as_images(R.retinex(flat, sizes, ["id"], "v", windows).toPandas(), 2)
+    log = np.log(images[0] + 1)
+    even = sum(log - H.box_mean(log, max(31 // part, 3) | 1) for part in (8, 4, 2)) / 3
+    assert np.allclose(got[0], (even - even.min()) / (even.max() - even.min()), atol=1e-9) and np.allclose(got[1], 0, atol=1e-6)

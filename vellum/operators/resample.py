@@ -43,6 +43,27 @@ def box_means(pixels: DataFrame, sizes: DataFrame, keys: list[str], value: str,
     return _line_means(rows.join(told, keys), keys, value, "y", "x", F.col("height"), side("height")).select(*keys, "x", "y", value)
 
 
+def retinex_windows(width: Column, height: Column, parts: tuple[int, ...] = (80, 10, 2)) -> list[Column]:
+    """Odd window sizes, 3 or more, as parts of the longer side."""
+    return [F.greatest(F.floor(F.greatest(width, height) / part).cast("int"), F.lit(3)).bitwiseOR(F.lit(1)) for part in parts]
+
+
+def retinex(pixels: DataFrame, sizes: DataFrame, keys: list[str], value: str, windows: list[Column]) -> DataFrame:
+    """``keys, x, y, value``: even lighting, from 0 to 1 in each image.
+
+    Mean, over the windows, of the logarithm of a pixel less that about it; an image without
+    contrast is 0 throughout.
+    """
+    place = [*keys, "x", "y"]
+    rows = pixels.select(*place, F.log(F.col(value) + 1.0).alias("log")).withColumn("even", F.lit(0.0))
+    for window in windows:
+        about = box_means(rows, sizes, keys, "log", window).withColumnRenamed("log", "about")
+        rows = rows.join(about, place).select(*place, "log", (F.col("even") + (F.col("log") - F.col("about")) / len(windows)).alias("even"))
+    ends = rows.groupBy(*keys).agg(F.min("even").alias("low"), F.max("even").alias("high"))
+    span = F.col("high") - F.col("low")
+    return rows.join(ends, keys).select(*place, F.when(span > 1e-6, (F.col("even") - F.col("low")) / span).otherwise(F.col("even") - F.col("low")).alias(value))
+
+
 def area_weights(sizes: DataFrame, keys: list[str], old: str, new: str) -> DataFrame:
     """``keys, at, to, weight``: the parts of old places that each new, wider place covers."""
     scale = F.col(old) / F.col(new)

@@ -28,6 +28,17 @@ def g20_means(spark, d):
     return found.select("vec_id", "x", "y", F.round("b", 4).alias("v"))
 
 
+@register("g20_retinex", sql("pixels", f""", near AS (SELECT a.vec_id, a.x, a.y, avg(ln(n.b + 1.0::DOUBLE)) FILTER (abs(dx) <= 1 AND abs(dy) <= 1) AS m3, avg(ln(n.b + 1.0::DOUBLE)) AS m5 FROM pixels a, range(-2, 3) s(dx), range(-2, 3) t(dy), pixels n
+  WHERE n.vec_id = a.vec_id AND n.x = {MIRROR.format(c='a.x + dx')} AND n.y = {MIRROR.format(c='a.y + dy')} GROUP BY ALL),
+even AS (SELECT vec_id, x, y, ln(b + 1.0::DOUBLE) - (2 * m3 + m5) / 3 AS e FROM pixels JOIN near USING (vec_id, x, y))
+SELECT vec_id, x, y, round((e - min(e) OVER w) / (max(e) OVER w - min(e) OVER w) + 0.00123, 4) AS v FROM even WINDOW w AS (PARTITION BY vec_id)"""))
+def g20_retinex(spark, d):
+    """Lighting made even over windows of an 80th, a 10th and half of the side, 3 pixels at least."""
+    windows = R.retinex_windows(F.col("width"), F.col("height"))
+    found = R.retinex(T.pixels(spark, d), _sizes(spark, d), KEYS, "b", windows)
+    return found.select("vec_id", "x", "y", F.round(F.col("b") + 0.00123, 4).alias("v"))
+
+
 AREA = """, sizes AS (SELECT vec_id, 3 + vec_id % 5 AS w, 2 + vec_id % 4 AS h FROM embeddings),
 wx AS (SELECT vec_id, j, i, greatest(0, least((j + 1) * 8 / w::DOUBLE, i + 1) - greatest(j * 8 / w::DOUBLE, i)) * w / 8.0::DOUBLE AS p FROM sizes, range(7) a(j), range(8) b(i) WHERE j < w),
 wy AS (SELECT vec_id, j, i, greatest(0, least((j + 1) * 8 / h::DOUBLE, i + 1) - greatest(j * 8 / h::DOUBLE, i)) * h / 8.0::DOUBLE AS p FROM sizes, range(5) a(j), range(8) b(i) WHERE j < h)
