@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from vellum.llm.tables import discard, written
 
 #: Bytes of text that a worker aligns at once; links expanded at once; segments and tokens that it keeps.
-SLICE_BYTES, LINKS, KEPT_SEGMENTS, KEPT_TOKENS = 1 << 20, 1 << 21, 200_000, 1 << 21
+SLICE_BYTES, LINKS, KEPT_SEGMENTS, KEPT_TOKENS = 1 << 20, 1 << 21, 300_000, 1 << 22
 #: Distinct pairs that a task holds before it passes them on; salts of a pair; commonest pairs looked up in memory.
 HELD_PAIRS, SALTS, HEAD = 1 << 20, 16, 1 << 18
 
