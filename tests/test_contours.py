@@ -197,3 +197,10 @@ def test_boxes(spark):
     arrays = min_area_rects(rows, ["o_orderkey"], F.array(*G.corners(F.col("q"))), T.WIDTH, T.HEIGHT)
     assert sorted(map(str, listed.collect())) == sorted(map(str, arrays.collect())) and listed.count() == 50
     assert min_area_rects(frame(spark, [np.zeros((2, 2)), np.empty((0, 2))]), ["id"], F.col("points")).count() == 0
+
+
+def test_contours_are_dealt_to_all_cores(spark):
+    """The folds are long work on a small file, which is one row group."""
+    rows = T.contours(spark, SF)
+    assert rows.rdd.getNumPartitions() > 4
+    assert rows.select("c_custkey").distinct().count() == T.table(spark, SF, "customer").count()

@@ -27,6 +27,26 @@ def _at(array: Column, i: Column) -> Column:
     return F.get(array, F.pmod(i, F.size(array)))
 
 
+def _from(array: Column, i) -> Column:
+    """A ring from its element ``i`` on, as a whole: cheaper than to look up each element by a wrapped index."""
+    n = F.size(array)
+    k = F.pmod(i if isinstance(i, Column) else F.lit(i), F.greatest(n, F.lit(1)))
+    return F.concat(F.slice(array, k + 1, n), F.slice(array, F.lit(1), k))
+
+
+def _sums(values: Column, count: int) -> Column:
+    """Sums over ``count`` elements of a ring from each one on, out of sums over powers of two."""
+
+    def wider(s: Column, done: int, left: int) -> Column:  # s: sums over ``done`` elements, whatever remains is added behind
+        if not left:
+            return s
+        if left >= done:
+            return let(F.zip_with(s, _from(s, done), lambda a, b: a + b), lambda t: wider(t, 2 * done, left - done))
+        return let(_sums(values, left), lambda rest: F.zip_with(s, _from(rest, done), lambda a, b: a + b))
+
+    return wider(values, 1, count - 1)
+
+
 def _mean(a: Column, b: Column) -> Column:
     return F.atan2(F.sin(a) + F.sin(b), F.cos(a) + F.cos(b))
 
@@ -45,21 +65,23 @@ def smoothed_angles(points: Column, window: int = WINDOW) -> Column:
     """Direction of a ring at each point, from its neighbours, as circular mean over ``window`` points either way."""
 
     def units(ps: Column) -> Column:
-        angle = lambda i: F.atan2(_at(ps, i + 1)["y"] - _at(ps, i - 1)["y"], _at(ps, i + 1)["x"] - _at(ps, i - 1)["x"])
-        return F.transform(ps, lambda _, i: let(angle(i), lambda a: F.struct(F.cos(a).alias("c"), F.sin(a).alias("s"))))
+        angles = F.zip_with(_from(ps, 1), _from(ps, -1), lambda b, a: F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
+        return let(angles, lambda a: F.struct(F.transform(a, F.cos).alias("c"), F.transform(a, F.sin).alias("s")))
 
     def smooth(us: Column) -> Column:
-        total = lambda i, part: sum((_at(us, i + k)[part] for k in range(1 - window, window + 1)), _at(us, i - window)[part])
-        return F.transform(us, lambda _, i: F.atan2(total(i, "s"), total(i, "c")))
+        wide = F.struct(_sums(us["s"], 2 * window + 1).alias("s"), _sums(us["c"], 2 * window + 1).alias("c"))
+        return let(wide, lambda w: _from(F.zip_with(w["s"], w["c"], F.atan2), -window))
 
-    return let(points, lambda ps: let(units(ps), smooth))
+    return let(let(points, units), smooth)
 
 
 def sharpest_turn(angles: Column) -> Column:
     """The index behind the sharpest turn of a ring of directions; 0 if none turns."""
-    turns = F.transform(angles, lambda a, i: angle_diff(_at(angles, i + 1), a))
-    first = lambda t: F.when(F.array_max(t) > EPSILON, F.array_position(F.transform(t, lambda d: d >= F.array_max(t) - EPSILON), True) % F.size(t)).otherwise(0)
-    return let(turns, lambda t: first(t).cast("int"))
+    turns = F.zip_with(_from(angles, 1), angles, angle_diff)
+    # the maximum is bound: inside the lambda it would be sought again for each point
+    place = lambda k: F.array_position(F.transform(k["t"], lambda d: d >= k["most"] - EPSILON), True) % F.size(k["t"])
+    first = lambda k: F.when(k["most"] > EPSILON, place(k)).otherwise(0)
+    return let(let(turns, lambda t: F.struct(t.alias("t"), F.array_max(t).alias("most"))), lambda k: first(k).cast("int"))
 
 
 def straight_runs(points: Column, angles: Column) -> Column:
@@ -71,30 +93,27 @@ def straight_runs(points: Column, angles: Column) -> Column:
     """
 
     def walk(c: Column) -> Column:
-        ps, angle, first, least = c["points"], c["angles"], c["first"], c["least"]
-        n = F.size(ps)
-        start = F.struct(_at(angle, first).alias("angle"), first.alias("start"), F.lit(0.0).alias("length"), F.array().cast(f"array<{RUN}>").alias("runs"))
-
-        def step(have: Column, s: Column) -> Column:
-            def go(p: Column) -> Column:
-                here = _at(angle, p["i"])
-                stays = (s < n) & (angle_diff(here, have["angle"]) < math.radians(WITHIN) - EPSILON)
-                kept = (p["length"] >= least) & (p["length"] > 0) & (have["start"] != p["i"])
-                closed = F.when(kept, F.concat(have["runs"], F.array(_run(have["start"], p["i"], have["angle"], p["length"])))).otherwise(have["runs"])
-                return F.struct(
-                    F.when(stays, _mean(have["angle"], here)).otherwise(here).alias("angle"),
-                    F.when(stays, have["start"]).otherwise(p["i"]).alias("start"),
-                    F.when(stays, p["length"]).otherwise(0.0).alias("length"),
-                    F.when(stays, have["runs"]).otherwise(closed).alias("runs"),
-                )
-
-            i = F.pmod(first + s, n)
-            length = have["length"] + F.hypot(_at(ps, i)["x"] - _at(ps, i - 1)["x"], _at(ps, i)["y"] - _at(ps, i - 1)["y"])
-            return let(F.struct(i.alias("i"), length.alias("length")), go)
-
-        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda a: a["runs"])
-
-    known = F.struct(points.alias("points"), angles.alias("angles"), sharpest_turn(angles).alias("first"), (perimeter(points) * LEAST_PART).alias("least"))
+        angle, way, first = c["angles"], c["way"], c["first"]
+        n, least = F.size(angle), F.aggregate(F.slice(way, 2, F.size(way)), F.lit(0.0), lambda s, v: s + v) * LEAST_PART
+        start = F.struct(F.lit(0).alias("s"), _at(angle, first).alias("angle"), F.lit(0).alias("start"), F.lit(0.0).alias("length"), F.array().cast(f"array<{RUN}>").alias("runs"))
+        ahead = F.zip_with(_from(angle, first + 1), _from(way, first + 1), lambda a, w: F.struct(a.alias("angle"), w.alias("way")))
+        at = lambda s: F.pmod(first + s, n)
+
+        def go(k: Column) -> Column:
+            def step(have: Column, p: Column) -> Column:
+                s, length = have["s"] + 1, have["length"] + p["way"]
+                stays = (s < k["n"]) & (angle_diff(p["angle"], have["angle"]) < math.radians(WITHIN) - EPSILON)
+                kept = (length >= k["least"]) & (length > 0) & (s - have["start"] < k["n"])
+                closed = F.when(kept, F.concat(have["runs"], F.array(_run(at(have["start"]), at(s), have["angle"], length)))).otherwise(have["runs"])
+                state = lambda angle, start, length, runs: F.struct(s.alias("s"), angle.alias("angle"), start.alias("start"), length.alias("length"), runs.alias("runs"))
+                return F.when(stays, state(_mean(have["angle"], p["angle"]), have["start"], length, have["runs"])).otherwise(state(p["angle"], s, F.lit(0.0), closed))
+
+            return F.aggregate(k["ahead"], start, step, lambda a: a["runs"])
+
+        return let(F.struct(n.alias("n"), least.alias("least"), ahead.alias("ahead")), go)
+
+    way = F.zip_with(points, _from(points, -1), lambda b, a: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    known = F.struct(angles.alias("angles"), way.alias("way"), sharpest_turn(angles).alias("first"))
     return F.when(F.size(points) > 0, let(known, walk)).otherwise(F.array().cast(f"array<{RUN}>"))
 
 

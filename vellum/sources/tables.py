@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores. A file of narrow rows may be one row group and so one task, however much each row costs."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _quad(qty, disc, tax):
     p = lambda x, y: G.point(x.cast("double"), y.cast("double"))
     return G.quad(p(10 + qty, 12 + 200 * disc), p(600 - qty, 10 + 300 * tax), p(620 - 100 * disc, 460 - qty), p(15 + 100 * tax, 450 - 200 * disc))
@@ -47,7 +52,7 @@ def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexagon = F.array(tl, tr, G.point(tr["x"] + 30, F.lit(235.0)), br, bl, G.point(F.lit(2.0), F.lit(230.0)))
     kind = key % 5
     shape = F.when(kind == 1, cut).when(kind == 2, bent).when(kind == 3, hexagon).otherwise(F.array(tl, tr, br, bl))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", shape.alias("c"), F.when(kind == 4, 4).otherwise(48).alias("per"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", shape.alias("c"), F.when(kind == 4, 4).otherwise(48).alias("per"))
     along = lambda a, b, i: F.round(G.lerp(a, b, i / F.col("per").cast("double")))
     side = lambda a, b: F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda i: G.point(along(a["x"], b["x"], i), along(a["y"], b["y"], i)))
     return rows.select("c_custkey", F.flatten(F.transform("c", lambda a, j: side(a, F.get("c", (j + 1) % F.size("c"))))).alias("points"))
