@@ -2,39 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
 
 DEGREES = 90
+TURNS = [(math.cos(math.radians(d)), math.sin(math.radians(d))) for d in range(DEGREES)]
 
 
 def min_area_rects(rows: DataFrame, keys: list[str], points: list[Column] | Column, width=None, height=None) -> DataFrame:
     """``keys, area, degree, corners``: the box of least area about each row's points, the first of equal degrees.
 
-    ``points`` is an array of points, or a list of Columns where their number is fixed. ``keys`` are
-    meant to be unique. Each degree is a row whose box is made of compiled expressions, and the least
-    one is kept in an aggregation whose first half runs where the rows are. Corners are clipped to a width x height
-    image where there is one. Rows of fewer than three points give none.
+    ``points`` is an array of points, or a list of Columns where their number is fixed. All is done in
+    the row: nothing is multiplied, sorted or shuffled. Corners are clipped to a width x height image where there is one. Rows of fewer than three points
+    give none.
     """
-    ring = points if isinstance(points, list) else [points]
-    named = rows.select(*keys, *(p.alias(f"p{i}") for i, p in enumerate(ring)), *((s if isinstance(s, Column) else F.lit(s)).alias(n) for n, s in (("_w", width), ("_h", height)) if s is not None))
-    turned = named.withColumn("degree", F.explode(F.sequence(F.lit(0), F.lit(DEGREES - 1))))
-    turned = turned.withColumns({"cos": F.cos(F.radians("degree")), "sin": F.sin(F.radians("degree"))})
-    cos, sin = F.col("cos"), F.col("sin")
-    along, across = (lambda p: p["x"] * cos - p["y"] * sin), (lambda p: p["x"] * sin + p["y"] * cos)
-    if isinstance(points, list):
-        ps = [F.col(f"p{i}") for i in range(len(ring))]
-        ends = {"x0": F.least(*map(along, ps)), "x1": F.greatest(*map(along, ps)), "y0": F.least(*map(across, ps)), "y1": F.greatest(*map(across, ps))}
-    else:
-        turned = turned.where(F.size("p0") >= 3)
-        ends = {n: f(F.transform("p0", g)) for n, f, g in (("x0", F.array_min, along), ("x1", F.array_max, along), ("y0", F.array_min, across), ("y1", F.array_max, across))}
+    ring = F.array(*points) if isinstance(points, list) else points  # an array is made once, where single points would be put into the lambda
+    named = rows.select(*keys, ring.alias("p"), *((s if isinstance(s, Column) else F.lit(s)).alias(n) for n, s in (("_w", width), ("_h", height)) if s is not None)).where(F.size("p") >= 3)
+    ends = lambda f, at: f(F.transform("p", at))
+
+    def sides(cos: Column, sin: Column) -> dict[str, Column]:
+        along, across = (lambda p: p["x"] * cos - p["y"] * sin), (lambda p: p["x"] * sin + p["y"] * cos)
+        return {"x0": ends(F.array_min, along), "x1": ends(F.array_max, along), "y0": ends(F.array_min, across), "y1": ends(F.array_max, across)}
+
+    def area(s: dict[str, Column]) -> Column:
+        return (s["x1"] - s["x0"]) * (s["y1"] - s["y0"])
+
+    areas = F.transform(F.array(*(F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in TURNS)), lambda t: area(sides(t["c"], t["s"])))
     size = [c for c in ("_w", "_h") if c in named.columns]
-    boxes = turned.select(*keys, *size, "degree", *(e.alias(n) for n, e in ends.items()))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    best = boxes.groupBy(*keys, *size).agg(F.min(F.struct(area.alias("area"), "degree", "x0", "x1", "y0", "y1")).alias("b")).select(*keys, *size, "b.*")
-    c, s = F.cos(F.radians("degree")), F.sin(F.radians("degree"))
+    first = F.coalesce(F.array_position("areas", F.array_min("areas")), F.lit(1)) - 1
+    turned = named.withColumn("areas", areas).withColumn("degree", first.cast("int"))
+    turned = turned.withColumns({"c": F.get(F.array(*(F.lit(c) for c, _ in TURNS)), "degree"), "s": F.get(F.array(*(F.lit(s) for _, s in TURNS)), "degree")})
+    best = turned.select(*keys, *size, "degree", "c", "s", *(e.alias(n) for n, e in sides(F.col("c"), F.col("s")).items()))
     clip = lambda v, n: F.greatest(F.lit(0.0), F.least(F.col(n) - 1.0, v)) if n in size else v
-    back = lambda x, y: G.point(clip(F.col(x) * c + F.col(y) * s, "_w"), clip(F.col(y) * c - F.col(x) * s, "_h"))
-    return best.select(*keys, "area", "degree", F.array(back("x0", "y0"), back("x1", "y0"), back("x1", "y1"), back("x0", "y1")).alias("corners"))
+    back = lambda x, y: G.point(clip(F.col(x) * F.col("c") + F.col(y) * F.col("s"), "_w"), clip(F.col(y) * F.col("c") - F.col(x) * F.col("s"), "_h"))
+    return best.select(*keys, area({n: F.col(n) for n in ("x0", "x1", "y0", "y1")}).alias("area"), "degree", F.array(back("x0", "y0"), back("x1", "y0"), back("x1", "y1"), back("x0", "y1")).alias("corners"))

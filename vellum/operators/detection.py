@@ -111,7 +111,7 @@ def document_quads(masks: DataFrame, id_col: str, live: bool = False) -> DataFra
     if not live:
         rest = masks.join(found.select(id_col), id_col, "left_anti")
         hulls = largest_contours(rest, id_col).select(id_col, K.convex_hull(F.col("points")).alias("points"))
-        sizes = rest.select(id_col, "width", "height")
+        sizes = rest.select(id_col, "width", "height").distinct()
         boxes = min_area_rects(hulls.join(sizes, id_col), [id_col, "width", "height"], F.col("points"), *sides())
         found = found.unionByName(boxes.select(id_col, F.col("corners").alias("points")))
     return masks.select(id_col).join(found, id_col, "left").select(id_col, G.create_quad(F.col("points")).alias("q"))

@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` dealt to all cores. A file of narrow rows may be one row group and so one task, however much each row costs."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def _quad(qty, disc, tax):
@@ -36,8 +36,12 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyed_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``o_orderkey, q``: one quad for each order."""
+    return quads_of_keys(table(spark, sf_dir, "orders").select("o_orderkey"))
+
+
+def quads_of_keys(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", _quad((key % 50 + 1).cast("double"), (key % 11) / 100.0, (key % 9) / 100.0).alias("q"))
+    return orders.select("o_orderkey", _quad((key % 50 + 1).cast("double"), (key % 11) / 100.0, (key % 9) / 100.0).alias("q"))
 
 
 def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
