@@ -10,7 +10,7 @@ from vellum.functions import geometry as G
 from vellum.operators import borders as B
 from vellum.operators import detection as S
 from vellum.operators.boxes import min_area_rects
-from vellum.plans import QUERIES
+from vellum.plans import QUERIES, SQL
 from vellum.plans import contour_queries as Q
 from vellum.sources import tables as T
 
@@ -204,3 +204,28 @@ def test_contours_are_dealt_to_all_cores(spark):
     rows = T.contours(spark, SF)
     assert rows.rdd.getNumPartitions() > 4
     assert rows.select("c_custkey").distinct().count() == T.table(spark, SF, "customer").count()
+
+
+def test_boxes_are_found_in_their_rows(spark):
+    """No row for each degree, and nothing sorted or shuffled: those filled disks."""
+    rows = T.keyed_quads(spark, SF)
+    for points in (G.corners(F.col("q")), F.array(*G.corners(F.col("q")))):
+        plan = min_area_rects(rows, ["o_orderkey"], points, T.WIDTH, T.HEIGHT)._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Generate", "Sort", "Exchange", "Aggregate"))
+
+
+def test_hulls_as_in_sql(spark, tmp_path):
+    """Products in single precision, triangles in turning order, lines, lone points, ids that come twice, nulls."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(7)
+    near = np.float32(rng.integers(1, 60, 4000) / np.float32(60))
+    near = np.concatenate([near, np.nextafter(near, np.float32(0))])
+    odd = near[np.floor(near * np.float32(60)) != np.floor(near.astype(np.float64) * 60)]
+    assert len(odd)
+    rows = [(1, [float(odd[0]), 0.0, 0.0, 0.0, 0.0, 1.0, 0.2, 0.9, -0.3, 0.1]), (2, [0.5] * 64), (3, [0.0, 0.0, 0.1, 0.9, 0.8, 0.1]), (4, [0.0, 0.0, 0.5, 0.5, 1.0, 1.0]), (5, [0.1, 0.1]), (5, [0.9, 0.2, 0.3, 0.8]), (6, [0.1, None, 0.5, 0.5, 0.2, 0.9, 0.8, 0.8])]
+    rows += [(10 + i, [float(v) for v in rng.standard_normal(12).astype(np.float32)]) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["f21_convex_hull"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(SQL["f21_convex_hull"]).fetchall())

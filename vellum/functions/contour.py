@@ -185,10 +185,10 @@ def _left(o: Column, a: Column, b: Column) -> Column:
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"]) > 0
 
 
-def convex_hull(points: Column) -> Column:
-    """Corners of the convex hull, from the least (x, y) on, each turn of positive sense.
+def hull_ring(points: Column) -> Column:
+    """Corners of the convex hull as ends of its edges, from the least (x, y) on, each turn of positive sense.
 
-    Points on its edges are no corners. Three distinct points or fewer come back in order.
+    Points on its edges are no corners; a line has its two ends, a lone point no edge.
     """
 
     def chain(sorted_: Column) -> Column:
@@ -198,7 +198,11 @@ def convex_hull(points: Column) -> Column:
             return F.when(F.size(stack) < 2, F.concat(stack, F.array(p))).otherwise(F.concat(F.slice(stack, F.lit(1), F.coalesce(F.array_max(keep), F.lit(1))), F.array(p)))
 
         none = F.filter(sorted_, lambda _: F.lit(False))
-        return let(F.aggregate(sorted_, none, push), lambda s: F.slice(s, 1, F.size(s) - 1))
+        return let(F.aggregate(sorted_, none, push), lambda s: F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+
+    return let(F.array_sort(F.array_distinct(points)), lambda ps: F.concat(chain(ps), chain(F.reverse(ps))))
 
-    whole = lambda ps: F.when(F.size(ps) > 3, F.concat(chain(ps), chain(F.reverse(ps)))).otherwise(ps)
-    return let(F.array_sort(F.array_distinct(points)), whole)
+
+def convex_hull(points: Column) -> Column:
+    """:func:`hull_ring` of more than three distinct points; three or fewer come back in order."""
+    return let(F.array_sort(F.array_distinct(points)), lambda ps: F.when(F.size(ps) > 3, hull_ring(ps)).otherwise(ps))
