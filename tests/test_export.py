@@ -50,3 +50,11 @@ def test_jpeg_is_read_by_spark(spark, tmp_path):
     (tmp_path / "noise.jpg").write_bytes(J.jpeg_bytes(noise, 100))
     got = F_images.images(spark, str(tmp_path)).where("name = 'noise.jpg'").first()
     assert np.abs(np.frombuffer(bytes(got.data), np.uint8).reshape(16, 24, 3).astype(int) - noise).mean() < 3
+
+
+def test_documents_are_shuffled_once(spark):
+    """As texts, by document; words, which are several times as large, and pages stay where they are."""
+    from vellum.plans import QUERIES
+
+    plan = QUERIES["b2_pdf_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1

@@ -16,7 +16,9 @@ from vellum.sources import tables as T
 @register("b2_pdf_documents")
 def b2(spark, d):
     """Documents of text pages: 600 words on each A4 page."""
-    words = T.words(spark, d).where("confidence > 50").withColumn("position", F.floor(F.col("pos") / 600).cast("long"))
+    # texts are dealt by document before they are split: words and pages then stay where they are
+    documents = T.spread(T.table(spark, d, "documents").select("doc_id", "text"), "doc_id", parts=16)
+    words = T.words_of(documents).where("confidence > 50").withColumn("position", F.floor(F.col("pos") / 600).cast("long"))
     shift = F.col("position") * 2000
     words = words.withColumns({"doc": F.col("doc_id"), "line_bottom": F.col("line_bottom") - shift})
     pages = E.text_layer(words, ["doc", "position"], 1000, 2100, 595.0, 842.0)

@@ -18,9 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` dealt to all cores. A file of narrow rows may be one row group and so one task, however much each row costs."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+def spread(rows: DataFrame, *keys: str, parts: int = 4) -> DataFrame:
+    """``rows`` dealt to all cores, ``parts`` tasks each. A file of narrow rows may be one row group and so one task, however much each row costs."""
+    return rows.repartition(parts * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def _quad(qty, disc, tax):
@@ -113,7 +113,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, pos, word`` and its box: the words of every document, on lines of twelve."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \n\t]+")).alias("pos", "word")).where("word <> ''")
+    return words_of(table(spark, sf_dir, "documents"))
+
+
+def words_of(documents: DataFrame) -> DataFrame:
+    rows = documents.select("doc_id", F.posexplode(F.split("text", r"[ \n\t]+")).alias("pos", "word")).where("word <> ''")
     left, top = 20 + (F.col("pos") % 12) * 80, 30 + F.floor(F.col("pos") / 12).cast("int") * 40
     return rows.select(
         "doc_id", "pos", "word", left.alias("left"), top.alias("top"), (left + F.least(F.length("word") * 7, F.lit(75))).alias("right"), (top + 24).alias("bottom"),
