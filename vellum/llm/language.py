@@ -30,6 +30,8 @@ TRAIN_ROWS = 1_000
 LABELS, DISTINCT = 48, 0.1
 #: Trigrams overlap: a text counts as if it had at most so many independent ones.
 MOST_EVIDENCE = 40.0
+#: Bytes of text that go to Python at once: JVM and worker hold several copies of a batch.
+BATCH_BYTES = 4 << 20
 #: Probability that a declared language is right; weight of the wider prior, in rows.
 RELIABILITY, SMOOTHING = 0.9, 20.0
 #: A text whose mean log-likelihood per trigram is further below its language's than MARGIN and
@@ -177,22 +179,21 @@ def _alike(counts: DataFrame, left: DataFrame, languages: list[str], tables: lis
 
 
 def _likelihoods(model: Model):
+    """A text column's ``n`` trigrams and their log-likelihood under each language. Python gets the texts alone."""
     tables = model.log  # not the labels, which are a DataFrame
+    kind = T.StructType().add("n", "long").add("sums", T.ArrayType(T.DoubleType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, sums = [], []
-            for text in batch.column("text").cast(pa.large_binary()):
-                codes = _trigrams(_bytes(text.as_py()))
-                blank = text.as_py() is None or not text.as_py().strip()
-                sizes.append(0 if blank else len(codes))
-                sums.append([0.0] * len(tables) if blank else [float(t[codes].sum()) for t in tables])
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=[*names, "n", "sums"]
-            )
+    def run(texts: pa.Array) -> pa.Array:
+        sizes, sums = [], []
+        for text in texts.cast(pa.large_binary()):
+            raw = text.as_py()
+            codes = _trigrams(_bytes(raw))
+            blank = raw is None or not raw.strip()
+            sizes.append(0 if blank else len(codes))
+            sums.append([0.0] * len(tables) if blank else [float(t[codes].sum()) for t in tables])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names=["n", "sums"])
 
-    return run
+    return F.arrow_udf(run, kind)
 
 
 def _best(scores: Column) -> Column:
@@ -221,10 +222,10 @@ def identify(rows: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     Rows may repeat; each gets a result. A declaration counts by its part before the first - or _.
     """
     keep, size = keep or [], len(model.languages)
-    (label,) = unused_names(rows, "label")
+    label, found = unused_names(rows, "label", "found")
     source = rows.select("id", *keep, declared_language(F.col("lang")).alias(label), "host", "suffix", F.col("text").cast("string").alias("text"))
-    schema = T.StructType([c for c in source.schema if c.name != "text"]).add("n", "long").add("sums", T.ArrayType(T.DoubleType()))
-    scored = written(source.mapInArrow(_likelihoods(model), schema).withColumn("vote", F.when(F.col("n") > 0, _best(F.col("sums")))), "likelihoods")
+    scored = source.withColumn(found, _likelihoods(model)("text")).select(*(c for c in source.columns if c != "text"), f"{found}.n", f"{found}.sums")
+    scored = written(scored.withColumn("vote", F.when(F.col("n") > 0, _best(F.col("sums")))), "likelihoods", BATCH_BYTES)
     labels = model.labels
     if labels is None:
         labels = rows.sparkSession.createDataFrame(list(zip(model.languages, range(size), strict=True)), "label string, declared int")

@@ -13,6 +13,9 @@ LOCAL_DIR = "/tmp/vellum-shared"
 #: Whether the shuffle files of a query go when it ends; else they stay until the driver happens to collect its garbage.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes at which Spark closes an Arrow batch for Python.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: spark.checkpoint.dir, which only a local session may lack."""
@@ -23,20 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/vellum-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a reader of it.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation. The shuffle files
-    of the write are removed with it, as nothing reads them again; the session's setting stays.
+    of the write are removed with it, as nothing reads them again. ``batch_bytes`` is the size at which
+    a batch for Python is closed. The session's settings stay.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    freed = spark.conf.get(FREED, "false")
-    spark.conf.set(FREED, "true")
+    settings = {FREED: "true"} | ({BATCH: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(FREED, freed)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
