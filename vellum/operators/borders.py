@@ -1,74 +1,39 @@
-"""Edges and borders of masks: gradients as array projections, connectivity and order by joins.
+"""Edges and borders of masks: crests of the gradient that hang together, and the rings about their pixels.
 
-A pixel of an edge is a row. Weak crests stay if they hang together with a strong one: smallest
-labels spread to neighbours, hook roots to smaller ones and are followed by pointer jumping, a round
-for all images at once. Borders are followed along the cracks between pixels inside and outside:
-each crack has one successor, and pointer doubling finds every crack's border and its place on it in
-as many rounds as the logarithm of the longest border.
+Within its row an image is one of a stack (:mod:`vellum.functions.stacks`), so nothing is shuffled and no
+round goes over all images. Pixels in long form are gathered by image to follow their borders; which
+of them hang together is also told without gathering, by smallest labels that spread to neighbours, hook
+roots to smaller ones and are followed by pointer jumping.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry as G
+from vellum.functions import stacks as K
+from vellum.functions.stacks import AROUND, SHIFT
 from vellum.operators.lineage import fingerprint, settled
-from vellum.operators.rasters import each_pixel
-
-#: Thresholds of the gradient.
-LOW, HIGH = 75, 200
-#: Steps right, down, left, up, and their diagonals; a place is y * 2 ** SHIFT + x.
-STEPS, SHIFT = ((1, 0), (0, 1), (-1, 0), (0, -1)), 20
-AROUND = tuple((dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
-_BIT = {step: k for k, step in enumerate(AROUND)}
 
 
 def _place(x: Column, y: Column) -> Column:
     return F.shiftleft(y.cast("long"), SHIFT) + x
 
 
-def with_crests(images: DataFrame, column: str, width: Column, height: Column, name: str = "crest") -> DataFrame:
-    """Crests of the gradient of an image in a row: an array of 0, 1 where above LOW, 2 where above HIGH.
-
-    The image goes on with its border pixels. Across a crest the gradient falls on one side and doesn't rise on
-    the other, by direction in four sectors.
-    """
-    v = F.col(column)
-
-    def gradient(x: Column, y: Column, _) -> Column:
-        def of(ring: Column) -> Column:
-            at = lambda dx, dy: F.get(v, ring["y"][dy + 1] + ring["x"][dx + 1])
-            gx = 2 * (at(1, 0) - at(-1, 0)) + at(1, 1) - at(-1, 1) + at(1, -1) - at(-1, -1)
-            gy = 2 * (at(0, 1) - at(0, -1)) + at(1, 1) - at(1, -1) + at(-1, 1) - at(-1, -1)
-            return F.struct(gx.alias("x"), gy.alias("y"))
-
-        xs = F.array(F.greatest(F.lit(0), x - 1), x, F.least(x + 1, width - 1))
-        ys = F.array(F.greatest(F.lit(0), y - 1) * width, y * width, F.least(y + 1, height - 1) * width)
-        return G.let(F.struct(xs.alias("x"), ys.alias("y")), of)
+def _pixel(at: Column) -> tuple[Column, Column]:
+    return at.bitwiseAND(2**SHIFT - 1).cast("int").alias("x"), F.shiftright(at, SHIFT).cast("int").alias("y")
 
-    def crests(g: Column) -> Column:
-        def crest(x: Column, _, place: Column) -> Column:
-            def of(p: Column) -> Column:
-                size = F.abs(p["x"]) + F.abs(p["y"])
 
-                def at(dx: int, dy: int) -> Column:  # beyond the border there is no gradient
-                    there = G.let(F.get(g, place + dy * width + dx), lambda q: F.abs(q["x"]) + F.abs(q["y"]))
-                    return F.coalesce(there if dx == 0 else F.when(x < width - dx if dx > 0 else x >= -dx, there), F.lit(0))
-
-                tops = lambda dx, dy: (size > at(-dx, -dy)) & (size >= at(dx, dy))
-                flat, steep = F.abs(p["y"]) < math.tan(math.pi / 8) * F.abs(p["x"]), F.abs(p["y"]) > math.tan(3 * math.pi / 8) * F.abs(p["x"])
-                falling = (p["x"] < 0) == (p["y"] < 0)
-                top = F.when(size <= LOW, False).when(flat, tops(1, 0)).when(steep, tops(0, 1)).when(falling, tops(1, 1)).otherwise(tops(-1, 1))
-                return F.when(~top, 0).when(size > HIGH, 2).otherwise(1)
-
-            return G.let(F.get(g, place), of)
+def with_crests(images: DataFrame, column: str, width: Column, height: Column, name: str = "crest") -> DataFrame:
+    """Crests of the gradient of an image in a row: an array of 0, 1 where above LOW, 2 where above HIGH."""
+    return images.withColumn(name, K.filtered(F.col(column), width, height, K.crests))
 
-        return each_pixel(width, height, crest)
 
-    return images.withColumn(name, G.let(each_pixel(width, height, gradient), crests))
+def pixels_at(images: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """``keys, x, y`` of the pixels at an array of places."""
+    rows = images.withColumn("_at", at)
+    return rows.select(*keys, F.explode("_at").alias("at")).select(*keys, *_pixel(F.col("at")))
 
 
 def connected(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,37 +50,12 @@ def connected(pixels: DataFrame, keys: list[str]) -> DataFrame:
         moved = settled(seen.join(hooked, [*keys, "label"]).select(*keys, "at", F.col("root").alias("label")))
         jump = moved.select(*keys, F.col("at").alias("label"), F.col("label").alias("root"))
         labels = settled(moved.join(jump, [*keys, "label"]).select(*keys, "at", F.col("root").alias("label")))
-    at = F.col("at")
-    return labels.select(*keys, at.bitwiseAND(2**SHIFT - 1).cast("int").alias("x"), F.shiftright(at, SHIFT).cast("int").alias("y"), "label")
+    return labels.select(*keys, *_pixel(F.col("at")), "label")
 
 
 def edge_pixels(images: DataFrame, keys: list[str], width: Column) -> DataFrame:
     """``keys, x, y``: pixels of the crests that hang together with one above HIGH; of :func:`with_crests` images."""
-    # written first: a filter on exploded values would be pushed through every projection that made the array
-    whole = settled(images.select(*keys, width.alias("w"), "crest"))
-    rows = whole.select(*keys, "w", F.posexplode("crest").alias("i", "c")).where("c > 0")
-    rows = settled(rows.select(*keys, (F.col("i") % F.col("w")).alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("c") == 2).alias("strong")))
-    labels = connected(rows, keys)
-    strong = labels.join(rows.where("strong"), [*keys, "x", "y"], "left_semi").select(*keys, "label").distinct()
-    return labels.join(strong, [*keys, "label"], "left_semi").select(*keys, "x", "y")
-
-
-def cracks(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, e, next``: the sides of pixels that face outside, as numbers, and the side that follows.
-
-    A side is 4 * place + direction, with the pixel to the right of it. Diagonal neighbours hang together.
-    """
-    around = F.explode(F.array(*(F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(1 << k).alias("bit")) for k, (dx, dy) in enumerate(AROUND))))
-    told = pixels.select(*keys, "x", "y", around.alias("a")).select(*keys, (F.col("x") + F.col("a.dx")).alias("x"), (F.col("y") + F.col("a.dy")).alias("y"), "a.bit")
-    inside = told.groupBy(*keys, "x", "y").agg(F.bit_or("bit").alias("bits")).where(F.col("bits").bitwiseAND(1 << _BIT[0, 0]) > 0)
-    has = lambda dx, dy: F.col("bits").bitwiseAND(1 << _BIT[dx, dy]) > 0
-    side = lambda dx, dy, d: 4 * _place(F.col("x") + dx, F.col("y") + dy) + d % 4
-    sides = []
-    for d, (ax, ay) in enumerate(STEPS):
-        lx, ly = STEPS[d - 1]
-        follows = F.when(has(ax + lx, ay + ly), side(ax + lx, ay + ly, d - 1)).when(has(ax, ay), side(ax, ay, d)).otherwise(side(0, 0, d + 1))
-        sides.append(F.when(~has(lx, ly), F.struct(side(0, 0, d).alias("e"), follows.alias("next"))))
-    return inside.select(*keys, F.explode(F.array(*sides)).alias("s")).where("s is not null").select(*keys, "s.e", "s.next")
+    return pixels_at(images, keys, K.places(F.col("crest"), width, (F.size("crest") / width).cast("int"), K.kept))
 
 
 def borders(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,20 +63,8 @@ def borders(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
     A ring begins with its first side in reading order; a pixel follows itself only once.
     """
-    now = settled(cracks(pixels, keys).withColumns({"least": F.col("e"), "steps": F.lit(0).cast("long")}))
-    span, before = 1, None
-    while before != (before := fingerprint(now, "least")):
-        ahead = now.select(*keys, F.col("e").alias("next"), F.col("next").alias("after"), F.col("least").alias("far"), F.col("steps").alias("far_steps"))
-        nearer = F.col("far") < F.col("least")
-        both = now.join(ahead, [*keys, "next"])
-        now = settled(both.select(*keys, "e", F.col("after").alias("next"), F.least("least", "far").alias("least"), F.when(nearer, F.col("far_steps") + span).otherwise(F.col("steps")).alias("steps")))
-        span *= 2
-    turn = F.when(F.col("steps") == 0, -(2**62)).otherwise(-F.col("steps"))
-    rings = now.groupBy(*keys, F.col("least").alias("border")).agg(F.array_sort(F.collect_list(F.struct(turn.alias("turn"), F.shiftright("e", 2).alias("at")))).alias("ring"))
-    fresh = lambda r: F.filter(r, lambda p, i: (F.size(r) == 1) | (p["at"] != F.get(r, F.pmod(i - 1, F.size(r)))["at"]))
-    point = lambda p: G.point(p["at"].bitwiseAND(2**SHIFT - 1).cast("double"), F.shiftright(p["at"], SHIFT).cast("double"))
-    lone = lambda r: F.when(F.forall(r, lambda p: p["at"] == F.get(r, F.lit(0))["at"]), F.slice(r, 1, 1)).otherwise(fresh(r))
-    return rings.select(*keys, "border", F.transform(G.let(F.col("ring"), lone), point).alias("points"))
+    images = pixels.groupBy(*keys).agg(F.collect_set(_place(F.col("x"), F.col("y"))).alias("at"))
+    return images.withColumn("rings", K.rings(F.col("at"))).select(*keys, F.inline("rings"))
 
 
 def ring_area(points: Column) -> Column:
@@ -146,8 +74,7 @@ def ring_area(points: Column) -> Column:
     return F.abs(F.aggregate(twice, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
-def largest_borders(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, points, area``: the border of the largest area in each image, the first of equals; none without area."""
-    rows = borders(pixels, keys).withColumn("area", ring_area(F.col("points"))).where("area > 0")
-    best = F.max_by(F.struct("points", "area"), F.struct(F.col("area"), -F.col("border")))
-    return rows.groupBy(*keys).agg(best.alias("best")).select(*keys, "best.*")
+def largest_border(rings: Column) -> Column:
+    """``area, points`` of the ring of the largest area, the first of equals; null where none has an area."""
+    sized = F.transform(rings, lambda r: F.struct(ring_area(r["points"]).alias("area"), (-r["border"]).alias("last"), r["points"].alias("points")))
+    return G.let(F.array_max(sized), lambda best: F.when(best["area"] > 0, F.struct(best["area"].alias("area"), best["points"].alias("points"))))

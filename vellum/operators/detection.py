@@ -1,8 +1,8 @@
-"""Document quads in segmentation masks, of any sizes: projections of arrays, joins and aggregations.
+"""Document quads in segmentation masks, of any sizes: projections of arrays, and one aggregation.
 
-A mask is one row, its probabilities a row-major array. Thresholds are rows; blurs, morphology and
-gradients are projections; edges and borders are found by :mod:`vellum.operators.borders` for all
-images at once; sides and corners are folds over a border. Spark filters invalid quads and picks the best.
+A mask is one row, its probabilities a row-major array. Thresholds are rows; blurs, morphology, gradients,
+edges and borders are worked out in the row, for the masks of an Arrow batch at once; sides and corners are
+folds over a border. Nothing is shuffled but the quads found. Spark filters invalid quads and picks the best.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import contour as K
 from vellum.functions import geometry as G
+from vellum.functions import stacks as P
 from vellum.operators import borders as B
-from vellum.operators import rasters as R
 from vellum.operators.boxes import min_area_rects
 from vellum.operators.lineage import settled
 
@@ -25,12 +25,6 @@ def sides() -> tuple[Column, Column]:
     return F.col("width"), F.col("height")
 
 
-def _blurred(images: DataFrame, column: str, size: int) -> DataFrame:
-    """Gaussian blur, rounded to whole values."""
-    rows = R.gaussian(images, column, size, *sides())
-    return rows.withColumn(column, F.transform(column, lambda e: F.floor(e + 0.5).cast("int")))
-
-
 def _usable(masks: DataFrame) -> DataFrame:
     return masks.where("size(mask) = width * height and size(mask) > 0")
 
@@ -39,45 +33,33 @@ def _grays(p: Column) -> Column:
     return F.transform(p, lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.rint(e * 255).cast("int"))))
 
 
-def edges(images: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, x, y``: the edge pixels of images ``keys, gray, width, height``, refined as masks and blurred."""
-    rows = _blurred(R.refined_mask(images, "gray", *sides()), "gray", 5)
-    return B.edge_pixels(B.with_crests(rows, "gray", *sides()), keys, F.col("width"))
+def edges(gray: Column, limit: Column | None = None) -> Column:
+    """Places of the edge pixels of a grey image, refined as a mask and blurred; with a limit, of what lies above it."""
+    return P.places(gray, *sides(), P.refined, P.blurred(5), P.crests, P.kept, limit=limit)
+
+
+def _grayed(masks: DataFrame, *columns: str) -> DataFrame:
+    return _usable(masks).select(*columns, "width", "height", _grays(F.col("mask")).alias("gray"))
+
+
+def _largest(masks: DataFrame, id_col: str) -> DataFrame:
+    rows = _grayed(masks, id_col).withColumn("rings", P.rings(edges(F.col("gray"))))
+    return rows.select(id_col, "width", "height", B.largest_border(F.col("rings")).alias("best")).where("best is not null").select(id_col, "width", "height", "best.*")
 
 
 def largest_contours(masks: DataFrame, id_col: str) -> DataFrame:
     """``id, points, area`` of ``id, mask, width, height``: the largest border about each mask's edges; none without area."""
-    rows = _usable(masks).select(id_col, "width", "height", _grays(F.col("mask")).alias("gray"))
-    return B.largest_borders(edges(rows, [id_col]), [id_col])
+    return _largest(masks, id_col).select(id_col, "points", "area")
 
 
 def edge_pixels(masks: DataFrame, id_col: str) -> DataFrame:
     """``id, x, y`` of ``id, mask, width, height``: the edge pixels of each refined, blurred mask."""
-    return edges(_usable(masks).select(id_col, "width", "height", _grays(F.col("mask")).alias("gray")), [id_col])
+    return B.pixels_at(_grayed(masks, id_col), [id_col], edges(F.col("gray")))
 
 
 def quad_score(mask: Column, width: Column, points: Column) -> Column:
     """Mean probability in a quad of whole corners, its sides included, favouring area; 0 where it is tiny."""
-
-    def scored(corners: Column) -> Column:
-        ring = [F.get(corners, F.lit(i)) for i in range(4)]
-        lines = list(zip(ring, [*ring[1:], ring[0]], strict=True))
-
-        def inside(x: Column, y: Column) -> Column:
-            odd, on = F.lit(False), F.lit(False)
-            for a, b in lines:
-                turn = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
-                on = on | ((turn == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])))
-                odd = odd != (((a["y"] <= y) != (b["y"] <= y)) & ((turn < 0) == (b["y"] > a["y"])))
-            return odd | on
-
-        add = lambda s, e: F.struct((s["n"] + F.when(e["in"], 1).otherwise(0)).alias("n"), (s["p"] + F.when(e["in"], e["p"]).otherwise(0.0)).alias("p"))
-        marked = F.transform(mask, lambda p, i: F.struct(inside(i % width, F.floor(i / width)).alias("in"), p.alias("p")))
-        share = lambda s: s["n"] / F.size(mask)
-        return F.aggregate(marked, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("p")), add, lambda s: F.when(share(s) < LEAST_AREA, 0.0).otherwise(s["p"] / s["n"] * (0.7 + 0.3 * share(s))))
-
-    whole = F.transform(points, lambda p: G.point((p["x"] + 1e-9).cast("int"), (p["y"] + 1e-9).cast("int")))
-    return G.let(whole, scored)
+    return G.let(P.quad_means(mask, width, points), lambda s: F.when(s["share"] < LEAST_AREA, 0.0).otherwise(s["mean"] * (0.7 + 0.3 * s["share"])))
 
 
 def best_quads(masks: DataFrame, id_col: str, thresholds: tuple[float, ...] = STILL) -> DataFrame:
@@ -86,20 +68,20 @@ def best_quads(masks: DataFrame, id_col: str, thresholds: tuple[float, ...] = ST
     ``masks``: id, mask, width, height, and the photo's image_width and image_height, which a quad's
     corners must lie in. Masks without such a quad have no row.
     """
-    usable = settled(_usable(masks).select(id_col, "mask", "width", "height", "image_width", "image_height"))
-    blurred = _blurred(usable.withColumn("gray", _grays(F.col("mask"))), "gray", 3)
-    tried = blurred.withColumn("t", F.explode(F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(t * 255).alias("limit")) for i, t in enumerate(thresholds)))))
-    tried = tried.select(id_col, "t.nth", "width", "height", F.transform("gray", lambda e: F.when(e > F.col("t.limit"), 255).otherwise(0)).alias("gray"))
-    tried = R.closed(tried, "gray", R.ellipse(5), *sides())
-    rings = B.largest_borders(edges(tried, [id_col, "nth"]), [id_col, "nth"]).join(usable, id_col)
+    photo_columns = (id_col, "mask", "image_width", "image_height")
+    blurred = _grayed(masks, *photo_columns).withColumn("gray", P.filtered(F.col("gray"), *sides(), P.blurred(3)))
+    limits = F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(t * 255).alias("limit")) for i, t in enumerate(thresholds)))
+    tried = blurred.withColumn("t", F.explode(limits)).withColumn("rings", P.rings(edges(F.col("gray"), F.col("t.limit"))))
+    rings = tried.select(*photo_columns, "t.nth", "width", "height", B.largest_border(F.col("rings"))["points"].alias("points"))
     across, down = F.col("image_width") / F.col("width"), F.col("image_height") / F.col("height")
     photo = F.transform("points", lambda p: G.point(p["x"] * across, p["y"] * down))
-    found = rings.select(id_col, "nth", "mask", "width", "image_width", "image_height", across.alias("across"), down.alias("down"), K.quad_of_contour(photo).alias("photo"))
+    found = rings.select(*photo_columns, "nth", "width", across.alias("across"), down.alias("down"), K.quad_of_contour(photo).alias("photo"))
     found = found.withColumn("points", F.transform("photo", lambda p: G.point(p["x"] / F.col("across"), p["y"] / F.col("down"))))
+    # filtered after the score, as Spark would copy the folds over borders into each filter before it
+    scored = found.withColumn("score", quad_score(F.col("mask"), F.col("width"), F.col("points")))
     valid = F.forall("points", lambda p: p["x"].between(0, F.col("image_width")) & p["y"].between(0, F.col("image_height")))
-    scored = found.where("points is not null").where(valid).select(id_col, "nth", "points", quad_score(F.col("mask"), F.col("width"), F.col("points")).alias("score"))
     best = F.max_by(F.struct("points", "score"), F.struct("score", -F.col("nth")))
-    return scored.where("score > 0").groupBy(id_col).agg(best.alias("best")).select(id_col, "best.*")
+    return scored.where("points is not null and score > 0").where(valid).groupBy(id_col).agg(best.alias("best")).select(id_col, "best.*")
 
 
 def document_quads(masks: DataFrame, id_col: str, live: bool = False) -> DataFrame:
@@ -110,8 +92,7 @@ def document_quads(masks: DataFrame, id_col: str, live: bool = False) -> DataFra
     found = settled(best_quads(masks, id_col, LIVE if live else STILL).select(id_col, "points"))
     if not live:
         rest = masks.join(found.select(id_col), id_col, "left_anti")
-        hulls = largest_contours(rest, id_col).select(id_col, K.convex_hull(F.col("points")).alias("points"))
-        sizes = rest.select(id_col, "width", "height").distinct()
-        boxes = min_area_rects(hulls.join(sizes, id_col), [id_col, "width", "height"], F.col("points"), *sides())
+        hulls = _largest(rest, id_col).withColumn("points", K.convex_hull(F.col("points")))
+        boxes = min_area_rects(hulls, [id_col, "width", "height"], F.col("points"), *sides())
         found = found.unionByName(boxes.select(id_col, F.col("corners").alias("points")))
     return masks.select(id_col).join(found, id_col, "left").select(id_col, G.create_quad(F.col("points")).alias("q"))
