@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions import geometry as G
+from vellum.functions import stacks as P
 from vellum.operators import enhance as H
 from vellum.operators import export as E
 from vellum.operators import jpeg as J
@@ -44,9 +47,23 @@ def b1(spark, d):
 def _photos(spark, d):
     """Photos of 48 x 36 pixels with a page in each: one for each supplier."""
     drawn = Q.drawn_masks(spark, d)
-    shade = F.concat(F.lpad(F.hex((F.col("s_suppkey") % 40 * 5 + 20).cast("long")), 2, "0"), F.lit("D0E0"))
-    pixels = F.transform("mask", lambda p, i: F.when((p > 0.5) & (i % 7 > 0), F.lit("F0E8DC")).when(p > 0.5, shade).otherwise(F.lit("202428")))
-    return drawn.select("s_suppkey", "q", "width", "height", F.unhex(F.array_join(pixels, "")).alias("data"))
+    return drawn.select("s_suppkey", "q", "width", "height", _painted(F.col("mask"), (F.col("s_suppkey") % 40 * 5 + 20).cast("int")).alias("data"))
+
+
+def _painted(mask: Column, shade: Column) -> Column:
+    """BGR bytes of a mask: a bright page with a shade at each seventh pixel, on dark ground."""
+
+    def run(mask: pa.Array, shade: pa.Array) -> pa.Array:
+        values, start = P.lists(mask)
+        nth = np.arange(len(values)) - np.repeat(start[:-1], np.diff(start))
+        page = values > 0.5
+        bgr = np.where((page & (nth % 7 > 0))[:, None], (0xF0, 0xE8, 0xDC), (0x20, 0x24, 0x28)).astype(np.uint8)
+        lines = page & (nth % 7 == 0)
+        bgr[lines] = (0, 0xD0, 0xE0)
+        bgr[lines, 0] = np.repeat(shade.to_numpy(zero_copy_only=False), np.diff(start))[lines]
+        return pa.array([bgr[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())
+
+    return F.arrow_udf(run, "binary").asNondeterministic()(mask, shade)
 
 
 @register("g20_color_enhancement")
