@@ -5,7 +5,8 @@ vectors, written to the shared folder, and every vector is looked up in every sh
 in slices, a shard's graph once for each slice, so a task holds one graph and one slice. Within a
 task all queries of a block move through the graph in step, as array operations. A query's beam is
 widened while its worst member still links, or while a vector does not find itself; and all beams
-of a task are widened while brute force over audited queries finds links that the graph missed.
+of a block are widened while brute force over audited queries finds links that the graph missed. A query
+with more links than the widest beam holds gets them from the vectors themselves, a block at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ SHARD_ROWS, SLICE_ROWS, LEAST_SHARDS = 50_000, 16_384, 8
 M, M0, BUILD_BEAM, BEAM = 12, 24, 40, 32
 #: Audited queries of a task, and the part of their true links that must be found.
 AUDIT, RECALL = 64, 0.99
-_VISITED_BYTES = 1 << 25
+#: Widest beam, queries of a block, and vectors of a stored piece of a graph: these bound a task's memory, whatever links.
+WIDEST, BLOCK, PIECE = 1024, 1024, 4096
+_VISITED_BYTES, _PAIR_BYTES = 1 << 25, 1 << 26
 
 
 class Graph:
@@ -94,8 +97,14 @@ class Graph:
         source, target = source[order], target[order]
         nodes, start, many = np.unique(target, return_index=True, return_counts=True)
         width = links.shape[1]
-        for lo in range(0, len(nodes), 256):
-            part, at, cnt = nodes[lo : lo + 256], start[lo : lo + 256], many[lo : lo + 256]
+        fewest = np.argsort(many, kind="stable")  # nodes that many link to come last, in small groups
+        nodes, start, many = nodes[fewest], start[fewest], many[fewest]
+        lo, end = 0, 0
+        while end < len(nodes):
+            lo, end = end, min(len(nodes), end + 256)
+            while end - lo > 1 and (end - lo) * (width + int(many[end - 1])) ** 2 * 4 > _PAIR_BYTES:
+                end = lo + (end - lo) // 2
+            part, at, cnt = nodes[lo:end], start[lo:end], many[lo:end]
             extra = np.full((len(part), cnt.max()), -1, np.int64)
             place = np.arange(cnt.max())[None, :] < cnt[:, None]
             extra[place] = np.concatenate([source[a : a + c] for a, c in zip(at, cnt, strict=True)])
@@ -167,20 +176,31 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), -1)
     order = np.random.default_rng(2).permutation(np.argsort(pdf["id"].to_numpy(), kind="stable"))
     graph = Graph(_unit(x[order]))
+    x, ids, copies = x[order], pdf["id"].to_numpy()[order], pdf["copies"].to_numpy()[order]
+    pieces = [slice(lo, lo + PIECE) for lo in range(0, len(x), PIECE)]
+    cut = lambda a: [a[p].tobytes() for p in pieces]
     return pd.DataFrame(
         {
-            "dim": [x.shape[1]], "shard": [int(pdf["shard"].iloc[0])], "ids": [pdf["id"].to_numpy()[order].tobytes()],
-            "copies": [pdf["copies"].to_numpy()[order].tobytes()], "x": [x[order].tobytes()], "layers": [[g.tobytes() for g in graph.layers]],
+            "dim": x.shape[1], "shard": int(pdf["shard"].iloc[0]), "piece": range(len(pieces)), "ids": cut(ids), "copies": cut(copies), "x": cut(x),
+            "layers": [[g[p].tobytes() for g in graph.layers] for p in pieces],
         }
     )
 
 
+def _joined(pieces: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Ids, numbers of copies, vectors and layers of a graph that is stored in pieces."""
+    pieces = pieces.sort_values("piece")
+    ids, copies = (np.frombuffer(b"".join(pieces[c]), np.int64) for c in ("ids", "copies"))
+    layers = [np.frombuffer(b"".join(parts), np.int32).reshape(len(ids), -1) for parts in zip(*pieces["layers"], strict=True)]
+    return ids, copies, np.frombuffer(b"".join(pieces["x"]), np.float64).reshape(len(ids), -1), layers
+
+
 def _found(graph: Graph, exact: np.ndarray, q: np.ndarray, itself: np.ndarray, least: float, ef: int) -> list[np.ndarray]:
     """For each query the shard's places with a cosine of ``least`` or more, itself included."""
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
     left = np.arange(len(q))
     q32 = q.astype(np.float32)
-    while len(left):
+    while len(left) and ef <= WIDEST:
         again = []
         for part, ids, sims in graph.search(q32[left], ef):
             rows = left[part]
@@ -193,58 +213,62 @@ def _found(graph: Graph, exact: np.ndarray, q: np.ndarray, itself: np.ndarray, l
                 out[r] = near[exact[near] @ q[r] >= least] if len(near) else near
             again.append(rows[wider])
         left, ef = np.concatenate(again), ef * 2
-    return out
+    size = max(1, _PAIR_BYTES // (8 * len(exact)))
+    for rows in (left[lo : lo + size] for lo in range(0, len(left), size)):
+        for r, links in zip(rows, q[rows] @ exact.T >= least, strict=True):
+            out[r] = np.flatnonzero(links)
+    return [near.astype(np.int32) for near in out]
+
+
+def _audited(graph: Graph, exact: np.ndarray, q: np.ndarray, qid: np.ndarray, itself: np.ndarray, least: float) -> list[np.ndarray]:
+    """:func:`_found` with beams as wide as the audits ask for."""
+    ef = BEAM
+    while True:
+        found = _found(graph, exact, q, itself, least, ef)
+        linked = np.array([len(f) for f in found])
+        # hubs, and queries of any number of links, are audited apart: many links can't hide missed few
+        audits = np.argsort(-linked, kind="stable")[: AUDIT // 2], np.argsort(qid % 10007, kind="stable")[: AUDIT // 2]
+        parts = []
+        for audit in audits:
+            true = exact @ q[audit].T >= least
+            hits = np.array([np.isin(np.flatnonzero(true[:, i]), found[a]).sum() for i, a in enumerate(audit)])
+            sums = true.sum(axis=0)
+            parts.append((hits[sums > 0] / sums[sums > 0]).mean() if (sums > 0).any() else 1.0)
+        if min(parts) >= RECALL or ef > WIDEST or ef >= len(exact):
+            return found
+        ef *= 2
 
 
 def _search(least: float):
     def run(graphs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "links": [], "other": []}, dtype="int64")
         if not len(graphs) or not len(queries):
-            return empty
-        g = graphs.iloc[0]
-        ids, copies = np.frombuffer(g["ids"], np.int64), np.frombuffer(g["copies"], np.int64)
-        exact = _unit(np.frombuffer(g["x"], np.float64).reshape(len(ids), -1))
-        layers = [np.frombuffer(b, np.int32).reshape(len(ids), -1) for b in g["layers"]]
+            return pd.DataFrame({"id": [], "links": [], "other": []}, dtype="int64")
+        ids, copies, x, layers = _joined(graphs)
+        exact = _unit(x)
         graph = Graph(exact, layers)
-        q = _unit(np.array(queries["v"].tolist(), np.float64).reshape(len(queries), -1))
-        qid = queries["id"].to_numpy()
         order = np.argsort(ids)
-        at = order[np.minimum(np.searchsorted(ids[order], qid), len(ids) - 1)]
-        itself = np.where(ids[at] == qid, at, -1)
-        ef = BEAM
-        while True:
-            found = _found(graph, exact, q, itself, least, ef)
-            linked = np.array([len(f) for f in found])
-            # hubs, and queries of any number of links, are audited apart: many links can't hide missed few
-            audits = np.argsort(-linked, kind="stable")[: AUDIT // 2], np.argsort(qid % 10007, kind="stable")[: AUDIT // 2]
-            parts = []
-            for audit in audits:
-                true = exact @ q[audit].T >= least
-                hits = np.array([np.isin(np.flatnonzero(true[:, i]), found[a]).sum() for i, a in enumerate(audit)])
-                sums = true.sum(axis=0)
-                parts.append((hits[sums > 0] / sums[sums > 0]).mean() if (sums > 0).any() else 1.0)
-            if min(parts) >= RECALL or ef >= len(ids):
-                break
-            ef *= 2
-        rows, root = [], {}
-
-        def find(a):
-            while root.get(a, a) != a:
-                root[a] = root.get(root[a], root[a])
-                a = root[a]
-            return a
-
-        for i, near in enumerate(found):
-            near = near[ids[near] != qid[i]]
-            if not len(near):
-                continue
-            rows.append((qid[i], copies[near].sum(), qid[i]))
-            for other in ids[near].tolist():  # only links that join what is apart so far
-                a, b = find(int(qid[i])), find(other)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    rows.append((qid[i], 0, other))
-        return pd.DataFrame(rows, columns=["id", "links", "other"]).astype("int64") if rows else empty
+        part_of = np.arange(len(ids))  # the shard's places by what joins them so far
+        out = []
+        for lo in range(0, len(queries), BLOCK):
+            block = queries.iloc[lo : lo + BLOCK]
+            q, qid = _unit(np.array(block["v"].tolist(), np.float64).reshape(len(block), -1)), block["id"].to_numpy()
+            at = order[np.minimum(np.searchsorted(ids[order], qid), len(ids) - 1)]
+            itself = np.where(ids[at] == qid, at, -1)
+            for i, near in enumerate(_audited(graph, exact, q, qid, itself, least)):
+                near = near[ids[near] != qid[i]]
+                if not len(near):
+                    continue
+                # a link to each part only, as one link joins it
+                parts, first = np.unique(part_of[near], return_index=True)
+                other = ids[near[first]]
+                if itself[i] >= 0:
+                    own = part_of[itself[i]]
+                    other, parts = other[parts != own], np.union1d(parts, own)
+                out.append(np.array([(qid[i], copies[near].sum(), qid[i]), *((qid[i], 0, o) for o in other)], np.int64))
+                if len(parts) > 1:
+                    part_of[np.isin(part_of, parts)] = parts[0]
+        rows = np.concatenate(out) if out else np.empty((0, 3), np.int64)
+        return pd.DataFrame(rows, columns=["id", "links", "other"])
 
     return run
 
@@ -277,7 +301,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     shards, slices = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), -(-n // SLICE_ROWS)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     graphs = classes.withColumn("shard", shard).groupBy("dim", "shard")
-    graphs = graphs.applyInPandas(_build, "dim int, shard int, ids binary, copies binary, x binary, layers array<binary>")
+    graphs = graphs.applyInPandas(_build, "dim int, shard int, piece int, ids binary, copies binary, x binary, layers array<binary>")
     stored = written(graphs, "graphs")
     graphs = stored.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(max(slices - 1, 0)))))
     queries = classes.select(
